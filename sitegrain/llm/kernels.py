@@ -173,20 +173,19 @@ def distinct_by_row(rows: np.ndarray, values: np.ndarray, n: int) -> tuple[np.nd
 
 
 def sliding_argmin(x: np.ndarray, w: int) -> np.ndarray:
-    """Index of the leftmost minimum of each window of w entries."""
+    """Index of the smallest entry (by its leading bits) of each window of w entries; leftmost on ties."""
     n = len(x)
     if n < w:
         return np.zeros(0, np.int64)
-    idx = np.arange(n)
-    best, width = idx, 1
-    while width * 2 <= w:  # best[i] is the place of the minimum of x[i : i+width]
-        a, b = best[:-width], best[width:]
-        best = np.where(x[b] < x[a], b, a)
-        width *= 2
-    if width < w:
-        a, b = best[: n - w + 1], best[w - width : w - width + n - w + 1]
-        best = np.where(x[b] < x[a], b, a)
-    return best
+    bits = np.uint64(max(1, n.bit_length()))
+    low = np.uint64((1 << int(bits)) - 1)
+    packed = (x & ~low) | np.arange(n, dtype=np.uint64)
+    padded = np.full(-(-n // w) * w, np.iinfo(np.uint64).max)
+    padded[:n] = packed
+    blocks = padded.reshape(-1, w)
+    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
+    back = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    return (np.minimum(back[: n - w + 1], ahead[w - 1 : n]) & low).astype(np.int64)
 
 
 def to_signed(x: np.ndarray) -> np.ndarray:
