@@ -4,17 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, ngram_join, secrets, substring_dedup, suffix_dedup
+from . import bpe, fingerprints, ngram_join, packing, secrets, substring_dedup, suffix_dedup, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_table(spark, _table(spark, sf_dir, "documents"))
+
+
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(spark, _table(spark, sf_dir, "embeddings"))
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.component_table(spark, _table(spark, sf_dir, "documents"))
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(spark, _table(spark, sf_dir, "documents"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(spark, _table(spark, sf_dir, "documents"))
 
@@ -31,5 +43,5 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_ngram_join, op7_substring_dedup, op8_suffix_dedup, op9_byte_bpe, op10_secret_scans)}
+QUERIES = {f.__name__: f for f in (op2_fingerprints, op3_topk, op4_ngram_join, op5_best_fit_packing, op7_substring_dedup, op8_suffix_dedup, op9_byte_bpe, op10_secret_scans)}
 ORACLES: dict[str, str] = {}
