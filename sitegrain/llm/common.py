@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side of a join is broadcast only if it was counted to be at most this many (narrow) rows.
-BROADCAST_ROWS = 1_000_000
+#: A side of a join is broadcast only if it was counted to hold at most this many 8-byte cells (about 32 MB as a table).
+BROADCAST_CELLS = 1_500_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -39,9 +39,24 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def join_counted(big: DataFrame, small: DataFrame, on: list[str] | str, how: str, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Join that broadcasts `small` (a written table) if it has few rows, and shuffles both sides otherwise."""
-    return big.join(F.broadcast(small) if small.count() <= rows else small.hint("merge"), on, how)
+def join_counted(big: DataFrame, small: DataFrame, on: list[str] | str, how: str, cells: int = BROADCAST_CELLS, lists: str | None = None) -> DataFrame:
+    """Join that broadcasts `small` (a written table) if it has few cells, and shuffles both sides otherwise.
+
+    A row counts its columns and, where `lists` names a column of arrays, two for each entry of its array.
+    """
+    width = F.lit(len(small.columns)) + (2 * F.coalesce(F.size(lists), F.lit(0)) if lists else F.lit(0))
+    held = small.agg(F.sum(width)).first()[0] or 0
+    return big.join(F.broadcast(small) if held <= cells else small.hint("merge"), on, how)
+
+
+def merged_spans(spans: Column) -> Column:
+    """Array of (a, b) spans joined where they touch or overlap, in order."""
+    last = lambda acc: F.try_element_at(acc, F.lit(-1))
+    return F.aggregate(
+        F.array_sort(spans), F.array().cast("array<struct<a:int,b:int>>"),
+        lambda acc, x: F.when((F.size(acc) > 0) & (x["a"] <= F.coalesce(F.try_element_at(acc, F.lit(-1))["b"], F.lit(-1))),
+                              F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(last(acc)["a"].alias("a"), F.greatest(last(acc)["b"], x["b"]).alias("b"))))).otherwise(F.concat(acc, F.array(x))),
+    )
 
 
 def text_key(text: str | Column) -> Column:

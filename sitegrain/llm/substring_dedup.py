@@ -192,7 +192,7 @@ def dedup(spark: SparkSession, docs: DataFrame, window: int = 35, batches: int =
     chosen = scratch.save(join_counted(keyed.select("key", "doc_id"), suspects.select("key"), "key", "left_semi").groupBy("key").agg(F.min(F.coalesce("doc_id", F.lit(-(2**63)))).alias("chosen")), "chosen")
     named = suspects.join(chosen, "key")
     named = scratch.save(named, "named")
-    one = join_counted(keyed, named, "key", "inner", 200_000).where("chosen = coalesce(doc_id, -9223372036854775808L)")
+    one = join_counted(keyed, named, "key", "inner", lists="places").where("chosen = coalesce(doc_id, -9223372036854775808L)")
     windows = one.select("key", "places", "text").mapInArrow(_candidate_windows(window), "w long, v int, key long, start int, loc long")
     windows = scratch.save(windows, "windows")
     scratch.drop(*[f"postings-{n}" for n in range(batches)])
@@ -200,6 +200,6 @@ def dedup(spark: SparkSession, docs: DataFrame, window: int = 35, batches: int =
     marks = windows.join(again, ["w", "v"], "left_semi").groupBy("key").agg(F.collect_set("start").alias("starts"))
     copied = keyed.groupBy("key").count().where("count > 1").select("key", F.lit(True).alias("copied"))
     marks = scratch.save(marks.join(copied, "key", "full_outer"), "marks")
-    rows = join_counted(keyed, marks, "key", "left", 200_000)
+    rows = join_counted(keyed, marks, "key", "left", lists="starts")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if texts else "")
     return rows.select("doc_id", "text", F.coalesce("copied", F.lit(False)).alias("copied"), F.coalesce("starts", F.array().cast("array<int>")).alias("starts")).mapInArrow(_cut(window, texts), schema)

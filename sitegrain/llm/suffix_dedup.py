@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import Scratch, join_counted, text_key
+from .common import Scratch, join_counted, merged_spans, text_key
 
 GRAM = 32
 #: Most distinct contexts of one anchor hash that a task gathers (about 16 MB).
@@ -257,7 +257,7 @@ def repeats(scratch: Scratch, keyed: DataFrame, size: int, hot: int = HOT) -> Da
     wanted = scratch.save(wanted, "wanted")
     chosen = scratch.save(join_counted(keyed.select("key", "doc_id"), wanted.select("key"), "key", "left_semi").groupBy("key").agg(F.min(F.coalesce("doc_id", F.lit(none))).alias("chosen")), "chosen")
     fetch = scratch.save(wanted.join(chosen, "key"), "fetch")
-    texts = join_counted(keyed, fetch, "key", "inner", 200_000).where(F.col("chosen") == F.coalesce("doc_id", F.lit(none)))
+    texts = join_counted(keyed, fetch, "key", "inner", lists="want").where(F.col("chosen") == F.coalesce("doc_id", F.lit(none)))
     around = texts.select("want", "text").mapInArrow(_contexts, "fp long, ctx long, hot boolean, lead int, around binary")
     around = scratch.save(around.dropDuplicates(["fp", "ctx"]), "around")
     cool = around.where("not hot").drop("hot").repartition("fp").sortWithinPartitions("fp")
@@ -266,7 +266,7 @@ def repeats(scratch: Scratch, keyed: DataFrame, size: int, hot: int = HOT) -> Da
     same = strings.groupBy("fp", "w").agg(F.min("ctx").alias("x"), F.max("ctx").alias("y")).where("x <> y").select("fp", "w")
     hot_ranges = strings.join(same, ["fp", "w"], "left_semi").select("fp", "ctx", "before", (F.lit(size) - F.col("before")).cast("int").alias("after"))
     ranges = scratch.save(whole.union(ranges).union(hot_ranges), "ranges")
-    marks = places.select("fp", "ctx", "key", "pos").join(ranges, ["fp", "ctx"]).groupBy("key").agg(F.collect_set(F.struct((F.col("pos") - F.col("before")).alias("a"), (F.col("pos") + F.col("after")).alias("b"))).alias("ranges"))
+    marks = places.select("fp", "ctx", "key", "pos").join(ranges, ["fp", "ctx"]).groupBy("key").agg(merged_spans(F.collect_set(F.struct((F.col("pos") - F.col("before")).alias("a"), (F.col("pos") + F.col("after")).alias("b")))).alias("ranges"))
     copied = keyed.groupBy("key").count().where("count > 1").select("key", F.lit(True).alias("copied"))
     out = scratch.save(marks.join(copied, "key", "full_outer"), "marks")
     scratch.drop("around", "places", "classes", "ranges")
@@ -277,6 +277,6 @@ def dedup(spark: SparkSession, docs: DataFrame, size: int = 400, texts: bool = F
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept_text]) of docs(doc_id, text); see the module."""
     scratch = Scratch(spark, "suffix")
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).select("doc_id", text_key("text").alias("key"), "text")
-    rows = join_counted(keyed, repeats(scratch, keyed, size, hot), "key", "left", 200_000)
+    rows = join_counted(keyed, repeats(scratch, keyed, size, hot), "key", "left", lists="ranges")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_text string" if texts else "")
     return rows.select("doc_id", "text", F.coalesce("copied", F.lit(False)).alias("copied"), F.coalesce("ranges", F.array().cast("array<struct<a:int,b:int>>")).alias("ranges")).mapInArrow(_cut(size, texts), schema)
