@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from .plans.queries import ORACLES, QUERIES
+
 FLAGSHIP = "site_contacts"
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
