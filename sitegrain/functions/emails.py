@@ -62,20 +62,27 @@ def squash(value: Column) -> Column:
 
 def normalized(value: Column) -> Column:
     """(text, email) before the checks of `valid`."""
-    plain = F.coalesce(F.try_url_decode(F.replace(value, F.lit("+"), F.lit("%2B"))), value)
-    v = F.lower(F.trim(F.regexp_replace(plain, "[​‌‍‎‏﻿­⁠]", "")))
+
+    def found(v: Column) -> Column:
+        return F.struct(v.alias("text"), F.regexp_replace(F.trim(F.regexp_extract(v, ADDRESS, 0)), TAIL, "").alias("email"))
+
+    plain = U.bind(value, lambda x: F.coalesce(F.try_url_decode(F.replace(x, F.lit("+"), F.lit("%2B"))), x))
+    v = F.lower(F.trim(F.regexp_replace(plain, "[\u200b-\u200f\ufeff\u00ad\u2060]", "")))
     v = clear(F.regexp_replace(F.replace(v, F.lit("mailto:"), F.lit("")), r"^(?:u003e|u003c|>|<)+", ""))
-    return F.struct(v.alias("text"), F.regexp_replace(F.trim(F.regexp_extract(v, ADDRESS, 0)), TAIL, "").alias("email"))
+    return U.bind(v, found)
 
 
 def valid(found: Column) -> Column:
     """Whether the email of normalized() is a mailbox."""
-    e = found["email"]
-    a, d = local(e), domain(e)
-    in_url = F.exists(F.split(found["text"], r"\s+"), lambda t: F.contains(t, F.lit("://")) & F.contains(t, e))
     dots = lambda x: F.startswith(x, F.lit(".")) | F.endswith(x, F.lit(".")) | F.contains(x, F.lit(".."))
-    suffix = F.regexp_extract(d, r"\.([^.]*)$", 1)
-    return F.contains(e, F.lit("@")) & ~in_url & ~dots(a) & ~dots(d) & ~a.isin(*IGNORED_LOCALS) & ~suffix.isin(*BAD_TLDS) & ~contains_any(d, BAD_HOSTS)
+
+    def test(x: Column) -> Column:
+        e, a, d = x["e"], x["a"], x["d"]
+        in_url = F.exists(F.split(x["t"], r"\s+"), lambda t: F.contains(t, F.lit("://")) & F.contains(t, e))
+        suffix = F.regexp_extract(d, r"\.([^.]*)$", 1)
+        return F.contains(e, F.lit("@")) & ~in_url & ~dots(a) & ~dots(d) & ~U.one_of(a, IGNORED_LOCALS) & ~U.one_of(suffix, BAD_TLDS) & ~contains_any(d, BAD_HOSTS)
+
+    return U.bind(U.bind(found, lambda x: F.struct(x["text"].alias("t"), x["email"].alias("e"), local(x["email"]).alias("a"), domain(x["email"]).alias("d"))), test)
 
 
 def _address_noise(value: Column) -> Column:
@@ -90,7 +97,7 @@ def is_placeholder(email: Column) -> Column:
         stem = F.lit(False)
         for w in PLACEHOLDER_STEMS:
             stem = stem | ((F.length(key) <= len(w) + 8) & (F.startswith(key, F.lit(w)) | F.endswith(key, F.lit(w))))
-        return (key == "") | _address_noise(a) | key.isin(*PLACEHOLDER_LOCALS) | stem | key.rlike("^a{3,}$|^0{3,}$|x{4,}|0{4,}")
+        return (key == "") | _address_noise(a) | U.one_of(key, PLACEHOLDER_LOCALS) | stem | key.rlike("^a{3,}$|^0{3,}$|x{4,}|0{4,}")
 
     edge = "^(?:" + "|".join(PLACEHOLDER_DOMAINS) + ")|(?:" + "|".join(PLACEHOLDER_DOMAINS) + ")$"
 
@@ -99,18 +106,20 @@ def is_placeholder(email: Column) -> Column:
         core = F.transform(F.slice(labels, 1, F.greatest(F.size(labels) - F.when(two, 2).otherwise(1), F.lit(0))), squash)
         return (F.size(labels) < 2) | U.bind(core, lambda c: (F.size(c) == 0) | F.exists(c, lambda x: (x == "") | x.rlike(edge)))
 
-    labels = F.filter(F.split(domain(email), r"\."), lambda x: x != "")
-    named = F.struct(local(email).alias("a"), squash(local(email)).alias("key"))
-    return ~F.contains(email, F.lit("@")) | U.bind(named, bad_local) | U.bind(labels, bad_domain)
+    def test(e: Column) -> Column:
+        labels = F.filter(F.split(domain(e), r"\."), lambda x: x != "")
+        named = F.struct(local(e).alias("a"), squash(local(e)).alias("key"))
+        return ~F.contains(e, F.lit("@")) | U.bind(named, bad_local) | U.bind(labels, bad_domain)
+
+    return U.bind(email, test)
 
 
 def matches_site(site_domain: Column, email: Column) -> Column:
-    d = domain(email)
-    return (site_domain != "") & F.contains(email, F.lit("@")) & ~F.startswith(d, F.lit("www.")) & ((d == site_domain) | F.endswith(d, F.concat(F.lit("."), site_domain)))
+    return (site_domain != "") & F.contains(email, F.lit("@")) & U.bind(domain(email), lambda d: ~F.startswith(d, F.lit("www.")) & ((d == site_domain) | F.endswith(d, F.concat(F.lit("."), site_domain))))
 
 
 def keep_offsite(email: Column, has_same: Column) -> Column:
-    kept = lambda reg: (reg != "") & (reg.isin(*FREE_MAIL) | ~(has_same & squash(local(email)).isin(*OFFSITE_DROPPED)))
+    kept = lambda reg: (reg != "") & (U.one_of(reg, FREE_MAIL) | ~(has_same & squash(local(email)).isin(*OFFSITE_DROPPED)))
     return ~F.startswith(domain(email), F.lit("www.")) & U.bind(U.registrable_domain(domain(email)), kept)
 
 
@@ -121,12 +130,11 @@ def is_typo(site_domain: Column, email: Column) -> Column:
 
 
 def priority(email: Column) -> Column:
-    a = local(email)
-
-    def rank(key: Column) -> Column:
+    def rank(x: Column) -> Column:
+        a, key = x["a"], x["key"]
         return (
-            F.when(a.isin(*ROLES), 100).when(key.isin(*ROLES), 90).when(contains_any(key, ROLES), 70)
+            F.when(U.one_of(a, ROLES), 100).when(U.one_of(key, ROLES), 90).when(contains_any(key, ROLES), 70)
             .when(key.rlike("^[a-z]+$"), 20).when(key.rlike("[0-9]"), 5).otherwise(10)
         )
 
-    return U.bind(squash(a), rank)
+    return U.bind(U.bind(local(email), lambda a: F.struct(a.alias("a"), squash(a).alias("key"))), rank)

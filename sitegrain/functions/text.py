@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import urls as U
+
 # Signs of challenge pages, first match wins.
 CHALLENGES = (
     ("cloudflare_challenge", ("just a moment...", "cf-browser-verification", "challenge-platform", "cf-challenge", "attention required! | cloudflare")),
@@ -112,10 +114,7 @@ def json_ld_names(blocks: pd.Series) -> pd.Series:
 
 
 def contains_any(value: Column, parts) -> Column:
-    out = F.lit(False)
-    for p in parts:
-        out = out | F.contains(value, F.lit(p))
-    return out
+    return value.rlike(U.quoted(parts))
 
 
 def first_match(value: Column, cases, otherwise: Column) -> Column:
@@ -154,13 +153,13 @@ def missing_reason() -> Column:
 def model_error(status: Column, code: Column, kind: Column, message: Column) -> Column:
     """Category of a model service's failure: invalid_key, access_restricted, quota_exhausted, request_rejected, temporary_unavailable or ''."""
     both = F.lower(F.concat_ws(" ", code, kind, message))
-    quota = F.coalesce(code.isin(*QUOTA_CODES), F.lit(False)) | kind.eqNullSafe("insufficient_quota") | contains_any(both, ("budget_exhausted", "insufficient_quota", "quota", "额度", "预算已用尽"))
-    busy = F.coalesce(code.isin(*RATE_CODES), F.lit(False)) | kind.eqNullSafe("rate_limit_error") | contains_any(both, ("rate limit", "rate_limited", "quota", "usage limit", "temporarily unavailable", "service_temporarily_unavailable", "暂时不可用"))
+    quota = F.coalesce(U.one_of(code, QUOTA_CODES), F.lit(False)) | kind.eqNullSafe("insufficient_quota") | contains_any(both, ("budget_exhausted", "insufficient_quota", "quota", "额度", "预算已用尽"))
+    busy = F.coalesce(U.one_of(code, RATE_CODES), F.lit(False)) | kind.eqNullSafe("rate_limit_error") | contains_any(both, ("rate limit", "rate_limited", "quota", "usage limit", "temporarily unavailable", "service_temporarily_unavailable", "暂时不可用"))
     net = contains_any(both, ("timeout", "timed out", "connection", "llm_ping_invalid_response", "remoteprotocolerror", "server disconnected", "upstream"))
     is_ = status.eqNullSafe
     return (
         F.when(is_(401) | contains_any(both, ("invalid_api_key", "incorrect api key", "missing api key")), "invalid_key")
-        .when(is_(403) & code.isin(*ACCESS_CODES), "access_restricted")
+        .when(is_(403) & U.one_of(code, ACCESS_CODES), "access_restricted")
         .when(is_(403) & quota, "quota_exhausted")
         .when(is_(429) | busy, "temporary_unavailable")
         .when(is_(403), "request_rejected")

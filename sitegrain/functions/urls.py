@@ -79,12 +79,22 @@ def bind(value: Column, f) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
+def quoted(names) -> str:
+    """Alternatives of a pattern that stand for themselves."""
+    return "|".join(f"\\Q{n}\\E" for n in dict.fromkeys(names))
+
+
+def one_of(value: Column, names) -> Column:
+    """Whether the value is one of the names (one pattern keeps plans small)."""
+    return value.rlike(rf"\A(?:{quoted(names)})\z")
+
+
 def words(values) -> Column:
     return F.array(*[F.lit(v) for v in dict.fromkeys(values)])
 
 
 def any_of(tokens: Column, values) -> Column:
-    return F.arrays_overlap(tokens, words(values))
+    return F.exists(tokens, lambda t: one_of(t, values))
 
 
 def scheme(url: Column | str) -> Column:
@@ -159,7 +169,7 @@ def registrable_domain(value: Column | str) -> Column:
     def last(h: Column) -> Column:
         two = F.regexp_extract(h, r"([^.]+\.[^.]+)\.*$", 1)
         three = F.regexp_extract(h, r"([^.]+\.[^.]+\.[^.]+)\.*$", 1)
-        return F.when(two == "", h).when(two.isin(*TWO_LABEL_SUFFIXES) & (three != ""), three).otherwise(two)
+        return F.when(two == "", h).when(one_of(two, TWO_LABEL_SUFFIXES) & (three != ""), three).otherwise(two)
 
     return bind(bind(F.lower(F.trim(text(value))), host), last)
 
@@ -233,7 +243,7 @@ def trim_family(tokens: Column) -> Column:
     """Without the leading words that don't tell families apart."""
 
     def rest(x: Column) -> Column:
-        first = F.array_min(F.transform(x, lambda t, i: F.when(~t.isin(*FAMILY_SKIP), i)))
+        first = F.array_min(F.transform(x, lambda t, i: F.when(~one_of(t, FAMILY_SKIP), i)))
         return F.when(first.isNull(), F.slice(x, 1, 0)).otherwise(F.slice(x, first + 1, F.size(x)))
 
     return bind(tokens, rest)
@@ -246,7 +256,7 @@ def family_key(tokens: Column) -> Column:
 def _named(tokens: Column, context, no_name, negative) -> Column:
 
     def test(x: Column) -> Column:
-        names = F.filter(x, lambda t: ~t.isin(*dict.fromkeys([*no_name, *negative])))
+        names = F.filter(x, lambda t: ~one_of(t, dict.fromkeys([*no_name, *negative])))
         named = bind(names, lambda n: F.size(n).between(2, 3) & F.forall(F.slice(n, 1, 2), lambda t: t.rlike(r"^\p{L}{3,}$")))
         return F.size(x).between(3, 6) & any_of(x, context) & named
 
@@ -254,7 +264,7 @@ def _named(tokens: Column, context, no_name, negative) -> Column:
 
 
 def person_names(tokens: Column) -> Column:
-    return F.filter(tokens, lambda t: ~t.isin(*dict.fromkeys([*PERSON_NO_NAME, *NEGATIVE])))
+    return F.filter(tokens, lambda t: ~one_of(t, dict.fromkeys([*PERSON_NO_NAME, *NEGATIVE])))
 
 
 def is_person_page(tokens: Column) -> Column:
@@ -269,7 +279,7 @@ def is_named_detail(tokens: Column) -> Column:
 def learning_tokens(tokens: Column, person: Column) -> Column:
     """Words to learn from, and the family they make."""
     names = F.when(person, person_names(trim_family(tokens))).otherwise(F.slice(tokens, 1, 0))
-    kept = F.filter(F.array_except(tokens, names), lambda t: ~t.isin(*LEARNING_STOP))
+    kept = F.filter(F.array_except(tokens, names), lambda t: ~one_of(t, LEARNING_STOP))
 
     def with_family(x: Column) -> Column:
         return F.when(x["family"] == "root", x["kept"]).otherwise(F.array_union(x["kept"], F.array(F.concat(F.lit("family:"), x["family"]))))

@@ -273,7 +273,7 @@ def contact_pages(spark: SparkSession, d: str) -> DataFrame:
     host = F.lower(U.netloc("url"))
     name = F.translate(F.regexp_extract(host, r"([^.]+)\.[^.]+\.[^.]+$", 1), "0123456789", "abcdefghij")
     site = F.concat(F.lit("https://"), name, F.element_at(F.split(F.lit(".co.uk;.de;.org"), ";"), (F.abs(F.hash(host)) % 3 + 1).cast("int")))
-    foot = F.concat(F.lit("<footer>Phone: +44 20 5550 "), F.lpad(F.col("page_id").cast("string"), 5, "0"), F.lit(" &middot; info [at] "), F.regexp_replace(site, "https://", ""), F.lit(" kim@partner.org</footer>"))
+    foot = F.concat(F.lit("<footer>Phone: +44 20 5550 "), F.lpad(F.col("page_id").cast("string"), 5, "0"), F.lit(" &middot; info[at]"), F.regexp_replace(site, "https://", ""), F.lit(" kim@partner.org</footer>"))
     return table(spark, d, "pages").select(site.alias("site"), F.col("page_id").alias("page_pos"), "url", F.concat("html", foot).alias("html"))
 
 
