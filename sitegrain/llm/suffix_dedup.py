@@ -119,7 +119,7 @@ def _common(m: np.ndarray, a: np.ndarray, b: np.ndarray, lengths: np.ndarray) ->
 
 
 def covered_ranges(fp: np.ndarray, lead: np.ndarray, around: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, bytes before, bytes after the anchor) of what repeats among the contexts of each fp.
+    """(row, bytes before, bytes after the anchor) of all that repeats of the contexts of each fp.
 
     Rows of one fp stand together; contexts of one fp differ from each other.
     """
@@ -158,7 +158,13 @@ def covered_ranges(fp: np.ndarray, lead: np.ndarray, around: pa.Array, size: int
             ok = longest + r >= size
             if ok.any():
                 found.append((rows[by_left[ranks[ok]]], longest[ok], np.full(int(ok.sum()), r)))
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+    # all ranges of a row hold its anchor, so their union is one range
+    row, before, after = (np.concatenate(x) for x in zip(*found, strict=True))
+    most_before, most_after = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    np.maximum.at(most_before, row, before)
+    np.maximum.at(most_after, row, after)
+    row = np.flatnonzero(most_after)
+    return row, most_before[row], most_after[row]
 
 
 def _grouped(size: int):
@@ -209,36 +215,32 @@ def _hot_strings(size: int):
     return run
 
 
-def _cut(size: int, texts: bool):
-    """Task: texts with covered ranges to what is left of them."""
+def _cut(size: int, kept_text: bool):
+    """Task: rows with text, copied and ranges (the last columns) to the digest, or to the rows with the text cut."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, copied, lists = batch.column("doc_id"), batch.column("copied").to_pylist(), batch.column("ranges")
+            copied, lists = batch.column("copied").to_pylist(), batch.column("ranges")
             raws = batch.column("text").cast(pa.binary())
             for a in range(0, len(batch), 500):
                 out = []
                 for i in range(a, min(a + 500, len(batch))):
-                    raw = raws[i].as_py()
-                    spans = [{"a": 0, "b": len(raw)}] if copied[i] and len(raw) >= size else sorted(lists[i].as_py(), key=lambda x: (x["a"], x["b"]))
-                    kept, at, removed, n = [], 0, 0, 0
-                    joined: list[list[int]] = []
-                    for s in spans:
-                        if joined and s["a"] <= joined[-1][1]:
-                            joined[-1][1] = max(joined[-1][1], s["b"])
-                        else:
-                            joined.append([s["a"], s["b"]])
-                    for p, q in joined:
+                    raw = raws[i].as_py() or b""
+                    spans = [(0, len(raw))] if copied[i] and len(raw) >= size else [(x["a"], x["b"]) for x in lists[i].as_py() or ()]
+                    kept, at = [], 0
+                    for p, q in spans:  # in order and apart
                         kept.append(raw[at:p])
-                        at, removed, n = q, removed + q - p, n + 1
+                        at = q
                     kept.append(raw[at:])
-                    rest = b"".join(kept)
-                    out.append((len(raw), removed, n, hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore") if texts else ""))
-                c = list(zip(*out, strict=True))
-                columns = {"doc_id": ids.slice(a, len(out)), "n_bytes": pa.array(c[0], pa.int64()), "n_removed": pa.array(c[1], pa.int64()), "n_spans": pa.array(c[2], pa.int64()), "kept_sha256": pa.array(c[3])}
-                if texts:
-                    columns["kept_text"] = pa.array(c[4])
-                yield pa.RecordBatch.from_pydict(columns)
+                    out.append((len(raw), sum(q - p for p, q in spans), len(spans), b"".join(kept), not spans))
+                part, (sizes, removed, n, rest, same) = batch.slice(a, len(out)), zip(*out, strict=True)
+                if kept_text:
+                    at = batch.schema.names.index("text")
+                    texts = pa.array([t if s else r.decode("utf-8", "ignore") for t, r, s in zip(part.column(at).to_pylist(), rest, same, strict=True)], part.schema.field(at).type)
+                    columns = [texts if k == at else c for k, c in enumerate(part.columns[:-2])]
+                    yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-2])
+                else:
+                    yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "n_bytes": pa.array(sizes, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(n, pa.int64()), "kept_sha256": pa.array([hashlib.sha256(r).hexdigest() for r in rest])})
 
     return run
 
@@ -265,7 +267,8 @@ def repeats(scratch: Scratch, keyed: DataFrame, size: int, hot: int = HOT) -> Da
     strings = around.where("hot").drop("hot").mapInArrow(_hot_strings(size), "fp long, ctx long, before int, w long")
     same = strings.groupBy("fp", "w").agg(F.min("ctx").alias("x"), F.max("ctx").alias("y")).where("x <> y").select("fp", "w")
     hot_ranges = strings.join(same, ["fp", "w"], "left_semi").select("fp", "ctx", "before", (F.lit(size) - F.col("before")).cast("int").alias("after"))
-    ranges = scratch.save(whole.union(ranges).union(hot_ranges), "ranges")
+    ranges = whole.union(ranges).union(hot_ranges).groupBy("fp", "ctx").agg(F.max("before").alias("before"), F.max("after").alias("after"))
+    ranges = scratch.save(ranges, "ranges")
     marks = places.select("fp", "ctx", "key", "pos").join(ranges, ["fp", "ctx"]).groupBy("key").agg(merged_spans(F.collect_set(F.struct((F.col("pos") - F.col("before")).alias("a"), (F.col("pos") + F.col("after")).alias("b")))).alias("ranges"))
     copied = keyed.groupBy("key").count().where("count > 1").select("key", F.lit(True).alias("copied"))
     out = scratch.save(marks.join(copied, "key", "full_outer"), "marks")
@@ -273,10 +276,21 @@ def repeats(scratch: Scratch, keyed: DataFrame, size: int, hot: int = HOT) -> Da
     return out
 
 
-def dedup(spark: SparkSession, docs: DataFrame, size: int = 400, texts: bool = False, hot: int = HOT) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept_text]) of docs(doc_id, text); see the module."""
+def _marked(spark: SparkSession, docs: DataFrame, size: int, hot: int) -> DataFrame:
+    """docs with copied and ranges as last columns."""
     scratch = Scratch(spark, "suffix")
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).select("doc_id", text_key("text").alias("key"), "text")
-    rows = join_counted(keyed, repeats(scratch, keyed, size, hot), "key", "left", lists="ranges")
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_text string" if texts else "")
-    return rows.select("doc_id", "text", F.coalesce("copied", F.lit(False)).alias("copied"), F.coalesce("ranges", F.array().cast("array<struct<a:int,b:int>>")).alias("ranges")).mapInArrow(_cut(size, texts), schema)
+    marks = repeats(scratch, keyed, size, hot).withColumnsRenamed({"key": "__key", "copied": "__copied", "ranges": "__ranges"})
+    rows = docs.withColumn("__key", text_key("text"))
+    return join_counted(rows, marks, "__key", "left", lists="__ranges").select(*docs.columns, F.coalesce("__copied", F.lit(False)).alias("copied"), F.col("__ranges").alias("ranges"))
+
+
+def dedup(spark: SparkSession, docs: DataFrame, size: int = 400, hot: int = HOT) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of docs(doc_id, text); see the module."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return _marked(spark, docs, size, hot).mapInArrow(_cut(size, False), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+def cut(spark: SparkSession, docs: DataFrame, size: int = 400, hot: int = HOT) -> DataFrame:
+    """docs with the repeated bytes cut out of their texts (code points cut in two go whole)."""
+    return _marked(spark, docs, size, hot).mapInArrow(_cut(size, True), docs.schema)
