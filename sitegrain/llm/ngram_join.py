@@ -13,8 +13,9 @@ row per document with its component's smallest doc_id.
    that all hold the group's smallest node. A probe walks the trie depth first, sharing the overlap of
    common beginnings, and leaves a subtree when the remaining lengths cannot reach the threshold.
    This links nearly all of a family of copies without writing its pairs.
-4. What is left are node pairs of different components that share a prefix shingle. They are counted,
-   kept if their shared prefix shingles allow the threshold, and verified by the same trie walk.
+4. What is left are node pairs of different components that share a prefix shingle. Their shared prefix
+   shingles and the places of the last one bound the overlap; pairs that can still reach the threshold are
+   verified by the same trie walk.
    So no link between different components is lost.
 
 Defined cases: null text is empty; documents without words are alone; repeated rows and equal texts
@@ -28,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +42,8 @@ PERCENT = 75
 FREQUENT, SAMPLE = 65_536, 16
 #: Nodes in one trie.
 BLOCK = 256
+#: Bits of the map of shared prefix shingles (16 MB, whatever the corpus).
+BITMAP_BITS = 1 << 27
 
 
 def _prefix_len(n: np.ndarray | int, percent: int):
@@ -88,6 +92,25 @@ def _digest(order: Order, percent: int):
     return run
 
 
+def _maybe_shared(bitmap: Broadcast):
+    """Task: (node, n, prefix) to one row for each prefix shingle whose bit is set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = bitmap.value
+        for batch in batches:
+            tokens, length = batch.column("prefix").flatten().to_numpy(), batch.column("prefix").value_lengths().to_numpy()
+            cell = np.mod(tokens, BITMAP_BITS)
+            at = np.flatnonzero((bits[cell >> 6] >> (cell & 63)) & 1)
+            row = np.repeat(np.arange(len(batch)), length)[at]
+            pos = at - np.concatenate([[0], np.cumsum(length)])[row]
+            node, n = batch.column("node").to_numpy()[row], batch.column("n").to_numpy()[row]
+            for k in range(0, len(at), 100_000):
+                part = slice(k, k + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array(node[part]), pa.array(n[part]), pa.array(pos[part].astype(np.int32)), pa.array(tokens[at[part]])], ["node", "n", "pos", "token"])
+
+    return run
+
+
 def _sample_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b, data, offsets in K.text_chunks(batch.column("text")):
@@ -237,42 +260,58 @@ def component_table(spark: SparkSession, docs: DataFrame, percent: int = PERCENT
     order_sent = spark.sparkContext.broadcast(order)  # FREQUENT entries at most
     digest = scratch.save(docs.mapInArrow(_digest(order_sent.value, percent), "doc_id long, node long, n long, prefix array<long>"), "digest")
     none = F.lit(-(2**63))
-    nodes = digest.where("n > 0").groupBy("node").agg(F.min(F.coalesce("doc_id", none)).alias("holder"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    tokens = nodes.select("node", "holder", "n", F.posexplode("prefix").alias("pos", "token"))
-    tokens = scratch.save(tokens, "tokens")
+    holders = scratch.save(digest.where("n > 0").groupBy("node").agg(F.min(F.coalesce("doc_id", none)).alias("holder")), "holders")
+    held = digest.where("n > 0").withColumn("holder", F.coalesce("doc_id", none))
+    held = join_counted(held, holders, ["node", "holder"], "left_semi").select("node", "n", "prefix")
+    tokens = held.select(F.explode("prefix").alias("token"))
     shared = scratch.save(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "shared")
-    near = scratch.save(join_counted(tokens, shared, "token", "inner"), "near")
-    scratch.drop("tokens", "shared")
-
-    # tries of the nodes that share their most common prefix shingles
-    top = near.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("df"), "token"))).where("r <= 2")
+    # most prefix shingles are not shared: a bitmap of fixed size drops nearly all of them before the exact join
+    cell = F.pmod("token", F.lit(BITMAP_BITS))
+    words = shared.select(cell.alias("cell")).groupBy(F.expr("cell div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(cell % 64 AS int)))").alias("bits")).toArrow()
+    bitmap = np.zeros(BITMAP_BITS // 64, np.int64)
+    bitmap[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    bitmap_sent = spark.sparkContext.broadcast(bitmap)  # BITMAP_BITS / 8 bytes
+    maybe = held.mapInArrow(_maybe_shared(bitmap_sent), "node long, n long, pos int, token long")
+    near = maybe.join(shared, "token").dropDuplicates(["token", "node"])
+    near = near.withColumn("before", F.row_number().over(Window.partitionBy("node").orderBy("pos")) - 1)  # shared ones before it
+    near = scratch.save(near, "near")
+    scratch.drop("shared")
+
+    # tries of the nodes that share their most common prefix shingles, if they share many of them
+    own = Window.partitionBy("node")
+    many = near.withColumn("held", F.count("*").over(own)).where(F.col("held") * 10 >= 3 * (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1))
+    top = many.withColumn("r", F.row_number().over(own.orderBy(F.desc("df"), "token"))).where("r <= 2")
     groups = top.groupBy("token").agg(F.count("*").alias("m"), F.min("node").alias("center")).where("m > 1")
     member = top.select("token", "node").join(groups, "token")
     parts = F.ceil(F.col("m") / BLOCK).cast("int")
-    placed = member.select("node", F.xxhash64("token", F.pmod(F.xxhash64("node"), parts)).alias("block"), F.lit(False).alias("probe"))
+    placed = member.select("node", F.xxhash64("token", F.pmod(F.xxhash64("node", "token"), parts).cast("long")).alias("block"), F.lit(False).alias("probe"))
     centers = groups.select(F.col("center").alias("node"), "token", F.explode(F.sequence(F.lit(0).cast("long"), (F.ceil(F.col("m") / BLOCK) - 1).cast("long"))).alias("part"))
     centers = centers.select("node", F.xxhash64("token", "part").alias("block"), F.lit(False).alias("probe"))
-    links = _verify(scratch, docs, near, placed.union(centers), order, percent, "family")
+    links = _verify(scratch, docs, holders, placed.union(centers), order, percent, "family")
     family = components(scratch, links, "family-cc")
     family = scratch.save(family, "family")
 
     # pairs of different components that share prefix shingles
-    tagged = join_counted(near.select("token", "node", "n", "pos"), family, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    tagged = join_counted(near.select("token", "node", "n", "pos", "before"), family, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = tagged.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
     open_ = scratch.save(tagged.join(mixed, "token", "left_semi"), "open")
-    small = open_.where(F.col("pos") < F.col("n") - F.ceil(F.col("n") * (2 * percent) / (100 + percent)) + 1)
-    x, y = small.select("token", *[F.col(c).alias(f"a_{c}") for c in ("node", "n", "component")]), open_.select("token", *[F.col(c).alias(f"b_{c}") for c in ("node", "n", "component")])
-    met = x.join(y, "token").where((F.col("a_component") != F.col("b_component")) & (100 * F.col("a_n") >= percent * F.col("b_n")) & ((F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_node") != F.col("b_node")))))
-    pairs = met.groupBy(F.col("a_node").alias("a"), F.col("b_node").alias("b")).agg(F.first("a_n").alias("na"), F.first("b_n").alias("nb")).select("a", "b")
+    x, y = (open_.select("token", *[F.col(c).alias(f"{k}_{c}") for c in ("node", "n", "pos", "before", "component")]) for k in "ab")
+    # all that two sets share before a shared shingle is shared by prefixes too; behind it, the shorter rest is the bound
+    reach = F.least("a_before", "b_before") + 1 + F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos")) - 1
+    met = x.join(y, "token").where(((100 + percent) * reach >= percent * (F.col("a_n") + F.col("b_n"))) & (F.col("a_component") != F.col("b_component")) & (100 * F.col("a_n") >= percent * F.col("b_n")) & ((F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_node") < F.col("b_node")))))
+    pairs = met.groupBy(F.col("a_node").alias("a"), F.col("b_node").alias("b")).agg(F.count("*").alias("c"), F.first("a_n").alias("na"), F.first("b_n").alias("nb"), F.max("a_pos").alias("ia"), F.max("b_pos").alias("ib"))
+    # what may still be shared: all after the last shared prefix shingle, and no more than lies behind the longer prefix
+    after = F.least(F.col("na") - 1 - F.col("ia"), F.col("nb") - 1 - F.col("ib"), F.ceil(F.col("nb") * percent / 100) - 1)
+    pairs = pairs.where((100 + percent) * (F.col("c") + after) >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = scratch.save(pairs, "pairs")
     part = F.pmod(F.xxhash64("b"), F.ceil(F.col("m") / BLOCK).cast("int"))
     numbered = pairs.join(pairs.groupBy("a").agg(F.count("*").alias("m")), "a").withColumn("block", F.xxhash64("a", part))
     asked = numbered.select(F.col("a").alias("node"), "block", F.lit(True).alias("probe")).distinct()
     held = numbered.select(F.col("b").alias("node"), "block", F.lit(False).alias("probe"))
-    more = _verify(scratch, docs, near, asked.union(held), order, percent, "rest")
+    more = _verify(scratch, docs, holders, asked.union(held), order, percent, "rest")
     whole = scratch.save(components(scratch, links.union(more), "all-cc"), "all")
-    rows = join_counted(digest.select("doc_id", "node", F.col("n").alias("n_shingles")), whole, "node", "left", 500_000)
+    rows = join_counted(digest.select("doc_id", "node", F.col("n").alias("n_shingles")), whole, "node", "left")
     rows = rows.withColumn("component", F.coalesce("component", "node"))
     full, empty = rows.where("n_shingles > 0"), rows.where("n_shingles = 0")
     first = full.groupBy("component").agg(F.min("doc_id").alias("component_id"))
@@ -280,14 +319,26 @@ def component_table(spark: SparkSession, docs: DataFrame, percent: int = PERCENT
     return named.union(empty.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
-def _verify(scratch: Scratch, docs: DataFrame, near: DataFrame, placed: DataFrame, order: Order, percent: int, name: str) -> DataFrame:
+def keep_one(spark: SparkSession, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Rows of docs, one for each component: that with the smallest doc_id (of repeated rows any one).
+
+    Documents without words are no near copies of anything and stay.
+    """
+    scratch = Scratch(spark, "keep")
+    found = scratch.save(component_table(spark, docs, percent).where((F.col("component_id") != F.col("doc_id")) & (F.col("n_shingles") > 0)).select("doc_id").distinct(), "gone")
+    kept = join_counted(docs, found.withColumnRenamed("doc_id", "__gone"), F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    again = scratch.save(kept.where("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).count().where("count > 1").select("__id"), "again")
+    twice = join_counted(kept, again, F.col("doc_id") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
+    return join_counted(kept, again, F.col("doc_id") == F.col("__id"), "left_anti").unionByName(twice)
+
+
+def _verify(scratch: Scratch, docs: DataFrame, holders: DataFrame, placed: DataFrame, order: Order, percent: int, name: str) -> DataFrame:
     """Links found by the tries of placed(node, block, probe)."""
     want = placed.groupBy("node").agg(F.collect_set(F.struct("block", "probe")).alias("want"))
-    holders = near.select("node", "holder").distinct()
     want = scratch.save(want.join(holders, "node"), f"{name}-want")
     none = F.lit(-(2**63))
     keyed = docs.select(F.coalesce("doc_id", none).alias("holder"), "text")
-    texts = join_counted(keyed, want, "holder", "inner", 200_000).select("node", "want", "text")
+    texts = join_counted(keyed, want, "holder", "inner", lists="want").select("node", "want", "text")
     sets = texts.mapInArrow(_blocks_of_sets(order), "block long, probe boolean, node long, tokens array<long>")
     links = sets.groupBy("block").applyInArrow(_link_block(percent), "a long, b long")
     return scratch.save(links, f"{name}-links")
