@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, ngram_join, packing, secrets, substring_dedup, suffix_dedup, topk
+from . import bpe, fingerprints, lm, ngram_join, packing, quality, secrets, substring_dedup, suffix_dedup, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_table(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_table(spark, _table(spark, sf_dir, "documents"))
 
@@ -27,6 +31,10 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, _table(spark, sf_dir, "documents"))
 
 
+def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_table(spark, _table(spark, sf_dir, "documents"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(spark, _table(spark, sf_dir, "documents"))
 
@@ -43,5 +51,14 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_fingerprints, op3_topk, op4_ngram_join, op5_best_fit_packing, op7_substring_dedup, op8_suffix_dedup, op9_byte_bpe, op10_secret_scans)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_quality_classifier, op2_fingerprints, op3_topk, op4_ngram_join, op5_best_fit_packing, op6_lm_scores,
+    op7_substring_dedup, op8_suffix_dedup, op9_byte_bpe, op10_secret_scans, pipeline,
+)}
 ORACLES: dict[str, str] = {}
