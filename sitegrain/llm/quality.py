@@ -134,7 +134,7 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 120, depth: int = 4, rate: fl
     """Histogram gradient boosting with logistic loss."""
     share = float(np.mean(y)) if len(y) else 0.5
     width = 2 ** (depth + 1) - 1
-    if not 0 < share < 1:
+    if not len(y) or not 0 < share < 1:
         none = np.zeros((0, width))
         return Trees(30.0 if share == 1 else -30.0 if share == 0 else 0.0, none.astype(np.int64), none, none.astype(np.int64), none, depth)
     base = float(np.log(share / (1 - share)))
