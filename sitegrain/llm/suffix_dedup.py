@@ -173,6 +173,10 @@ def _grouped(size: int):
 
     def ranges(rows: pa.Table) -> pa.RecordBatch:
         rows = rows.combine_chunks()
+        fp, ctx = rows.column("fp").to_numpy(), rows.column("ctx").to_numpy()
+        new = np.concatenate([[True], (fp[1:] != fp[:-1]) | (ctx[1:] != ctx[:-1])])  # a repeated row brings a context twice
+        if not new.all():
+            rows = rows.filter(pa.array(new)).combine_chunks()
         fp, ctx, lead = (rows.column(c).to_numpy() for c in ("fp", "ctx", "lead"))
         around = rows.column("around").chunk(0)
         row, before, after = covered_ranges(fp, lead.astype(np.int64), around, size)
@@ -259,10 +263,11 @@ def repeats(scratch: Scratch, keyed: DataFrame, size: int, hot: int = HOT) -> Da
     wanted = scratch.save(wanted, "wanted")
     chosen = scratch.save(join_counted(keyed.select("key", "doc_id"), wanted.select("key"), "key", "left_semi").groupBy("key").agg(F.min(F.coalesce("doc_id", F.lit(none))).alias("chosen")), "chosen")
     fetch = scratch.save(wanted.join(chosen, "key"), "fetch")
-    texts = join_counted(keyed, fetch, "key", "inner", lists="want").where(F.col("chosen") == F.coalesce("doc_id", F.lit(none)))
+    # what is wanted grows with the corpus, so both sides are shuffled at every size
+    texts = keyed.join(fetch.hint("merge"), "key").where(F.col("chosen") == F.coalesce("doc_id", F.lit(none)))
     around = texts.select("want", "text").mapInArrow(_contexts, "fp long, ctx long, hot boolean, lead int, around binary")
-    around = scratch.save(around.dropDuplicates(["fp", "ctx"]), "around")
-    cool = around.where("not hot").drop("hot").repartition("fp").sortWithinPartitions("fp")
+    around = scratch.save(around, "around")
+    cool = around.where("not hot").drop("hot").repartition("fp").sortWithinPartitions("fp", "ctx")
     ranges = cool.mapInArrow(_grouped(size), "fp long, ctx long, before int, after int")
     strings = around.where("hot").drop("hot").mapInArrow(_hot_strings(size), "fp long, ctx long, before int, w long")
     same = strings.groupBy("fp", "w").agg(F.min("ctx").alias("x"), F.max("ctx").alias("y")).where("x <> y").select("fp", "w")
