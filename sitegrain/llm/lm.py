@@ -9,9 +9,9 @@ probabilities of all texts add up.
 
 The network is a gated recurrent unit, trained in numpy by truncated back-propagation through time: windows of
 WINDOW steps, the state being carried from window to window to the end of each text. Its output biases start
-at the corpus' frequencies. Each round, a fixed share of the training texts (so the amount grows with the corpus)
-is dealt to shards of about SHARD_CHARS characters; each shard trains a copy of the network and Spark averages
-the copies. Scoring runs many texts side by side and carries each state through the whole text.
+at the corpus' frequencies. Every training row is learned from once: rows are dealt to ROUNDS rounds of shards of about
+SHARD_CHARS characters; each shard trains a copy of the network and Spark averages the copies, round by round.
+Scoring runs many texts side by side and carries each state through the whole text.
 
 Counts of the HEAD most frequent words (a bounded broadcast of 16 bytes each) are looked up in the tasks; the words
 beyond are joined to the count table.
@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import Scratch
+from .common import Scratch, text_key
 
 FOLDS = 10
 CLASSES = WITHIN = 64
@@ -42,7 +42,7 @@ RARE, END = 0, WITHIN
 HEAD = 262_144
 EMBED, HIDDEN = 16, 24
 WINDOW, LANES, SCORE_LANES = 16, 32, 512
-ROUNDS, SHARE = 2, 20
+ROUNDS = 2
 SHARD_CHARS = 4_000_000
 RATE = 0.01
 END_HASH = np.uint64(0x5E7FEED5E7FEED5)
@@ -234,11 +234,12 @@ def train_network(net: Network, ids: np.ndarray, edges: np.ndarray, rate: float
         a, b = turn * WINDOW, min((turn + 1) * WINDOW, len(target))
         live = int(np.searchsorted(-sizes, -a, "left"))
         h, kept = h[:live], []
+        inputs = w["E"][before[a:b, :live]] @ w["W"] + w["b"]
         for t in range(a, b):
             prev = before[t, :live]
             keep = (prev != END)[:, None].astype(np.float32)
             h0 = h * keep
-            h, r, z, n, m = net.step(w["E"][prev] @ w["W"] + w["b"], h0)
+            h, r, z, n, m = net.step(inputs[t - a], h0)
             kept.append((prev, keep, h0, r, z, n, m, h))
         real = (np.arange(a, b)[:, None] < sizes[:live]).ravel()
         states = np.concatenate([x[-1] for x in kept])
@@ -246,28 +247,36 @@ def train_network(net: Network, ids: np.ndarray, edges: np.ndarray, rate: float
         g = {k: np.zeros_like(v) for k, v in w.items()}
         dh_out = _output_gradients(w, g, states, goal, real).reshape(b - a, live, HIDDEN)
         back = np.zeros((live, HIDDEN), np.float32)
+        du, dx = (np.empty((b - a, live, 3 * HIDDEN), np.float32) for _ in range(2))
         for t in range(b - a - 1, -1, -1):
             prev, keep, h0, r, z, n, m, _ = kept[t]
             d = dh_out[t] + back
             dn = d * (1 - z) * (1 - n * n)
             dz = d * (h0 - n) * z * (1 - z)
             dr = dn * m * r * (1 - r)
-            du = np.concatenate([dr, dz, dn * r], axis=1)
-            dx = np.concatenate([dr, dz, dn], axis=1)
-            g["U"] += h0.T @ du
-            g["c"] += (dn * r).sum(axis=0)
-            g["W"] += w["E"][prev].T @ dx
-            g["b"] += dx.sum(axis=0)
-            np.add.at(g["E"], prev, dx @ w["W"].T)
-            back = (d * z + du @ w["U"].T) * keep
+            np.concatenate([dr, dz, dn * r], axis=1, out=du[t])
+            np.concatenate([dr, dz, dn], axis=1, out=dx[t])
+            back = (d * z + du[t] @ w["U"].T) * keep
+        du, dx, prev = du.reshape(-1, 3 * HIDDEN), dx.reshape(-1, 3 * HIDDEN), before[a:b, :live].ravel()
+        g["U"] += np.concatenate([x[2] for x in kept]).T @ du
+        g["c"] += du[:, 2 * HIDDEN :].sum(axis=0)
+        g["W"] += w["E"][prev].T @ dx
+        g["b"] += dx.sum(axis=0)
+        np.add.at(g["E"], prev, dx @ w["W"].T)
         now = rate * (1 - 0.9 * turn / steps)
         size = np.sqrt(sum(float((x * x).sum()) for x in g.values()))
         shrink = np.float32(min(1.0, 1.0 / (size + 1e-9)))
         for k in w:
-            x = g[k] * shrink
+            x = g[k]
+            x *= shrink
             mean[k] += 0.1 * (x - mean[k])
-            square[k] += 0.01 * (x * x - square[k])
-            w[k] -= (now / (1 - 0.9 ** (turn + 1))) * mean[k] / (np.sqrt(square[k] / (1 - 0.99 ** (turn + 1))) + 1e-6)
+            x *= x
+            square[k] += 0.01 * (x - square[k])
+            np.sqrt(square[k] / (1 - 0.99 ** (turn + 1)), out=x)
+            x += 1e-6
+            np.divide(mean[k], x, out=x)
+            x *= now / (1 - 0.9 ** (turn + 1))
+            w[k] -= x
     return net
 
 
@@ -330,16 +339,30 @@ def corpus_words(scratch: Scratch, docs: DataFrame) -> tuple[Words, DataFrame, n
     return Words(short[s], ids[s], h[k], c[k], int(total), int(distinct), int(counts[RARE]), int(distinct) - (len(short) - 1) - int(bool(ends))), table, counts
 
 
-def _train_shard(flat: np.ndarray, words: Words):
+def _encode(words: Words):
+    """Task: texts to their tokens' ids, two bytes each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, data, offsets in K.text_chunks(batch.column("text")):
+                h, edges = tokens(data, offsets)
+                ids = words.ids(h).astype(np.int16)
+                coded = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer((2 * edges).astype(np.int32)), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([batch.column("key").slice(a, b - a), batch.column("size").slice(a, b - a), coded], ["key", "size", "ids"])
+
+    return run
+
+
+def _train_shard(flat: np.ndarray):
     """Task for one shard: the weights after training on it."""
 
     def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("key")
         parts, sizes = [], []
-        for chunk in table.column("text").chunks:
+        for chunk in table.column("ids").chunks:
             for _, _, data, offsets in K.text_chunks(chunk):
-                h, edges = tokens(data, offsets)
-                parts.append(words.ids(h))
-                sizes.append(np.diff(edges))
+                parts.append(data.view(np.int16))
+                sizes.append(np.diff(offsets) // 2)
         ids, edges = np.concatenate(parts), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
         out = train_network(Network.of(flat), ids, edges).flat()
         return pa.table({"at": pa.array(np.arange(len(out)), pa.int32()), "x": pa.array(out.astype(np.float64) * len(ids)), "n": pa.array(np.full(len(out), float(len(ids))))})
@@ -347,21 +370,28 @@ def _train_shard(flat: np.ndarray, words: Words):
     return run
 
 
-def train(spark: SparkSession, docs: DataFrame, words: Words, counts: np.ndarray) -> Network:
-    """The network after ROUNDS rounds over shares of docs(doc_id, text)."""
-    net = Network.start(counts)
+def deal(scratch: Scratch, docs: DataFrame, words: Words) -> DataFrame:
+    """(key, ids, round, shard): every row of docs(text) in one shard of one round."""
+    rows = docs.select(text_key("text").alias("key"), (F.length("text") + 1).cast("long").alias("size"), "text")
+    coded = scratch.save(rows.mapInArrow(_encode(words), "key long, size long, ids binary"), "coded")
+    chars = coded.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    slots = F.lit(ROUNDS * max(1, round(chars / ROUNDS / SHARD_CHARS)))
+    slot = F.pmod("key", slots)
+    return coded.select("key", "ids", (slot % ROUNDS).alias("round"), F.floor(slot / ROUNDS).alias("shard"))
+
+
+def train(scratch: Scratch, docs: DataFrame, words: Words, counts: np.ndarray) -> Network:
+    """The network after one pass over docs(text) in ROUNDS rounds."""
+    net, dealt = Network.start(counts), deal(scratch, docs, words)
     for k in range(ROUNDS):
-        part = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("lm")), F.lit(SHARE)) == k).select("text")
-        chars = part.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-        if not chars:
-            continue
-        shards = max(1, round(chars / SHARD_CHARS))
-        dealt = part.withColumn("shard", F.pmod(F.xxhash64("text"), F.lit(shards)))
-        weights = dealt.groupBy("shard").applyInArrow(_train_shard(net.flat(), words), "at int, x double, n double")
+        weights = dealt.where(F.col("round") == k).groupBy("shard").applyInArrow(_train_shard(net.flat()), "at int, x double, n double")
         mean = weights.groupBy("at").agg((F.sum("x") / F.sum("n")).alias("x")).toArrow()  # as many rows as the network has weights
+        if not mean.num_rows:
+            continue  # so few rows that all are in the other rounds
         flat = np.zeros(len(net.flat()), np.float32)
         flat[mean.column("at").to_numpy()] = mean.column("x").to_numpy()
         net = Network.of(flat)
+    scratch.drop("coded")
     return net
 
 
@@ -395,7 +425,7 @@ def score_table(spark: SparkSession, docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     taught = docs.where(~held_out(F.col("doc_id")))
     words, table, counts = corpus_words(scratch, taught)
-    net = train(spark, taught, words, counts)
+    net = train(scratch, taught, words, counts)
     schema = "doc_id long, n_tokens long, n_known long, base double, model double, far array<long>"
     rows = docs.mapInArrow(_score(net.flat(), words), schema).withColumn("uid", F.monotonically_increasing_id())
     rows = scratch.save(rows, "scored")

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import re
+import uuid
 import zlib
 from collections import Counter
 
@@ -249,6 +250,31 @@ def test_lm(spark, docs, texts, empty):
     assert lm.score_table(spark, empty).count() == 0
 
 
+def _learned(spark, rows, folder, monkeypatch):
+    """Tokens that each shard learns from."""
+    real = lm._train_shard
+
+    def spy(*given):
+        inner = real(*given)
+
+        def run(table):
+            out = inner(table)
+            (folder / uuid.uuid4().hex).write_text(str(int(out.column("n")[0].as_py())))
+            return out
+
+        return run
+
+    monkeypatch.setattr(lm, "_train_shard", spy)
+    lm.score_table(spark, spark.createDataFrame(rows, "doc_id long, text string"))
+    return [int(f.read_text()) for f in folder.iterdir()]
+
+
+def test_lm_learns_every_row(spark, tmp_path, monkeypatch):
+    rows = [(i if i % 3 else None, None if i == 4 else f"word{i % 7} and{i} more") for i in range(60)] + [(1, "word1 and1 more")]
+    want = sum(len(words(t)) + 1 for i, t in rows if i is None or zlib.crc32(str(i).encode()) % 10)
+    assert sum(_learned(spark, rows, tmp_path, monkeypatch)) == want
+
+
 def test_lm_gradients():
     rng = np.random.default_rng(0)
     counts = np.full(lm.CLASSES * lm.WITHIN, 1.0)
