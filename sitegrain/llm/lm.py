@@ -11,6 +11,7 @@ The network is a gated recurrent unit, trained in numpy by truncated back-propag
 WINDOW steps, the state being carried from window to window to the end of each text. Its output biases start
 at the corpus' frequencies. Every training row is learned from once: rows are dealt to ROUNDS rounds of shards of about
 SHARD_CHARS characters; each shard trains a copy of the network and Spark averages the copies, round by round.
+Copies of a text are counted, and each shard gets its part of the count, so no text makes a shard larger than others.
 Scoring runs many texts side by side and carries each state through the whole text.
 
 Counts of the HEAD most frequent words (a bounded broadcast of 16 bytes each) are looked up in the tasks; the words
@@ -358,6 +359,7 @@ def _train_shard(flat: np.ndarray):
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("key")
+        table = table.take(pa.array(np.repeat(np.arange(table.num_rows), table.column("times").to_numpy())))
         parts, sizes = [], []
         for chunk in table.column("ids").chunks:
             for _, _, data, offsets in K.text_chunks(chunk):
@@ -371,13 +373,16 @@ def _train_shard(flat: np.ndarray):
 
 
 def deal(scratch: Scratch, docs: DataFrame, words: Words) -> DataFrame:
-    """(key, ids, round, shard): every row of docs(text) in one shard of one round."""
+    """(key, ids, times, round, shard): every row of docs(text) in one shard of one round, `times` rows of a text in each."""
     rows = docs.select(text_key("text").alias("key"), (F.length("text") + 1).cast("long").alias("size"), "text")
-    coded = scratch.save(rows.mapInArrow(_encode(words), "key long, size long, ids binary"), "coded")
-    chars = coded.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    coded = rows.mapInArrow(_encode(words), "key long, size long, ids binary").groupBy("key").agg(F.first("size").alias("size"), F.first("ids").alias("ids"), F.count("*").alias("n"))
+    coded = scratch.save(coded, "coded")
+    chars = coded.agg(F.coalesce(F.sum(F.col("size") * F.col("n")), F.lit(0))).first()[0]
     slots = F.lit(ROUNDS * max(1, round(chars / ROUNDS / SHARD_CHARS)))
-    slot = F.pmod("key", slots)
-    return coded.select("key", "ids", (slot % ROUNDS).alias("round"), F.floor(slot / ROUNDS).alias("shard"))
+    each = coded.select("key", "ids", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.least("n", slots) - 1)).alias("j"))
+    slot = F.pmod(F.pmod("key", slots) + F.col("j"), slots)
+    times = F.floor(F.col("n") / slots) + F.when(F.col("j") < F.col("n") % slots, 1).otherwise(0)
+    return each.select("key", "ids", times.alias("times"), (slot % ROUNDS).alias("round"), F.floor(slot / ROUNDS).alias("shard"))
 
 
 def train(scratch: Scratch, docs: DataFrame, words: Words, counts: np.ndarray) -> Network:

@@ -275,6 +275,14 @@ def test_lm_learns_every_row(spark, tmp_path, monkeypatch):
     assert sum(_learned(spark, rows, tmp_path, monkeypatch)) == want
 
 
+def test_lm_shards_are_bounded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD_CHARS", 2000)
+    rows = [(None, "the same text in very many rows")] * 1001 + [(i, f"another text {i}") for i in range(500)]
+    got = _learned(spark, rows, tmp_path, monkeypatch)
+    assert sum(got) == 1001 * 8 + sum(4 for i in range(500) if zlib.crc32(str(i).encode()) % 10)
+    assert max(got) < 2 * sum(got) / len(got) and len(got) >= 15
+
+
 def test_lm_gradients():
     rng = np.random.default_rng(0)
     counts = np.full(lm.CLASSES * lm.WITHIN, 1.0)
