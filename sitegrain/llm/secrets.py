@@ -1,9 +1,10 @@
 """Secret scans by character Markov models, DataFrame functions only (operator 10).
 
-Base spans come from three fixed patterns. The method adds spans: runs of 20 to 200 token characters
+Base spans come from three fixed patterns. The method adds spans: runs of 20 or more token characters
 are scored by the log-likelihood ratio of two first-order Markov models over the 64 characters
 A-Z a-z 0-9 + / (with _ and - read as those two), one of random strings and one of ordinary identifiers.
-A run is added where its ratio per transition exceeds `threshold` and it touches no base span.
+Base spans are cut out of a run first, and each part of 20 or more characters is a run of its own. A run is added
+where its ratio per transition exceeds `threshold`. Sums over long runs are taken PIECE transitions at a time.
 
 Both models are trained from labelled samples of the table itself: random are the values that the base
 patterns found, ordinary are words of eight or more token characters outside base spans. Up to SAMPLE_DOCS
@@ -37,7 +38,8 @@ KINDS = ("assign", "access", "hex", "markov")
 SAMPLE_DOCS = 2000
 PRIOR = 20_000
 THRESHOLD = 0.1
-LONGEST = 200
+SHORTEST = 20  # as in RUN
+PIECE = 65_536
 SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 
 SPAN = "array<struct<s:int,kind:int,e:int>>"
@@ -98,6 +100,24 @@ def _transitions(value: Column) -> Column:
     return F.transform(F.filter(F.arrays_zip(F.slice(codes, 1, F.greatest(F.size(codes) - 1, F.lit(0))).alias("a"), F.slice(codes, 2, F.greatest(F.size(codes) - 1, F.lit(1))).alias("b")), lambda z: (z["a"] >= 0) & (z["b"] >= 0)), lambda z: z["a"] * 64 + z["b"])
 
 
+def _pieces(text: Column, s: Column, e: Column) -> Column:
+    """Array of the strings whose transitions are those of text from s to e: each begins with the last character of the one before."""
+    many = F.floor(F.greatest(e - s - 2, F.lit(0)) / PIECE).cast("int")
+    return F.transform(F.sequence(F.lit(0), many), lambda i: F.substring(text, s + i * PIECE + 1, F.least(F.lit(PIECE + 1), e - s - i * PIECE)))
+
+
+def _outside(x: Column, known: Column) -> Column:
+    """Array of the parts of span x outside the known spans, as far as they are long enough for a run."""
+    inside = F.filter(known, lambda k: (k["s"] < x["e"]) & (x["s"] < k["e"]))
+    part = lambda a, b: F.when(b - a >= SHORTEST, F.array(F.struct(a.cast("int").alias("s"), F.lit(3).alias("kind"), b.cast("int").alias("e")))).otherwise(_none())
+    parts = F.aggregate(
+        F.array_sort(inside), F.struct(x["s"].alias("at"), _none().alias("out")),
+        lambda acc, k: F.struct(F.greatest(acc["at"], k["e"]).alias("at"), F.concat(acc["out"], part(acc["at"], k["s"])).alias("out")),
+        lambda acc: F.concat(acc["out"], part(acc["at"], x["e"])),
+    )
+    return F.when(F.exists(known, lambda k: (k["s"] < x["e"]) & (x["s"] < k["e"])), parts).otherwise(F.array(x))
+
+
 def _code_table() -> Column:
     """128 codes by ASCII value; -1 for all that is not a token character."""
     return F.lit([SYMBOLS.find(chr(i)) if i else -1 for i in range(128)])
@@ -130,18 +150,19 @@ def train(docs: DataFrame) -> Models:
     order = [F.xxhash64("text"), F.length("text")]
 
     def counts(values: DataFrame) -> dict[int, int]:
-        found = values.select(F.explode(_transitions(F.col("v"))).alias("t")).groupBy("t").count()
+        pieces = values.select(F.explode(_pieces(F.col("v"), F.lit(0), F.length("v"))).alias("v"))
+        found = pieces.select(F.explode(_transitions(F.col("v"))).alias("t")).groupBy("t").count()
         return {r["t"]: r["count"] for r in found.collect()}
 
     some = rows.orderBy(*order).limit(SAMPLE_DOCS)
-    words = some.select(F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("v"), F.lit(True)).where(~F.col("v").rlike(HEX) & ~F.col("v").rlike(ACCESS) & (F.length("v") <= LONGEST))
+    words = some.select(F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("v"), F.lit(True)).where(~F.col("v").rlike(HEX) & ~F.col("v").rlike(ACCESS))
     words = words.where(~F.col("v").rlike("[0-9]") | (F.length("v") < 16))
     held = rows.where(hint | F.contains("text", F.lit("AKIA")) | F.col("text").rlike(HEX)).orderBy(*order).limit(SAMPLE_DOCS)
     values = held.select(F.explode(F.concat(
         F.filter(F.regexp_extract_all("text", F.lit(ASSIGN), F.lit(2)), lambda v: F.length(v) >= 12),
         F.regexp_extract_all("text", F.lit("AKIA([A-Z0-9]{14,})"), F.lit(1)),
         F.regexp_extract_all("text", F.lit(HEX), F.lit(0)),
-    )).alias("v")).where(F.length("v") <= LONGEST)
+    )).alias("v"))
     return Models(counts(values), counts(words))
 
 
@@ -158,11 +179,14 @@ def scan(docs: DataFrame, models: Models | None = None, threshold: float = THRES
     ratio = F.lit(models.ratio)
 
     def scored(x: Column) -> Column:
-        steps = _transitions(F.substring(text, x["s"] + 1, x["e"] - x["s"]))
-        total = F.aggregate(steps, F.lit(0.0), lambda acc, t: acc + F.element_at(ratio, t + 1))
-        return (x["e"] - x["s"] <= LONGEST) & ~F.exists(known, lambda k: (k["s"] < x["e"]) & (x["s"] < k["e"])) & (total > threshold * (x["e"] - x["s"] - 1))
-
-    rows = rows.withColumn("__markov", F.when(F.size("__runs") > 0, F.filter("__runs", scored)).otherwise(_none()))
+        total = F.aggregate(
+            _pieces(text, x["s"], x["e"]), F.lit(0.0),
+            lambda acc, v: acc + F.aggregate(_transitions(v), F.lit(0.0), lambda sum_, t: sum_ + F.element_at(ratio, t + 1)),
+        )
+        return total > threshold * (x["e"] - x["s"] - 1)
+
+    parts = F.flatten(F.transform("__runs", lambda x: _outside(x, known)))
+    rows = rows.withColumn("__markov", F.when(F.size("__runs") > 0, F.filter(parts, scored)).otherwise(_none()))
     return rows.drop("__runs")
 
 

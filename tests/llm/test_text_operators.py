@@ -219,6 +219,21 @@ def test_secrets(spark, empty):
     assert secrets.digest(empty).count() == 0
 
 
+def test_secrets_of_any_length(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    key = lambda n: "".join(rng.choice(list(secrets.SYMBOLS), n)) + "z/"
+    long, left, right, hexes = key(900), key(60), "/Z" + key(60), "0123456789abcdef0123"
+    parts = ["ordi", "nary", "iden", "ti", "fier", "value", "mark", "jump", "ex", "zo", "wake", "quo", "bel", "chy", "pro", "gus", "vim"]
+    plain = " ".join("".join(rng.choice(parts, 6)) for _ in range(2000))
+    docs = spark.createDataFrame([(1, f"see {long} here"), (2, left + hexes + right), (3, plain), (4, "short/" + hexes + "/short")], "doc_id long, text string")
+    for piece in (secrets.PIECE, 50):
+        monkeypatch.setattr(secrets, "PIECE", piece)
+        got = {r["doc_id"]: r["spans"] for r in secrets.digest(docs).collect()}
+        a, b = len(left), len(left) + len(hexes)
+        assert got == {1: f"markov:4:{4 + len(long)}", 2: f"markov:0:{a},hex:{a}:{b},markov:{b}:{b + len(right)}", 3: "", 4: "hex:6:26"}
+    assert {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()}[1] == "see [SECRET] here"
+
+
 def test_quality(spark, empty):
     rng = np.random.default_rng(1)
     good = lambda: " ".join(rng.choice(["river", "stone", "walked", "under", "a", "quiet", "the", "sky."], 40))
