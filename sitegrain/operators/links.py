@@ -13,25 +13,25 @@ SCRIPT = r"""(?i)<script[^>]+src=["']([^"']+)["']"""
 LOC = r"(?is)<loc>\s*(.*?)\s*</loc>"
 
 
-def anchors(pages: DataFrame) -> DataFrame:
-    """(url, pos, link): absolute addresses of the links of pages(url, html)."""
-    rows = pages.select("url", F.posexplode(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(HREF), F.lit(1))).alias("pos", "href"))
+def anchors(pages: DataFrame, *keys: str) -> DataFrame:
+    """(*keys, url, pos, link): absolute addresses of the links of pages(*keys, url, html)."""
+    rows = pages.select(*keys, "url", F.posexplode(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(HREF), F.lit(1))).alias("pos", "href"))
     rows = rows.withColumn("href", F.trim("href")).where("href <> ''").where(~F.col("href").rlike("^(?:#|javascript:|mailto:|tel:)"))
-    return rows.select("url", "pos", U.resolve("url", "href").alias("link"))
+    return rows.select(*keys, "url", "pos", U.resolve("url", "href").alias("link"))
 
 
-def _limited(rows: DataFrame, limit: int) -> DataFrame:
-    rows = first_of(rows, ["url", "link"], ["pos"])
-    rows = rows.withColumn("pos", F.row_number().over(Window.partitionBy("url").orderBy("pos")))
-    return rows.where(F.col("pos") <= limit).select("url", F.col("pos").cast("int").alias("pos"), "link")
+def _limited(rows: DataFrame, limit: int, *keys: str) -> DataFrame:
+    rows = first_of(rows, [*keys, "url", "link"], ["pos"])
+    rows = rows.withColumn("pos", F.row_number().over(Window.partitionBy(*keys, "url").orderBy("pos")))
+    return rows.where(F.col("pos") <= limit).select(*keys, "url", F.col("pos").cast("int").alias("pos"), "link")
 
 
-def same_site(pages: DataFrame, limit: int = 80) -> DataFrame:
-    """(url, pos, link): supported links to the page's host, its sub-domains and parents."""
+def same_site(pages: DataFrame, limit: int = 80, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(*keys, url, pos, link): supported links to the page's host, its sub-domains and parents; `keys` tell pages of one url apart."""
     a, b = F.lower(U.netloc("link")), F.lower(U.netloc("url"))
     near = (a != "") & (b != "") & ((a == b) | F.endswith(a, F.concat(F.lit("."), b)) | F.endswith(b, F.concat(F.lit("."), a)))
-    rows = anchors(pages).where(near).withColumn("link", U.normalize_discovery("link")).where(U.is_supported("link"))
-    return _limited(rows, limit)
+    rows = anchors(pages, *keys).where(near).withColumn("link", U.normalize_discovery("link")).where(U.is_supported("link"))
+    return _limited(rows, limit, *keys)
 
 
 def same_organisation(pages: DataFrame, limit: int = 2) -> DataFrame:

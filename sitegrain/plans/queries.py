@@ -93,9 +93,8 @@ e AS (SELECT url, link, min(pos) AS pos FROM c WHERE NOT regexp_matches(lower(li
 
 @query(LINKS + " SELECT url, cast(row_number() OVER (PARTITION BY url ORDER BY pos) AS integer) AS pos, link FROM e QUALIFY pos <= 80")
 def same_site_links(spark: SparkSession, d: str) -> DataFrame:
-    pages = table(spark, d, "pages")
-    once = pages.groupBy("url").agg(F.min("html").alias("html"), F.count("*").alias("n")).where("n = 1")
-    return links.same_site(once.select("url", "html"))
+    pages = table(spark, d, "pages").select("page_id", "url", "html")
+    return links.same_site(pages, keys=("page_id",)).drop("page_id")  # a url that was fetched again has the links of each fetch
 
 
 # ---- candidates -------------------------------------------------------------------------------------------------

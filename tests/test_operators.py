@@ -77,3 +77,15 @@ def test_plan_limits(spark):
     got = [(r["role"], r["pos"]) for r in plan.collect()]
     assert len(got) == 4 and sorted(x for x, _ in got if x == "rep") == ["rep"] * 3
     assert not any("forums" in r["url"] for r in plan.collect())
+
+
+def test_links_of_repeated_urls(spark, tmp_path):
+    from sitegrain.plans.queries import same_site_links
+
+    rows = [(1, "https://kiln.de/", '<a href="/a"></a>'), (2, "https://kiln.de/", '<a href="/a"></a><a href="/b"></a>'), (3, "https://oak.de/", '<a href="/c"></a>')]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = same_site_links(spark, str(tmp_path))
+    assert got.columns == ["url", "pos", "link"]
+    assert sorted(map(tuple, got.collect())) == [
+        ("https://kiln.de/", 1, "https://kiln.de/a"), ("https://kiln.de/", 1, "https://kiln.de/a"), ("https://kiln.de/", 2, "https://kiln.de/b"), ("https://oak.de/", 1, "https://oak.de/c"),
+    ]
