@@ -4,23 +4,40 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side of a join is broadcast only if it was counted to hold at most this many 8-byte cells (about 32 MB as a table).
-BROADCAST_CELLS = 1_500_000
+#: Most rows that a task of a written table sends to Python at a time.
+BATCH_CONF, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
+#: Bits of a bitmap of keys (16 MB, whatever the corpus).
+BITMAP_BITS = 1 << 27
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a fresh local one only where that is unset, as in tests."""
+    """The folder in spark.checkpoint.dir; a fresh local one only where that is unset and Spark runs in one process, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="sitegrain-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """A column name that docs does not have yet."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 class Scratch:
     """Written tables in the shared folder: they cut lineage and survive lost executors."""
 
@@ -28,8 +45,13 @@ class Scratch:
         self.spark, self.root = spark, f"{shared_folder(spark)}/sitegrain/{name}-{uuid.uuid4().hex[:12]}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}"
-        df.write.option("compression", "zstd").parquet(path)
+        path, conf = f"{self.root}/{name}", self.spark.conf
+        before = conf.get(BATCH_CONF)
+        conf.set(BATCH_CONF, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS))
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            conf.set(BATCH_CONF, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
@@ -39,14 +61,32 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def join_counted(big: DataFrame, small: DataFrame, on: list[str] | str, how: str, cells: int = BROADCAST_CELLS, lists: str | None = None) -> DataFrame:
-    """Join that broadcasts `small` (a written table) if it has few cells, and shuffles both sides otherwise.
+def key_bitmap(keys: DataFrame) -> Broadcast:
+    """A bitmap of BITMAP_BITS bits in 64-bit words: the only column of `keys`, 64-bit, modulo its length."""
+    spark = keys.sparkSession
+    cells = keys.select(F.pmod(F.col(keys.columns[0]), F.lit(BITMAP_BITS)).alias("cell"))
+    words = cells.groupBy(F.expr("cell div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(cell % 64 AS int)))").alias("bits")).toArrow()
+    bits = np.zeros(BITMAP_BITS // 64, np.int64)
+    bits[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return spark.sparkContext.broadcast(bits)
+
+
+def in_bitmap(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    cell = np.mod(keys, BITMAP_BITS)
+    return (bits[cell >> 6] >> (cell & 63)) & 1 == 1
 
-    A row counts its columns and, where `lists` names a column of arrays, two for each entry of its array.
+
+def maybe_among(bitmap: Broadcast) -> Callable[[Column | str], Column]:
+    """A test of 64-bit keys against a key_bitmap: false only for keys that are not in it.
+
+    An exact join after it moves few other rows; with very many keys it lets all pass, and the join moves them all.
     """
-    width = F.lit(len(small.columns)) + (2 * F.coalesce(F.size(lists), F.lit(0)) if lists else F.lit(0))
-    held = small.agg(F.sum(width)).first()[0] or 0
-    return big.join(F.broadcast(small) if held <= cells else small.hint("merge"), on, how)
+
+    @F.arrow_udf("boolean")
+    def among(x: pa.Array) -> pa.Array:
+        return pa.array(in_bitmap(bitmap.value, x.to_numpy(zero_copy_only=False)))
+
+    return among
 
 
 def merged_spans(spans: Column) -> Column:
@@ -88,5 +128,6 @@ def components(scratch: Scratch, links: DataFrame, name: str) -> DataFrame:
         if summary == state:
             break
         state = summary
+    scratch.drop(*[f"{name}-{k}" for k in range(turn)])
     roots = edges.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)

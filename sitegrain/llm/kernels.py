@@ -14,7 +14,7 @@ import pyarrow as pa
 import xxhash
 
 #: Bytes of text handled at a time (a longer single text is one piece of its own).
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 #: Words longer than this many bytes are hashed one by one.
 LONG_WORD = 256
 

@@ -30,20 +30,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import Scratch, components, join_counted
+from .common import Scratch, components, fresh, in_bitmap, key_bitmap, maybe_among, text_key
 
 WORDS = 5
 PERCENT = 75
 #: Frequent shingles whose order is kept (16 bytes each), and the share of texts they are counted in.
 FREQUENT, SAMPLE = 65_536, 16
-#: Nodes in one trie.
-BLOCK = 256
-#: Bits of the map of shared prefix shingles (16 MB, whatever the corpus).
-BITMAP_BITS = 1 << 27
+#: Nodes in one trie, and shingles of all of them (a longer set is a block of its own, with the group's smallest node).
+BLOCK, BLOCK_SHINGLES = 256, 1 << 20
+#: Shingles in one batch of sets sent to the tries.
+BATCH_SHINGLES = 1 << 18
+#: Stands for a null doc_id in joins.
+NONE = -(2**63)
 
 
 def _prefix_len(n: np.ndarray | int, percent: int):
@@ -76,10 +78,11 @@ class Order:
         return values, edges, K.to_signed(node)
 
 
-def _digest(order: Order, percent: int):
-    """Task: texts to (doc_id, node, n, prefix)."""
+def _digest(order_sent: Broadcast, percent: int):
+    """Task: texts to (doc_id, key, node, n, prefix)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = order_sent.value
         for batch in batches:
             for a, b, data, offsets in K.text_chunks(batch.column("text")):
                 values, edges, node = order.sets(data, offsets)
@@ -87,20 +90,20 @@ def _digest(order: Order, percent: int):
                 p = np.where(n > 0, _prefix_len(n, percent), 0)
                 at = np.repeat(edges[:-1] - np.concatenate([[0], np.cumsum(p)[:-1]]), p) + np.arange(p.sum())
                 prefix = K.list_array(K.to_signed(values[at]), np.concatenate([[0], np.cumsum(p)]))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(node), pa.array(n.astype(np.int64)), prefix], ["doc_id", "node", "n", "prefix"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("key").slice(a, b - a), pa.array(node), pa.array(n.astype(np.int64)), prefix], ["doc_id", "key", "node", "n", "prefix"])
 
     return run
 
 
-def _maybe_shared(bitmap: Broadcast):
-    """Task: (node, n, prefix) to one row for each prefix shingle whose bit is set."""
+def _maybe_shared(bitmap: Broadcast, skip: Broadcast | None = None):
+    """Task: (node, n, prefix) to one row for each prefix shingle whose bit is set; nodes in `skip` are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = bitmap.value
         for batch in batches:
+            if skip:
+                batch = batch.filter(pa.array(~in_bitmap(skip.value, batch.column("node").to_numpy())))
             tokens, length = batch.column("prefix").flatten().to_numpy(), batch.column("prefix").value_lengths().to_numpy()
-            cell = np.mod(tokens, BITMAP_BITS)
-            at = np.flatnonzero((bits[cell >> 6] >> (cell & 63)) & 1)
+            at = np.flatnonzero(in_bitmap(bitmap.value, tokens))
             row = np.repeat(np.arange(len(batch)), length)[at]
             pos = at - np.concatenate([[0], np.cumsum(length)])[row]
             node, n = batch.column("node").to_numpy()[row], batch.column("n").to_numpy()[row]
@@ -119,22 +122,28 @@ def _sample_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield pa.RecordBatch.from_arrays([pa.array(K.to_signed(token)), pa.array(count.astype(np.int64))], ["token", "count"])
 
 
-def _blocks_of_sets(order: Order):
+def _blocks_of_sets(order_sent: Broadcast):
     """Task: (want, text) to (block, node, tokens): a row for each block that wants the text's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = order_sent.value
         for batch in batches:
             named, want = batch.column("node").to_numpy(), batch.column("want")
-            for a, b, data, offsets in K.text_chunks(batch.column("text"), 1 << 19):
+            for a, b, data, offsets in K.text_chunks(batch.column("text")):
                 values, edges, node = order.sets(data, offsets)
                 lists = want.slice(a, b - a)
                 flat = lists.flatten()
                 rows = np.repeat(np.arange(b - a), lists.value_lengths().to_numpy(zero_copy_only=False))
                 sure = node[rows] == named[a + rows]
                 rows, flat = rows[sure], flat.filter(pa.array(sure))
-                sets = K.list_array(K.to_signed(values), edges).take(pa.array(rows))
-                for k in range(0, len(rows), 500):
-                    yield pa.RecordBatch.from_arrays([flat.field(0).slice(k, 500), flat.field(1).slice(k, 500), pa.array(node[rows[k : k + 500]]), sets.slice(k, 500)], ["block", "probe", "node", "tokens"])
+                sets = K.list_array(K.to_signed(values), edges)
+                held = np.concatenate([[0], np.cumsum(np.diff(edges)[rows])])
+                k = 0
+                while k < len(rows):
+                    e = max(k + 1, int(np.searchsorted(held, held[k] + BATCH_SHINGLES, "right")) - 1)
+                    part = slice(k, e)
+                    yield pa.RecordBatch.from_arrays([flat.field(0).slice(k, e - k), flat.field(1).slice(k, e - k), pa.array(node[rows[part]]), sets.take(pa.array(rows[part]))], ["block", "probe", "node", "tokens"])
+                    k = e
 
     return run
 
@@ -250,29 +259,29 @@ def _link_block(percent: int):
     return run
 
 
-def component_table(spark: SparkSession, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of docs(doc_id, text); see the module."""
-    scratch = Scratch(spark, "ngram")
+def _rows_of(spark: SparkSession, scratch: Scratch, docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, key, node, n) of each row of docs(doc_id, text), and (node, component), component the smallest node reached, of nodes with links."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(_sample_tokens, "token long, count long")
     frequent = sample.groupBy("token").agg(F.sum("count").alias("count")).where("count > 2").orderBy(F.desc("count"), "token").limit(FREQUENT).toPandas()
     order = Order(frequent["token"].to_numpy(np.int64).view(np.uint64), frequent["count"].to_numpy(np.int64))
-    order_sent = spark.sparkContext.broadcast(order)  # FREQUENT entries at most
-    digest = scratch.save(docs.mapInArrow(_digest(order_sent.value, percent), "doc_id long, node long, n long, prefix array<long>"), "digest")
-    none = F.lit(-(2**63))
-    holders = scratch.save(digest.where("n > 0").groupBy("node").agg(F.min(F.coalesce("doc_id", none)).alias("holder")), "holders")
-    held = digest.where("n > 0").withColumn("holder", F.coalesce("doc_id", none))
-    held = join_counted(held, holders, ["node", "holder"], "left_semi").select("node", "n", "prefix")
-    tokens = held.select(F.explode("prefix").alias("token"))
+    order = spark.sparkContext.broadcast(order)  # FREQUENT entries at most
+    digest = docs.select("doc_id", text_key("text").alias("key"), "text").mapInArrow(_digest(order, percent), "doc_id long, key long, node long, n long, prefix array<long>")
+    digest = scratch.save(digest, "digest")
+    none = F.lit(NONE)
+    full = digest.where("n > 0").withColumn("holder", F.coalesce("doc_id", none))
+    holders = scratch.save(full.groupBy("node").agg(F.min("holder").alias("holder"), F.count("*").alias("copies")), "holders")
+    # one row for each node; only rows that may be copies are joined
+    bits = key_bitmap(holders.where("copies > 1").select("node"))
+    copied, full = maybe_among(bits), full.select("node", "holder", "n", "prefix")
+    one = full.where(copied("node")).join(holders.hint("merge"), ["node", "holder"], "left_semi")
+    tokens = full.where(~copied("node")).union(one.select(*full.columns)).select(F.explode("prefix").alias("token"))
     shared = scratch.save(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "shared")
     # most prefix shingles are not shared: a bitmap of fixed size drops nearly all of them before the exact join
-    cell = F.pmod("token", F.lit(BITMAP_BITS))
-    words = shared.select(cell.alias("cell")).groupBy(F.expr("cell div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(cell % 64 AS int)))").alias("bits")).toArrow()
-    bitmap = np.zeros(BITMAP_BITS // 64, np.int64)
-    bitmap[words.column("word").to_numpy()] = words.column("bits").to_numpy()
-    bitmap_sent = spark.sparkContext.broadcast(bitmap)  # BITMAP_BITS / 8 bytes
-    maybe = held.mapInArrow(_maybe_shared(bitmap_sent), "node long, n long, pos int, token long")
-    near = maybe.join(shared, "token").dropDuplicates(["token", "node"])
+    words, schema = key_bitmap(shared.select("token")), "node long, n long, pos int, token long"
+    maybe = full.select("node", "n", "prefix").mapInArrow(_maybe_shared(words, bits), schema)
+    maybe = maybe.union(one.select("node", "n", "prefix").mapInArrow(_maybe_shared(words), schema))
+    near = maybe.join(shared.hint("merge"), "token").dropDuplicates(["token", "node"])
     near = near.withColumn("before", F.row_number().over(Window.partitionBy("node").orderBy("pos")) - 1)  # shared ones before it
     near = scratch.save(near, "near")
     scratch.drop("shared")
@@ -280,65 +289,93 @@ def component_table(spark: SparkSession, docs: DataFrame, percent: int = PERCENT
     # tries of the nodes that share their most common prefix shingles, if they share many of them
     own = Window.partitionBy("node")
     many = near.withColumn("held", F.count("*").over(own)).where(F.col("held") * 10 >= 3 * (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1))
-    top = many.withColumn("r", F.row_number().over(own.orderBy(F.desc("df"), "token"))).where("r <= 2")
-    groups = top.groupBy("token").agg(F.count("*").alias("m"), F.min("node").alias("center")).where("m > 1")
-    member = top.select("token", "node").join(groups, "token")
-    parts = F.ceil(F.col("m") / BLOCK).cast("int")
-    placed = member.select("node", F.xxhash64("token", F.pmod(F.xxhash64("node", "token"), parts).cast("long")).alias("block"), F.lit(False).alias("probe"))
-    centers = groups.select(F.col("center").alias("node"), "token", F.explode(F.sequence(F.lit(0).cast("long"), (F.ceil(F.col("m") / BLOCK) - 1).cast("long"))).alias("part"))
+    top = scratch.save(many.withColumn("r", F.row_number().over(own.orderBy(F.desc("df"), "token"))).where("r <= 2").select("token", "node", "n"), "top")
+    groups = top.groupBy("token").agg(F.count("*").alias("m"), F.sum("n").alias("size"), F.min("node").alias("center")).where("m > 1")
+    groups = scratch.save(groups.select("token", "center", _parts("m", "size").alias("parts")), "groups")
+    member = top.join(groups.hint("merge"), "token")
+    placed = member.select("node", F.xxhash64("token", F.pmod(F.xxhash64("node", "token"), F.col("parts"))).alias("block"), F.lit(False).alias("probe"))
+    centers = groups.select(F.col("center").alias("node"), "token", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
     centers = centers.select("node", F.xxhash64("token", "part").alias("block"), F.lit(False).alias("probe"))
     links = _verify(scratch, docs, holders, placed.union(centers), order, percent, "family")
-    family = components(scratch, links, "family-cc")
-    family = scratch.save(family, "family")
+    family = scratch.save(components(scratch, links, "family-cc"), "family")
+    scratch.drop("top", "groups")
 
     # pairs of different components that share prefix shingles
-    tagged = join_counted(near.select("token", "node", "n", "pos", "before"), family, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = tagged.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-    open_ = scratch.save(tagged.join(mixed, "token", "left_semi"), "open")
+    tagged = near.select("token", "node", "n", "pos", "before").join(family.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    tagged = scratch.save(tagged, "tagged")
+    mixed = scratch.save(tagged.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token"), "mixed")
+    open_ = scratch.save(tagged.join(mixed.hint("merge"), "token", "left_semi"), "open")
+    scratch.drop("near", "tagged", "mixed")
     x, y = (open_.select("token", *[F.col(c).alias(f"{k}_{c}") for c in ("node", "n", "pos", "before", "component")]) for k in "ab")
     # all that two sets share before a shared shingle is shared by prefixes too; behind it, the shorter rest is the bound
     reach = F.least("a_before", "b_before") + 1 + F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos")) - 1
-    met = x.join(y, "token").where(((100 + percent) * reach >= percent * (F.col("a_n") + F.col("b_n"))) & (F.col("a_component") != F.col("b_component")) & (100 * F.col("a_n") >= percent * F.col("b_n")) & ((F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_node") < F.col("b_node")))))
+    met = x.join(y.hint("merge"), "token").where(((100 + percent) * reach >= percent * (F.col("a_n") + F.col("b_n"))) & (F.col("a_component") != F.col("b_component")) & (100 * F.col("a_n") >= percent * F.col("b_n")) & ((F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_node") < F.col("b_node")))))
     pairs = met.groupBy(F.col("a_node").alias("a"), F.col("b_node").alias("b")).agg(F.count("*").alias("c"), F.first("a_n").alias("na"), F.first("b_n").alias("nb"), F.max("a_pos").alias("ia"), F.max("b_pos").alias("ib"))
     # what may still be shared: all after the last shared prefix shingle, and no more than lies behind the longer prefix
     after = F.least(F.col("na") - 1 - F.col("ia"), F.col("nb") - 1 - F.col("ib"), F.ceil(F.col("nb") * percent / 100) - 1)
-    pairs = pairs.where((100 + percent) * (F.col("c") + after) >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = scratch.save(pairs, "pairs")
-    part = F.pmod(F.xxhash64("b"), F.ceil(F.col("m") / BLOCK).cast("int"))
-    numbered = pairs.join(pairs.groupBy("a").agg(F.count("*").alias("m")), "a").withColumn("block", F.xxhash64("a", part))
+    pairs = pairs.where((100 + percent) * (F.col("c") + after) >= percent * (F.col("na") + F.col("nb"))).select("a", "b", "nb")
+    pairs = scratch.save(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "nb").groupBy("a", "b").agg(F.max("nb").alias("nb")), "pairs")
+    parts = scratch.save(pairs.groupBy("a").agg(F.count("*").alias("m"), F.sum("nb").alias("size")).select("a", _parts("m", "size").alias("parts")), "parts")
+    numbered = pairs.join(parts.hint("merge"), "a").withColumn("block", F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("parts"))))
     asked = numbered.select(F.col("a").alias("node"), "block", F.lit(True).alias("probe")).distinct()
-    held = numbered.select(F.col("b").alias("node"), "block", F.lit(False).alias("probe"))
-    more = _verify(scratch, docs, holders, asked.union(held), order, percent, "rest")
+    rest = numbered.select(F.col("b").alias("node"), "block", F.lit(False).alias("probe"))
+    more = _verify(scratch, docs, holders, asked.union(rest), order, percent, "rest")
     whole = scratch.save(components(scratch, links.union(more), "all-cc"), "all")
-    rows = join_counted(digest.select("doc_id", "node", F.col("n").alias("n_shingles")), whole, "node", "left")
-    rows = rows.withColumn("component", F.coalesce("component", "node"))
-    full, empty = rows.where("n_shingles > 0"), rows.where("n_shingles = 0")
-    first = full.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = full.join(first, "component").select("doc_id", "n_shingles", "component_id")
-    return named.union(empty.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    scratch.drop("open", "pairs", "parts", "family", "holders")
+    return digest.select("doc_id", "key", "node", "n"), whole
+
+
+def _parts(count: str, size: str) -> Column:
+    """How many blocks a group of `count` nodes with `size` shingles is cut into."""
+    return F.greatest(F.ceil(F.col(count) / BLOCK), F.ceil(F.col(size) / BLOCK_SHINGLES)).cast("long")
+
+
+def component_table(spark: SparkSession, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of docs(doc_id, text); see the module."""
+    scratch = Scratch(spark, "ngram")
+    rows, whole = _rows_of(spark, scratch, docs, percent)
+    # the smallest doc_id of each node, then of each component: copies are counted as one before they meet
+    nodes = scratch.save(rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("low")).join(whole.hint("merge"), "node", "left"), "nodes")
+    first = scratch.save(nodes.where("component is not null").groupBy("component").agg(F.min("low").alias("first")), "first")
+    named = nodes.where("component is not null").join(first.hint("merge"), "component").select("node", F.col("first").alias("component_id"))
+    named = scratch.save(named.union(nodes.where("component is null").select("node", "low")), "named")
+    full = rows.where("n > 0").join(named.hint("merge"), "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return full.union(rows.where("n = 0").select("doc_id", "n", "doc_id"))
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Rows of docs, one for each component: that with the smallest doc_id (of repeated rows any one).
+    """Rows of docs, one for each component: that with the smallest doc_id, null being the largest, and then the smallest text hash.
 
-    Documents without words are no near copies of anything and stay.
+    Of repeated rows with one doc_id and one text any one stays. Documents without words are no near copies of anything
+    and stay. Rows are told apart by (doc_id, text), so rows that share a doc_id alone are judged each by its own text.
     """
     scratch = Scratch(spark, "keep")
-    found = scratch.save(component_table(spark, docs, percent).where((F.col("component_id") != F.col("doc_id")) & (F.col("n_shingles") > 0)).select("doc_id").distinct(), "gone")
-    kept = join_counted(docs, found.withColumnRenamed("doc_id", "__gone"), F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
-    again = scratch.save(kept.where("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).count().where("count > 1").select("__id"), "again")
-    twice = join_counted(kept, again, F.col("doc_id") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
-    return join_counted(kept, again, F.col("doc_id") == F.col("__id"), "left_anti").unionByName(twice)
-
-
-def _verify(scratch: Scratch, docs: DataFrame, holders: DataFrame, placed: DataFrame, order: Order, percent: int, name: str) -> DataFrame:
+    rows, whole = _rows_of(spark, scratch, docs, percent)
+    seen = rows.where("n > 0").groupBy("node", "doc_id", "key").agg(F.count("*").alias("times"))
+    seen = seen.join(whole.hint("merge"), "node", "left").select("doc_id", "key", "times", F.coalesce("component", "node").alias("component"))
+    seen = scratch.save(seen.withColumn("place", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")), "seen")
+    first = scratch.save(seen.groupBy("component").agg(F.min("place").alias("first")), "first")
+    acts = seen.join(first.hint("merge"), "component").select("doc_id", "key", "times", (F.col("place") != F.col("first")).alias("gone"))
+    acts = scratch.save(acts.where("gone or times > 1").select(F.coalesce("doc_id", F.lit(NONE)).alias("id"), "key", "gone"), "acts")
+    # only rows that may be touched are moved
+    key, doc, gone = (fresh(docs, n) for n in ("row_key", "row_doc", "row_gone"))
+    touched, marked = maybe_among(key_bitmap(acts.select("key"))), docs.withColumn(key, text_key("text"))
+    named = acts.select(F.col("key").alias(key), F.col("id").alias(doc), F.col("gone").alias(gone)).hint("merge")
+    moved = marked.where(touched(F.col(key))).withColumn(doc, F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE))).join(named, [key, doc], "left")
+    names = docs.columns
+    once = moved.where(F.col(gone) == F.lit(False)).dropDuplicates([key, doc])
+    still = moved.where(F.col(gone).isNull()).unionByName(once)
+    return marked.where(~touched(F.col(key))).drop(key).unionByName(still.drop(key, doc, gone)).select(*[F.col(f"`{n}`") for n in names])
+
+
+def _verify(scratch: Scratch, docs: DataFrame, holders: DataFrame, placed: DataFrame, order: Broadcast, percent: int, name: str) -> DataFrame:
     """Links found by the tries of placed(node, block, probe)."""
     want = placed.groupBy("node").agg(F.collect_set(F.struct("block", "probe")).alias("want"))
-    want = scratch.save(want.join(holders, "node"), f"{name}-want")
-    none = F.lit(-(2**63))
-    keyed = docs.select(F.coalesce("doc_id", none).alias("holder"), "text")
-    texts = join_counted(keyed, want, "holder", "inner", lists="want").select("node", "want", "text")
+    want = scratch.save(want.join(holders.select("node", "holder").hint("merge"), "node"), f"{name}-want")
+    wanted = maybe_among(key_bitmap(want.select("holder")))
+    keyed = docs.select(F.coalesce("doc_id", F.lit(NONE)).alias("holder"), "text").where(wanted("holder"))
+    texts = keyed.join(want.hint("merge"), "holder").select("node", "want", "text")
     sets = texts.mapInArrow(_blocks_of_sets(order), "block long, probe boolean, node long, tokens array<long>")
-    links = sets.groupBy("block").applyInArrow(_link_block(percent), "a long, b long")
-    return scratch.save(links, f"{name}-links")
+    links = scratch.save(sets.groupBy("block").applyInArrow(_link_block(percent), "a long, b long"), f"{name}-links")
+    scratch.drop(f"{name}-want")
+    return links
