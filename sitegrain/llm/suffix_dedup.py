@@ -17,8 +17,12 @@ Groups are built over distinct contexts; equal contexts are one class with many
 and equal texts are one text with several copies. A group of more than HOT distinct contexts
 is not gathered: its strings are compared by hash in an ordinary aggregation instead.
 
+Repeats of PASSAGE_BYTES that hold at least PASSAGE_WORDS whole words are called passages; they are found in the same way, by
+anchors of their own.
+
 Defined cases: null text is empty; texts shorter than `size` lose nothing; a repeated row counts
-as another copy; an empty table gives an empty result; other columns are ignored.
+as another copy; null doc_ids are ids like others; an empty table gives an empty result; dedup ignores other
+columns, cut keeps them, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,20 +32,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import Scratch, join_counted, merged_spans, text_key
+from .common import Scratch, fresh, in_bitmap, key_bitmap, maybe_among, merged_spans, text_key
 
 GRAM = 32
+#: Rows of contexts whose suffix arrays are built at a time, groups kept whole.
+STEP = 4096
 #: Most distinct contexts of one anchor hash that a task gathers (about 16 MB).
 HOT = 20_000
+#: What is called a passage: any 51 words of ordinary prose have as many bytes.
+PASSAGE_BYTES, PASSAGE_WORDS = 160, 51
 
 
-def _anchors(size: int):
-    """Task: texts to (fp, key, pos, lead, tail, ctx, loc), one row for each anchor."""
-    schema = pa.schema([("fp", pa.int64()), ("key", pa.int64()), ("pos", pa.int32()), ("lead", pa.int32()), ("tail", pa.int32()), ("ctx", pa.int64()), ("loc", pa.int64())])
+def _anchors(size: int, reach: int):
+    """Task: texts to (fp, key, pos, lead, tail, ctx), one row for each anchor of a size-byte string, with up to reach bytes around it."""
+    schema = pa.schema([("fp", pa.int64()), ("key", pa.int64()), ("pos", pa.int32()), ("lead", pa.int32()), ("tail", pa.int32()), ("ctx", pa.int64())])
     gram = min(GRAM, size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,11 +68,10 @@ def _anchors(size: int):
                     continue
                 at = at[np.concatenate([[True], at[1:] != at[:-1]])]
                 row = rows[at]
-                begin, end = np.maximum(offsets[row], at - (size - gram)), np.minimum(offsets[row + 1], at + size)
+                begin, end = np.maximum(offsets[row], at - (reach - gram)), np.minimum(offsets[row + 1], at + reach)
                 lead, tail, pos = at - begin, end - at, (at - offsets[row]).astype(np.int32)
                 ctx = K.mix64(K.span_hash(prefix, begin, end) + (lead * 65536 + tail).astype(np.uint64))
-                loc = K.mix64(K.to_unsigned(keys[a + row]) + K.mix64(pos.astype(np.uint64)))
-                yield pa.RecordBatch.from_arrays([pa.array(K.to_signed(g[at])), pa.array(keys[a + row]), pa.array(pos), pa.array(lead.astype(np.int32)), pa.array(tail.astype(np.int32)), pa.array(K.to_signed(ctx)), pa.array(K.to_signed(loc))], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(K.to_signed(g[at])), pa.array(keys[a + row]), pa.array(pos), pa.array(lead.astype(np.int32)), pa.array(tail.astype(np.int32)), pa.array(K.to_signed(ctx))], schema=schema)
 
     return run
 
@@ -78,13 +86,14 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = batch.column("text")
         texts = texts.cast(pa.binary())
         p, before, after = (x.to_numpy(zero_copy_only=False) for x in (pos, lead, tail))
-        out, last, raw = [], -1, b""
-        for r, q, x, y in zip(rows.tolist(), p.tolist(), before.tolist(), after.tolist(), strict=True):
-            if r != last:
-                last, raw = r, texts[r].as_py()
-            out.append(raw[q - x : q + y])
-        for k in range(0, len(out), 5000):
-            yield pa.RecordBatch.from_arrays([x.slice(k, 5000) for x in (fp, ctx, hot, lead)] + [pa.array(out[k : k + 5000], pa.binary())], ["fp", "ctx", "hot", "lead", "around"])
+        last, raw = -1, b""
+        for k in range(0, len(rows), 5000):
+            part, out = slice(k, k + 5000), []
+            for r, q, x, y in zip(rows[part].tolist(), p[part].tolist(), before[part].tolist(), after[part].tolist(), strict=True):
+                if r != last:
+                    last, raw = r, texts[r].as_py()
+                out.append(raw[q - x : q + y])
+            yield pa.RecordBatch.from_arrays([x.slice(k, 5000) for x in (fp, ctx, hot, lead)] + [pa.array(out, pa.binary())], ["fp", "ctx", "hot", "lead", "around"])
 
 
 def common_prefix_intervals(lcp: np.ndarray) -> list[tuple[int, int, int]]:
@@ -118,30 +127,28 @@ def _common(m: np.ndarray, a: np.ndarray, b: np.ndarray, lengths: np.ndarray) ->
     return np.minimum(raw, np.minimum(lengths[a], lengths[b]))
 
 
-def covered_ranges(fp: np.ndarray, lead: np.ndarray, around: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, bytes before, bytes after the anchor) of all that repeats of the contexts of each fp.
+def covered_ranges(fp: np.ndarray, lead: np.ndarray, around: pa.Array, sizes: tuple[int, ...]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Rows, and for each size (bytes before, bytes after the anchor) of all that repeats of their contexts; 0, 0 for nothing.
 
     Rows of one fp stand together; contexts of one fp differ from each other.
     """
-    n = len(fp)
+    n, reach, gram = len(fp), max(sizes), min(GRAM, *sizes)
     where = np.frombuffer(around.buffers()[1], np.int32)[around.offset : around.offset + n + 1].astype(np.int64)
     raw = np.frombuffer(around.buffers()[2], np.uint8)
     anchor, tail = where[:-1] + lead, np.diff(where) - lead
-    gram = min(GRAM, size)
-    right = _matrix(raw, anchor, tail, size, 1)
-    left = _matrix(raw, anchor - 1, lead, max(1, size - gram), -1)
+    right = _matrix(raw, anchor, tail, reach, 1)
+    left = _matrix(raw, anchor - 1, lead, max(1, reach - gram), -1)
     group = np.cumsum(np.concatenate([[0], fp[1:] != fp[:-1]]))
-    order = np.argsort(np.ascontiguousarray(right).view(f"S{size}").ravel(), kind="stable")
+    order = np.argsort(np.ascontiguousarray(right).view(f"S{reach}").ravel(), kind="stable")
     order = order[np.argsort(group[order], kind="stable")]  # the suffix array of each group
     lcp = _common(right, order[:-1], order[1:], tail)
     edges = np.flatnonzero(np.concatenate([[True], group[order][1:] != group[order][:-1], [True]]))
-    sizes = np.diff(edges)
-    two = edges[:-1][sizes == 2]
+    members = np.diff(edges)
+    two = edges[:-1][members == 2]
     a, b, r = order[two], order[two + 1], lcp[two]
     l = _common(left, a, b, lead)
-    ok = l + r >= size
-    found = [(np.concatenate([a[ok], b[ok]]), np.concatenate([l[ok]] * 2), np.concatenate([r[ok]] * 2))]
-    for e, m in zip(edges[:-1][sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+    found = [(np.concatenate([a, b]), np.concatenate([l, l]), np.concatenate([r, r]))]
+    for e, m in zip(edges[:-1][members > 2].tolist(), members[members > 2].tolist(), strict=True):
         rows = order[e : e + m]
         by_left = np.argsort(np.ascontiguousarray(left[rows]).view(f"S{left.shape[1]}").ravel(), kind="stable")
         rank = np.empty(m, np.int64)
@@ -155,32 +162,37 @@ def covered_ranges(fp: np.ndarray, lead: np.ndarray, around: pa.Array, size: int
             longest = np.zeros(len(ranks), np.int64)
             longest[:-1] = shared
             longest[1:] = np.maximum(longest[1:], shared)
-            ok = longest + r >= size
+            ok = longest + r >= min(sizes)
             if ok.any():
                 found.append((rows[by_left[ranks[ok]]], longest[ok], np.full(int(ok.sum()), r)))
     # all ranges of a row hold its anchor, so their union is one range
     row, before, after = (np.concatenate(x) for x in zip(*found, strict=True))
-    most_before, most_after = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    np.maximum.at(most_before, row, before)
-    np.maximum.at(most_after, row, after)
-    row = np.flatnonzero(most_after)
-    return row, most_before[row], most_after[row]
-
-
-def _grouped(size: int):
-    """Task: contexts sorted by fp to the covered ranges (fp, ctx, before, after)."""
-    schema = pa.schema([("fp", pa.int64()), ("ctx", pa.int64()), ("before", pa.int32()), ("after", pa.int32())])
-
-    def ranges(rows: pa.Table) -> pa.RecordBatch:
+    out = []
+    for size in sizes:
+        ok = before + after >= size
+        most_before, most_after = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        np.maximum.at(most_before, row[ok], before[ok])
+        np.maximum.at(most_after, row[ok], after[ok])
+        out.append((most_before, most_after))
+    row = np.flatnonzero(np.any([x[1] for x in out], axis=0))
+    return row, [(x[row], y[row]) for x, y in out]
+
+
+def _grouped(sizes: tuple[int, ...]):
+    """Task: contexts sorted by fp to the covered ranges (fp, ctx, size, before, after)."""
+    schema = pa.schema([("fp", pa.int64()), ("ctx", pa.int64()), ("size", pa.int32()), ("before", pa.int32()), ("after", pa.int32())])
+
+    def ranges(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         rows = rows.combine_chunks()
         fp, ctx = rows.column("fp").to_numpy(), rows.column("ctx").to_numpy()
         new = np.concatenate([[True], (fp[1:] != fp[:-1]) | (ctx[1:] != ctx[:-1])])  # a repeated row brings a context twice
         if not new.all():
             rows = rows.filter(pa.array(new)).combine_chunks()
         fp, ctx, lead = (rows.column(c).to_numpy() for c in ("fp", "ctx", "lead"))
-        around = rows.column("around").chunk(0)
-        row, before, after = covered_ranges(fp, lead.astype(np.int64), around, size)
-        return pa.RecordBatch.from_arrays([pa.array(fp[row]), pa.array(ctx[row]), pa.array(before.astype(np.int32)), pa.array(after.astype(np.int32))], schema=schema)
+        row, found = covered_ranges(fp, lead.astype(np.int64), rows.column("around").chunk(0), sizes)
+        for size, (before, after) in zip(sizes, found, strict=True):
+            at = np.flatnonzero(after)
+            yield pa.RecordBatch.from_arrays([pa.array(fp[row[at]]), pa.array(ctx[row[at]]), pa.array(np.full(len(at), size, np.int32)), pa.array(before[at].astype(np.int32)), pa.array(after[at].astype(np.int32))], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -188,21 +200,26 @@ def _grouped(size: int):
             if not len(batch):
                 continue
             fp = batch.column("fp").to_numpy()
-            cut = int(np.argmax(fp == fp[-1]))  # the last group may go on in the next batch
-            if cut or (held and held[-1].column("fp")[-1].as_py() != fp[0]):
-                done = [*held, batch.slice(0, cut)] if cut else held
-                yield ranges(pa.Table.from_batches(done))
+            last = int(np.argmax(fp == fp[-1]))  # the last group may go on in the next batch
+            a = 0
+            if held and held[-1].column("fp")[-1].as_py() != fp[0]:
+                yield from ranges(pa.Table.from_batches(held))
                 held = []
-            held.append(batch.slice(cut))
+            while a < last:  # whole groups, about STEP rows at a time
+                b = last if a + STEP >= last else a + STEP + int(np.argmax(fp[a + STEP :] != fp[a + STEP - 1]))
+                yield from ranges(pa.Table.from_batches([*held, batch.slice(a, b - a)]))
+                held, a = [], b
+            held.append(batch.slice(last))
         if held:
-            yield ranges(pa.Table.from_batches(held))
+            yield from ranges(pa.Table.from_batches(held))
 
     return run
 
 
-def _hot_strings(size: int):
+def _hot_strings(sizes: tuple[int, ...]):
     """Task: contexts of hot groups to the hash of each of their strings around the anchor."""
-    schema = pa.schema([("fp", pa.int64()), ("ctx", pa.int64()), ("before", pa.int32()), ("w", pa.int64())])
+    schema = pa.schema([("fp", pa.int64()), ("ctx", pa.int64()), ("size", pa.int32()), ("before", pa.int32()), ("w", pa.int64())])
+    gram = min(GRAM, *sizes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,92 +227,135 @@ def _hot_strings(size: int):
             lead = batch.column("lead").to_numpy()
             for i in range(len(batch)):
                 data = np.frombuffer(batch.column("around")[i].as_py(), np.uint8)
-                start = np.arange(min(int(lead[i]), len(data) - size) + 1)
-                w = K.span_hash(K.prefix_hash(data), start, start + size)
-                before = (lead[i] - start).astype(np.int32)
-                w = K.mix64(w + before.astype(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w), fps[i])), pa.array(np.full(len(w), ctxs[i])), pa.array(before), pa.array(K.to_signed(w))], schema=schema)
+                prefix = K.prefix_hash(data)
+                for size in sizes:
+                    start = np.arange(max(0, int(lead[i]) - size + gram), min(int(lead[i]), len(data) - size) + 1)
+                    before = (lead[i] - start).astype(np.int32)
+                    w = K.mix64(K.span_hash(prefix, start, start + size) + before.astype(np.uint64))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w), fps[i])), pa.array(np.full(len(w), ctxs[i])), pa.array(np.full(len(w), size, np.int32)), pa.array(before), pa.array(K.to_signed(w))], schema=schema)
 
     return run
 
 
-def _cut(size: int, kept_text: bool):
-    """Task: rows with text, copied and ranges (the last columns) to the digest, or to the rows with the text cut."""
+def _spans(raw: bytes, copied: bool, listed: list | None, size: int, least_words: int = 0) -> list[tuple[int, int]]:
+    """The repeated spans of a text, in order and apart, that hold at least `least_words` whole words."""
+    spans = ([(0, len(raw))] if len(raw) >= size else []) if copied else [(x["a"], x["b"]) for x in listed or ()]
+    if spans and least_words:
+        starts, ends, _ = K.word_spans(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        spans = [(a, b) for a, b in spans if np.searchsorted(ends, b, "right") - np.searchsorted(starts, a) >= least_words]
+    return spans
+
+
+def _without(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
+    kept, at = [], 0
+    for p, q in spans:
+        kept.append(raw[at:p])
+        at = q
+    kept.append(raw[at:])
+    return b"".join(kept)
+
+
+def _digest(size: int, short: int, skip: Broadcast | None = None):
+    """Task: (doc_id, key, text[, copied, ranges, passages]) to the digest; keys in `skip` are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            copied, lists = batch.column("copied").to_pylist(), batch.column("ranges")
+            if skip:
+                batch = batch.filter(pa.array(~in_bitmap(skip.value, batch.column("key").to_numpy())))
+            marks = [batch.column(c) if c in batch.schema.names else None for c in ("copied", "ranges", "passages")]
             raws = batch.column("text").cast(pa.binary())
             for a in range(0, len(batch), 500):
                 out = []
                 for i in range(a, min(a + 500, len(batch))):
-                    raw = raws[i].as_py() or b""
-                    spans = [(0, len(raw))] if copied[i] and len(raw) >= size else [(x["a"], x["b"]) for x in lists[i].as_py() or ()]
-                    kept, at = [], 0
-                    for p, q in spans:  # in order and apart
-                        kept.append(raw[at:p])
-                        at = q
-                    kept.append(raw[at:])
-                    out.append((len(raw), sum(q - p for p, q in spans), len(spans), b"".join(kept), not spans))
-                part, (sizes, removed, n, rest, same) = batch.slice(a, len(out)), zip(*out, strict=True)
-                if kept_text:
-                    at = batch.schema.names.index("text")
-                    texts = pa.array([t if s else r.decode("utf-8", "ignore") for t, r, s in zip(part.column(at).to_pylist(), rest, same, strict=True)], part.schema.field(at).type)
-                    columns = [texts if k == at else c for k, c in enumerate(part.columns[:-2])]
-                    yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-2])
-                else:
-                    yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "n_bytes": pa.array(sizes, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(n, pa.int64()), "kept_sha256": pa.array([hashlib.sha256(r).hexdigest() for r in rest])})
+                    raw, (twice, ranges, passages) = raws[i].as_py() or b"", (x[i].as_py() if x is not None else None for x in marks)
+                    spans = _spans(raw, twice, ranges, size)
+                    long = _spans(raw, twice, passages, short, PASSAGE_WORDS)
+                    out.append((len(raw), sum(q - p for p, q in spans), len(spans), hashlib.sha256(_without(raw, spans)).hexdigest(), len(long), sum(q - p for p, q in long)))
+                names = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", "passage_bytes")
+                columns = {c: pa.array(x, pa.string() if c == "kept_sha256" else pa.int64()) for c, x in zip(names, zip(*out, strict=True), strict=True)}
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").slice(a, len(out))} | columns)
 
     return run
 
 
-def repeats(scratch: Scratch, keyed: DataFrame, size: int, hot: int = HOT) -> DataFrame:
-    """(key, ranges, copied) of the texts keyed(key, doc_id, text) that hold a repeated string."""
-    none = -(2**63)
-    anchors = scratch.save(keyed.select("key", "text").mapInArrow(_anchors(size), "fp long, key long, pos int, lead int, tail int, ctx long, loc long"), "anchors")
-    twice = scratch.save(anchors.groupBy("fp").agg(F.min("loc").alias("lo"), F.max("loc").alias("hi")).where("lo <> hi").select("fp"), "twice")
-    places = scratch.save(join_counted(anchors, twice, "fp", "left_semi"), "places")
+def repeats(scratch: Scratch, keyed: DataFrame, sizes: tuple[int, ...], hot: int = HOT) -> DataFrame:
+    """(key, ranges, copied) of the texts keyed(key, doc_id, text) that hold a repeated string; ranges: a list of spans for each size."""
+    none, short, reach = F.lit(-(2**63)), min(sizes), max(sizes)
+    anchors = scratch.save(keyed.select("key", "text").mapInArrow(_anchors(short, reach), "fp long, key long, pos int, lead int, tail int, ctx long"), "anchors")
+    loc = F.xxhash64("key", "pos")
+    twice = scratch.save(anchors.groupBy("fp").agg(F.min(loc).alias("lo"), F.max(loc).alias("hi")).where("lo <> hi").select("fp"), "twice")
+    places = scratch.save(anchors.join(twice.hint("merge"), "fp", "left_semi"), "places")
     scratch.drop("anchors", "twice")
-    classes = scratch.save(places.groupBy("fp", "ctx").agg(F.min("loc").alias("lo"), F.max("loc").alias("hi"), F.min_by(F.struct("key", "pos"), "loc").alias("at"), F.first("lead").alias("lead"), F.first("tail").alias("tail")), "classes")
-    whole = classes.where("lo <> hi").select("fp", "ctx", F.col("lead").alias("before"), F.col("tail").alias("after"))
-    several = classes.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp", (F.col("n") > hot).alias("hot"))
-    wanted = classes.join(several, "fp").groupBy(F.col("at.key").alias("key")).agg(F.collect_list(F.struct("fp", "ctx", "hot", F.col("at.pos").alias("pos"), "lead", "tail")).alias("want"))
+    classes = scratch.save(places.groupBy("fp", "ctx").agg(F.min(loc).alias("lo"), F.max(loc).alias("hi"), F.min_by(F.struct("key", "pos"), loc).alias("at"), F.first("lead").alias("lead"), F.first("tail").alias("tail")), "classes")
+    whole = classes.where("lo <> hi").select("fp", "ctx", F.explode(F.lit(list(sizes))).alias("size"), F.col("lead").alias("before"), F.col("tail").alias("after")).where("before + after >= size")
+    several = scratch.save(classes.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp", (F.col("n") > hot).alias("hot")), "several")
+    wanted = classes.join(several.hint("merge"), "fp").groupBy(F.col("at.key").alias("key")).agg(F.collect_list(F.struct("fp", "ctx", "hot", F.col("at.pos").alias("pos"), "lead", "tail")).alias("want"))
     wanted = scratch.save(wanted, "wanted")
-    chosen = scratch.save(join_counted(keyed.select("key", "doc_id"), wanted.select("key"), "key", "left_semi").groupBy("key").agg(F.min(F.coalesce("doc_id", F.lit(none))).alias("chosen")), "chosen")
-    fetch = scratch.save(wanted.join(chosen, "key"), "fetch")
-    # what is wanted grows with the corpus, so both sides are shuffled at every size
-    texts = keyed.join(fetch.hint("merge"), "key").where(F.col("chosen") == F.coalesce("doc_id", F.lit(none)))
+    sought = maybe_among(key_bitmap(wanted.select("key")))
+    some = keyed.where(sought("key"))
+    chosen = some.groupBy("key").agg(F.min(F.coalesce("doc_id", none)).alias("chosen"))
+    fetch = scratch.save(wanted.join(chosen.hint("merge"), "key"), "fetch")
+    texts = some.join(fetch.hint("merge"), "key").where(F.col("chosen") == F.coalesce("doc_id", none))
     around = texts.select("want", "text").mapInArrow(_contexts, "fp long, ctx long, hot boolean, lead int, around binary")
     around = scratch.save(around, "around")
+    scratch.drop("wanted", "several", "fetch")
     cool = around.where("not hot").drop("hot").repartition("fp").sortWithinPartitions("fp", "ctx")
-    ranges = cool.mapInArrow(_grouped(size), "fp long, ctx long, before int, after int")
-    strings = around.where("hot").drop("hot").mapInArrow(_hot_strings(size), "fp long, ctx long, before int, w long")
-    same = strings.groupBy("fp", "w").agg(F.min("ctx").alias("x"), F.max("ctx").alias("y")).where("x <> y").select("fp", "w")
-    hot_ranges = strings.join(same, ["fp", "w"], "left_semi").select("fp", "ctx", "before", (F.lit(size) - F.col("before")).cast("int").alias("after"))
-    ranges = whole.union(ranges).union(hot_ranges).groupBy("fp", "ctx").agg(F.max("before").alias("before"), F.max("after").alias("after"))
+    ranges = cool.mapInArrow(_grouped(sizes), "fp long, ctx long, size int, before int, after int")
+    strings = around.where("hot").drop("hot").mapInArrow(_hot_strings(sizes), "fp long, ctx long, size int, before int, w long")
+    same = scratch.save(strings.groupBy("fp", "size", "w").agg(F.min("ctx").alias("x"), F.max("ctx").alias("y")).where("x <> y").select("fp", "size", "w"), "same")
+    hot_ranges = strings.join(same.hint("merge"), ["fp", "size", "w"], "left_semi").select("fp", "ctx", "size", "before", (F.col("size") - F.col("before")).cast("int").alias("after"))
+    ranges = whole.union(ranges).union(hot_ranges).groupBy("fp", "ctx", "size").agg(F.max("before").alias("before"), F.max("after").alias("after"))
     ranges = scratch.save(ranges, "ranges")
-    marks = places.select("fp", "ctx", "key", "pos").join(ranges, ["fp", "ctx"]).groupBy("key").agg(merged_spans(F.collect_set(F.struct((F.col("pos") - F.col("before")).alias("a"), (F.col("pos") + F.col("after")).alias("b")))).alias("ranges"))
+    spans = places.select("fp", "ctx", "key", "pos").join(ranges.hint("merge"), ["fp", "ctx"]).select("key", "size", F.struct((F.col("pos") - F.col("before")).alias("a"), (F.col("pos") + F.col("after")).alias("b")).alias("span"))
+    lists = [merged_spans(F.collect_set(F.when(F.col("size") == s, F.col("span")))).alias(f"ranges_{k}") for k, s in enumerate(sizes)]
     copied = keyed.groupBy("key").count().where("count > 1").select("key", F.lit(True).alias("copied"))
-    out = scratch.save(marks.join(copied, "key", "full_outer"), "marks")
-    scratch.drop("around", "places", "classes", "ranges")
+    out = scratch.save(spans.groupBy("key").agg(*lists).join(copied, "key", "full_outer"), "marks")
+    scratch.drop("around", "places", "classes", "ranges", "same")
     return out
 
 
-def _marked(spark: SparkSession, docs: DataFrame, size: int, hot: int) -> DataFrame:
-    """docs with copied and ranges as last columns."""
-    scratch = Scratch(spark, "suffix")
+def _marks(spark: SparkSession, docs: DataFrame, sizes: tuple[int, ...], hot: int) -> DataFrame:
+    """(key, copied, ranges_0, ...): for the key of each text with repeats, whether it has copies, and the spans of each size."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).select("doc_id", text_key("text").alias("key"), "text")
-    marks = repeats(scratch, keyed, size, hot).withColumnsRenamed({"key": "__key", "copied": "__copied", "ranges": "__ranges"})
-    rows = docs.withColumn("__key", text_key("text"))
-    return join_counted(rows, marks, "__key", "left", lists="__ranges").select(*docs.columns, F.coalesce("__copied", F.lit(False)).alias("copied"), F.col("__ranges").alias("ranges"))
+    return repeats(Scratch(spark, "suffix"), keyed, sizes, hot)
 
 
-def dedup(spark: SparkSession, docs: DataFrame, size: int = 400, hot: int = HOT) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of docs(doc_id, text); see the module."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return _marked(spark, docs, size, hot).mapInArrow(_cut(size, False), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+def dedup(spark: SparkSession, docs: DataFrame, size: int = 400, hot: int = HOT, short: int = PASSAGE_BYTES) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passages, passage_bytes) of docs(doc_id, text); see the module.
 
-
-def cut(spark: SparkSession, docs: DataFrame, size: int = 400, hot: int = HOT) -> DataFrame:
-    """docs with the repeated bytes cut out of their texts (code points cut in two go whole)."""
-    return _marked(spark, docs, size, hot).mapInArrow(_cut(size, True), docs.schema)
+    The last two columns count passages, which stay: repeats of `short` bytes or more with PASSAGE_WORDS words or more.
+    """
+    short = min(short, size)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key("text").alias("key"), "text")
+    long, passages = (_marks(spark, docs, (n,), hot) for n in (size, short))
+    passages = passages.select("key", F.col("copied").alias("again"), F.col("ranges_0").alias("passages"))
+    marks = long.join(passages, "key", "full_outer").select("key", F.coalesce("copied", "again").alias("copied"), F.col("ranges_0").alias("ranges"), "passages")
+    marks = Scratch(spark, "suffix-marks").save(marks, "marks")
+    bits, schema = key_bitmap(marks.select("key")), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, passage_bytes long"
+    moved = docs.where(maybe_among(bits)("key")).join(marks.hint("merge"), "key", "left")
+    moved = moved.select("doc_id", "key", "text", "copied", "ranges", "passages")
+    # texts without repeats are not moved
+    return moved.mapInArrow(_digest(size, short), schema).union(docs.mapInArrow(_digest(size, short, bits), schema))
+
+
+def cut(spark: SparkSession, docs: DataFrame, size: int = PASSAGE_BYTES, words: int = PASSAGE_WORDS, hot: int = HOT) -> DataFrame:
+    """docs with repeats of at least `size` bytes and `words` whole words cut out of their texts (code points cut in two go whole)."""
+    marks = _marks(spark, docs, (size,), hot)
+    touched = maybe_among(key_bitmap(marks.select("key")))
+    key, copied, ranges = (fresh(docs, n) for n in ("text_key", "copied", "ranges"))
+    marks = marks.select(F.col("key").alias(key), F.col("copied").alias(copied), F.col("ranges_0").alias(ranges))
+    rows = docs.withColumn(key, text_key("text"))
+
+    @F.arrow_udf("string")
+    def rest(texts: pa.Array, twice: pa.Array, listed: pa.Array) -> pa.Array:
+        out = []
+        for text, again, spans in zip(texts, twice, listed, strict=True):
+            text = text.as_py()
+            raw = (text or "").encode() if again.as_py() or spans.is_valid else b""
+            found = _spans(raw, again.as_py(), spans.as_py(), size, words) if raw else []
+            out.append(_without(raw, found).decode("utf-8", "ignore") if found else text)
+        return pa.array(out, pa.string())
+
+    # texts without repeats are not moved
+    moved = rows.where(touched(key)).join(marks.hint("merge"), key, "left").withColumn("text", rest("text", F.col(copied), F.col(ranges)))
+    return rows.where(~touched(key)).drop(key).unionByName(moved.drop(key, copied, ranges))
