@@ -22,14 +22,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import kernels as K
+from .common import fresh
 
 #: Most labelled rows that train the trees.
 SAMPLE = 20_000
 FOLDS = 5
 CUT = 0.3
+#: Bytes of text whose statistics are taken at a time (about 100 bytes of arrays each).
+CHUNK = 1 << 18
 
 _KIND = np.zeros(256, np.int64)  # 0 other, 1 lower, 2 upper, 3 digit, 4 blank, 5 line end, 6 sentence sign, 7 symbol, 8 non-ASCII
 _KIND[97:123], _KIND[65:91], _KIND[48:58] = 1, 2, 3
@@ -194,9 +196,10 @@ def held_out(doc_id: Column) -> Column:
 
 def _with_statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for a, b, data, offsets in K.text_chunks(batch.column("text")):
+        for a, b, data, offsets in K.text_chunks(batch.column("text"), CHUNK):
             x = statistics(data, offsets)
-            yield pa.RecordBatch.from_arrays([batch.column("y").slice(a, b - a), K.list_array(x.ravel(), np.arange(len(x) + 1) * x.shape[1], pa.float64())], ["y", "x"])
+            lists = K.list_array(x.ravel(), np.arange(len(x) + 1) * x.shape[1], pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), batch.column("y").slice(a, b - a), lists], ["id", "y", "x"])
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
@@ -204,41 +207,33 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
     usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), F.col("quality").alias("q"))
     usable = usable.where(~held_out(F.col("id"))).groupBy("id").agg(F.max("q").cast("double").alias("y"))
     chosen = usable.orderBy(F.xxhash64("id"), "id").limit(sample)  # at most `sample` rows are broadcast
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(chosen), "id").select("y", "text")
-    got = rows.mapInArrow(_with_statistics, "y double, x array<double>").limit(2 * sample).toArrow()
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(chosen), "id").select("id", "y", "text")
+    # one row for each chosen id, so at most `sample` rows reach the driver
+    got = rows.mapInArrow(_with_statistics, "id long, y double, x array<double>").groupBy("id").agg(F.max("y").alias("y"), F.min("x").alias("x")).toArrow()
     y = got.column("y").to_numpy()
     x = np.array(got.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False)).reshape(len(y), len(NAMES)) if len(y) else np.zeros((0, len(NAMES)))
     order = np.lexsort((y, *x.T)) if len(y) else np.zeros(0, np.int64)  # the same trees whatever the order of arrival
     return fit(x[order], y[order])
 
 
-def _scored(model: Trees, text: str):
-    """Task: batches with one more column, the score."""
+def score(model: Trees, text: Column) -> Column:
+    """Score of a text, 0 to 1 (higher: label 1 likelier). Only the text is sent to Python."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b, data, offsets in K.text_chunks(batch.column(batch.schema.names.index(text))):
-                part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.score(statistics(data, offsets)))], [*batch.schema.names, SCORE])
+    @F.arrow_udf("double")
+    def scored(texts: pa.Array) -> pa.Array:
+        parts = [model.score(statistics(data, offsets)) for _, _, data, offsets in K.text_chunks(texts, CHUNK)]
+        return pa.array(np.concatenate(parts) if parts else np.zeros(0))
 
-    return run
-
-
-SCORE = "__score"
-
-
-def with_score(docs: DataFrame, model: Trees, text: str = "text") -> DataFrame:
-    """docs and a column __score (0 to 1, higher: label 1 likelier)."""
-    return docs.mapInArrow(_scored(model, text), T.StructType([*docs.schema.fields, T.StructField(SCORE, T.DoubleType())]))
+    return scored(text)
 
 
 def score_table(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) of docs(doc_id, text)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = with_score(docs, train(docs, labels))
-    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col(SCORE).alias("score"), (F.col(SCORE) >= CUT).cast("int").alias("predicted"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), score(train(docs, labels), F.col("text")).alias("score"))
+    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
     """The rows of docs that the classifier doesn't reject."""
-    return with_score(docs, train(docs, labels)).where(F.col(SCORE) >= cut).drop(SCORE)
+    name = fresh(docs, "score")
+    return docs.withColumn(name, score(train(docs, labels), F.col("text"))).where(F.col(name) >= cut).drop(name)
