@@ -16,16 +16,18 @@ Positions are code points, end exclusive. Java's regular expressions find leftmo
 matches; positions are sums of the lengths of the pieces between them.
 
 Defined cases: null and empty texts have no spans and the digest of the empty string; repeated rows give
-repeated results; an empty table gives an empty result; other columns are ignored.
+repeated results; an empty table gives an empty result; digest ignores other columns, redact keeps them, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh, merged_spans
+
 #: Fixed patterns of the base scan.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"
@@ -40,6 +42,8 @@ PRIOR = 20_000
 THRESHOLD = 0.1
 SHORTEST = 20  # as in RUN
 PIECE = 65_536
+#: Matches whose places are summed up at a time, so that a text with very many is not copied for each.
+GROUP = 256
 SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 
 SPAN = "array<struct<s:int,kind:int,e:int>>"
@@ -52,18 +56,22 @@ def _matches(text: Column, pattern: str) -> tuple[Column, Column]:
 
 def _spans(matches: Column, pieces: Column, kind: int) -> Column:
     """Array of (s, kind, e) from the matches and the pieces between them."""
+    both = F.arrays_zip(matches.alias("m"), pieces.alias("p"))
+    length = lambda x: F.coalesce(F.length(x["p"]), F.lit(0)) + F.coalesce(F.length(x["m"]), F.lit(0))
+    groups = F.transform(F.sequence(F.lit(0), F.floor((F.size(both) - 1) / GROUP).cast("int")), lambda g: F.slice(both, g * GROUP + 1, F.lit(GROUP)))
     start = F.aggregate(
-        F.arrays_zip(matches.alias("m"), pieces.alias("p")),
-        F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.coalesce(F.length(x["p"]), F.lit(0)) + F.coalesce(F.length(x["m"]), F.lit(0))).cast("int").alias("at"),
-            F.when(x["m"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct(
-                (acc["at"] + F.length(x["p"])).cast("int").alias("s"), F.lit(kind).alias("kind"), (acc["at"] + F.length(x["p"]) + F.length(x["m"])).cast("int").alias("e"),
-            )))).alias("out"),
-        ),
+        groups, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
+        lambda acc, g: F.struct((acc["at"] + F.aggregate(g, F.lit(0), lambda n, x: n + length(x))).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")),
         lambda acc: acc["out"],
     )
-    return start
+    spans = F.transform(F.arrays_zip(groups.alias("g"), start.alias("at")), lambda z: F.aggregate(
+        z["g"], F.struct(z["at"].alias("at"), _none().alias("out")),
+        lambda acc, x: F.struct((acc["at"] + length(x)).alias("at"), F.when(x["m"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct(
+            (acc["at"] + F.length(x["p"])).alias("s"), F.lit(kind).alias("kind"), (acc["at"] + length(x)).alias("e"),
+        )))).alias("out")),
+        lambda acc: acc["out"],
+    ))
+    return F.flatten(spans)
 
 
 def _none() -> Column:
@@ -142,22 +150,24 @@ class Models:
 
 def train(docs: DataFrame) -> Models:
     """Models from the labelled samples of docs(text); at most two tables of 4096 counts reach the driver."""
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select(text.alias("text"))
+    rows = docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     low, hint = F.lower("text"), F.lit(False)
     for word in ASSIGN_HINTS:
         hint = hint | F.contains(low, F.lit(word))
-    order = [F.xxhash64("text"), F.length("text")]
+
+    def sample(some: DataFrame) -> DataFrame:
+        """One row for each of the SAMPLE_DOCS texts with the smallest hashes: only hashes are sorted."""
+        last = some.select("h").distinct().orderBy("h").limit(SAMPLE_DOCS).agg(F.max("h")).first()[0]
+        return some.where(F.col("h") <= F.lit(last)).groupBy("h").agg(F.first("text").alias("text"))
 
     def counts(values: DataFrame) -> dict[int, int]:
         pieces = values.select(F.explode(_pieces(F.col("v"), F.lit(0), F.length("v"))).alias("v"))
         found = pieces.select(F.explode(_transitions(F.col("v"))).alias("t")).groupBy("t").count()
         return {r["t"]: r["count"] for r in found.collect()}
 
-    some = rows.orderBy(*order).limit(SAMPLE_DOCS)
-    words = some.select(F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("v"), F.lit(True)).where(~F.col("v").rlike(HEX) & ~F.col("v").rlike(ACCESS))
+    words = sample(rows).select(F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("v"), F.lit(True)).where(~F.col("v").rlike(HEX) & ~F.col("v").rlike(ACCESS))
     words = words.where(~F.col("v").rlike("[0-9]") | (F.length("v") < 16))
-    held = rows.where(hint | F.contains("text", F.lit("AKIA")) | F.col("text").rlike(HEX)).orderBy(*order).limit(SAMPLE_DOCS)
+    held = sample(rows.where(hint | F.contains("text", F.lit("AKIA")) | F.col("text").rlike(HEX)))
     values = held.select(F.explode(F.concat(
         F.filter(F.regexp_extract_all("text", F.lit(ASSIGN), F.lit(2)), lambda v: F.length(v) >= 12),
         F.regexp_extract_all("text", F.lit("AKIA([A-Z0-9]{14,})"), F.lit(1)),
@@ -166,16 +176,16 @@ def train(docs: DataFrame) -> Models:
     return Models(counts(values), counts(words))
 
 
-def scan(docs: DataFrame, models: Models | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with assign, access, hex and markov: arrays of (s, kind, e); docs needs text."""
+def scan(docs: DataFrame, models: Models | None = None, threshold: float = THRESHOLD) -> tuple[DataFrame, str]:
+    """docs with a struct of assign, access, hex and markov, arrays of (s, kind, e), and the new column's name; docs needs text."""
     models = models or train(docs)
-    text = F.coalesce(F.col("text"), F.lit(""))
-    base = base_spans(text)
-    rows = docs.select("*", *[c.alias(f"__{k}") for k, c in base.items()])
+    text, name = F.coalesce(F.col("text"), F.lit("")), fresh(docs, "secrets")
+    base = F.struct(*[c.alias(k) for k, c in base_spans(text).items()])
     m, p = _matches(text, RUN)
-    runs = F.when(text.rlike(RUN), _spans(m, p, 3)).otherwise(_none())
-    rows = rows.withColumn("__runs", runs)
-    known = F.concat("__assign", "__access", "__hex")
+    rows = docs.withColumn(name, base)
+    runs = fresh(rows, "runs")
+    rows = rows.withColumn(runs, F.when(text.rlike(RUN), _spans(m, p, 3)).otherwise(_none()))
+    known = F.concat(*[F.col(name)[k] for k in KINDS[:3]])
     ratio = F.lit(models.ratio)
 
     def scored(x: Column) -> Column:
@@ -185,36 +195,31 @@ def scan(docs: DataFrame, models: Models | None = None, threshold: float = THRES
         )
         return total > threshold * (x["e"] - x["s"] - 1)
 
-    parts = F.flatten(F.transform("__runs", lambda x: _outside(x, known)))
-    rows = rows.withColumn("__markov", F.when(F.size("__runs") > 0, F.filter(parts, scored)).otherwise(_none()))
-    return rows.drop("__runs")
+    parts = F.flatten(F.transform(F.col(runs), lambda x: _outside(x, known)))
+    markov = F.when(F.size(F.col(runs)) > 0, F.filter(parts, scored)).otherwise(_none())
+    return rows.withColumn(name, F.col(name).withField("markov", markov)).drop(runs), name
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) of docs(doc_id, text)."""
-    rows = scan(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    base = F.concat("__assign", "__access", "__hex")
+    rows, name = scan(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    kinds = [F.col(name)[k] for k in KINDS]
     return rows.select(
-        "doc_id", *[F.size(f"__{k}").cast("long").alias(f"n_{k}") for k in KINDS[:3]],
-        F.sha2(render(base), 256).alias("base_sha256"), render(F.concat(base, "__markov")).alias("spans"),
+        "doc_id", *[F.size(c).cast("long").alias(f"n_{k}") for k, c in zip(KINDS[:3], kinds[:3], strict=True)],
+        F.sha2(render(F.concat(*kinds[:3])), 256).alias("base_sha256"), render(F.concat(*kinds)).alias("spans"),
     )
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """docs with every span of text replaced by `mark` (overlapping spans by one) and n_chars, if there, counted anew."""
-    rows = scan(docs)
-    spans = F.array_sort(F.concat("__assign", "__access", "__hex", "__markov"))
-    text = F.col("text")
-    done = F.aggregate(
-        spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, x: F.struct(
-            F.greatest(acc["at"], x["e"]).alias("at"),
-            F.when(x["s"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["s"] - acc["at"]), F.lit(mark))).alias("out"),
-        ),
-        lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))),
-    )
-    cleaned = F.when(F.size(spans) > 0, done).otherwise(text)
-    out = rows.withColumn("text", cleaned)
+    """docs with every span of text replaced by `mark` (spans that overlap or touch by one) and n_chars, if there, counted anew."""
+    rows, name = scan(docs)
+    text, spans = F.col("text"), fresh(rows, "spans")
+    found = F.transform(F.concat(*[F.col(name)[k] for k in KINDS]), lambda x: F.struct(x["s"].alias("a"), x["e"].alias("b")))
+    rows = rows.withColumn(spans, merged_spans(found))
+    n = F.size(F.col(spans))
+    kept = F.transform(F.sequence(F.lit(0), n), lambda i: F.substring(
+        text, F.coalesce(F.get(F.col(spans), i - 1)["b"], F.lit(0)) + 1, F.coalesce(F.get(F.col(spans), i)["a"], F.length(text)) - F.coalesce(F.get(F.col(spans), i - 1)["b"], F.lit(0))))
+    out = rows.withColumn("text", F.when(n > 0, F.array_join(kept, mark)).otherwise(text)).drop(name, spans)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out
