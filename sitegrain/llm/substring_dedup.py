@@ -23,11 +23,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import Scratch, join_counted, text_key
+from .common import Scratch, in_bitmap, key_bitmap, maybe_among, text_key
 
 GRAM = 8
 BATCHES = 3
@@ -52,8 +53,9 @@ class FingerprintIndex:
         return name
 
     def add(self, places: DataFrame) -> list[DataFrame]:
-        """Adds a batch places(fp, loc); returns tables of the fingerprints now known at two places or more."""
-        run = places.groupBy("fp").agg(F.min("loc").alias("lo"), F.max("loc").alias("hi"))
+        """Adds a batch places(fp, key, pos); returns tables of the fingerprints now known at two places or more."""
+        loc = F.xxhash64("key", "pos")
+        run = places.groupBy("fp").agg(F.min(loc).alias("lo"), F.max(loc).alias("hi"))
         older = [self.spark.table(t) for _, t in self.runs]
         new = self.spark.table(self._write(run, 1))
         found = [new.where("hi is not null").select("fp")]
@@ -84,7 +86,7 @@ class FingerprintIndex:
 
 def _places(window: int):
     """Task: texts to (fp, key, pos): the places of the windows' fingerprints."""
-    schema = pa.schema([("fp", pa.int64()), ("key", pa.int64()), ("pos", pa.int32()), ("loc", pa.int64())])
+    schema = pa.schema([("fp", pa.int64()), ("key", pa.int64()), ("pos", pa.int32())])
     gram = min(GRAM, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,15 +101,14 @@ def _places(window: int):
                 at = np.unique(at[rows[: len(at)] == rows[window - 1 :]])
                 first = np.searchsorted(rows, rows[at])
                 key, pos = keys[a + rows[at]], (at - first).astype(np.int32)
-                loc = K.mix64(K.to_unsigned(key) + K.mix64(pos.astype(np.uint64)))
-                yield pa.RecordBatch.from_arrays([pa.array(K.to_signed(g[at])), pa.array(key), pa.array(pos), pa.array(K.to_signed(loc))], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(K.to_signed(g[at])), pa.array(key), pa.array(pos)], schema=schema)
 
     return run
 
 
 def _candidate_windows(window: int):
     """Task: texts with the positions of suspect fingerprints to the hashes of the windows they stand for."""
-    schema = pa.schema([("w", pa.int64()), ("v", pa.int32()), ("key", pa.int64()), ("start", pa.int32()), ("loc", pa.int64())])
+    schema = pa.schema([("w", pa.int64()), ("v", pa.int32()), ("key", pa.int64()), ("start", pa.int32())])
     gram = min(GRAM, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,29 +127,31 @@ def _candidate_windows(window: int):
                 w = K.gram_hashes(h, window)[start]
                 v = (K.gram_hashes(h, window, np.uint64(0xC2B2AE3D27D4EB4F))[start] >> np.uint64(33)).astype(np.int32)
                 key, pos = keys[a + rows[start]], (start - first[rows[start]]).astype(np.int32)
-                loc = K.mix64(K.to_unsigned(key) + K.mix64(pos.astype(np.uint64)))
-                yield pa.RecordBatch.from_arrays([pa.array(K.to_signed(w)), pa.array(v), pa.array(key), pa.array(pos), pa.array(K.to_signed(loc))], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(K.to_signed(w)), pa.array(v), pa.array(key), pa.array(pos)], schema=schema)
 
     return run
 
 
-def _cut(window: int, texts: bool):
-    """Task: texts with their repeated windows to the words kept."""
+def _cut(window: int, texts: bool, skip: Broadcast | None = None):
+    """Task: texts with their repeated windows to the words kept; keys in `skip` are left out, and all else is without repeats."""
     fields = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())]
     schema = pa.schema(fields + ([("kept_text", pa.string())] if texts else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, copies, lists = batch.column("doc_id"), batch.column("copied").to_pylist(), batch.column("starts")
+            if skip:
+                batch = batch.filter(pa.array(~in_bitmap(skip.value, batch.column("key").to_numpy())))
+            ids = batch.column("doc_id")
+            copies, lists = (None, None) if skip else (batch.column("copied").to_pylist(), batch.column("starts"))
             for a, b, data, offsets in K.text_chunks(batch.column("text")):
                 starts, ends, rows = K.word_spans(data, offsets)
                 edge = np.searchsorted(rows, np.arange(b - a + 1))
                 raw, out = data.tobytes(), []
                 for i in range(b - a):
-                    s, e, hit = starts[edge[i] : edge[i + 1]], ends[edge[i] : edge[i + 1]], lists[a + i].as_py()
+                    s, e, hit = starts[edge[i] : edge[i + 1]], ends[edge[i] : edge[i + 1]], lists[a + i].as_py() if lists is not None else None
                     n = len(s)
                     gone = np.zeros(n + 1, np.int32)
-                    if n >= window and copies[a + i]:
+                    if n >= window and copies and copies[a + i]:
                         keep = []
                     else:
                         if hit:
@@ -173,7 +176,7 @@ def dedup(spark: SparkSession, docs: DataFrame, window: int = 35, batches: int =
     index, postings, found = FingerprintIndex(spark, scratch, buckets), [], []
     for n in range(batches):
         batch = keyed.where(F.pmod("key", F.lit(batches)) == n)  # copies of a text arrive together
-        rows = batch.select("key", "text").mapInArrow(_places(window), "fp long, key long, pos int, loc long")
+        rows = batch.select("key", "text").mapInArrow(_places(window), "fp long, key long, pos int")
         rows = scratch.save(rows, f"postings-{n}")
         postings.append(rows)
         found += [scratch.save(f, f"found-{n}-{k}") for k, f in enumerate(index.add(rows))]
@@ -186,20 +189,26 @@ def dedup(spark: SparkSession, docs: DataFrame, window: int = 35, batches: int =
         twice = twice.union(f)
     twice = scratch.save(twice.distinct(), "twice")
     index.close()
-    suspects = join_counted(all_postings, twice, "fp", "left_semi").groupBy("key").agg(F.collect_set("pos").alias("places"))
+    suspects = all_postings.join(twice.hint("merge"), "fp", "left_semi").groupBy("key").agg(F.collect_set("pos").alias("places"))
     suspects = scratch.save(suspects, "suspects")
-    # one row for each suspect text, its copies apart
-    chosen = scratch.save(join_counted(keyed.select("key", "doc_id"), suspects.select("key"), "key", "left_semi").groupBy("key").agg(F.min(F.coalesce("doc_id", F.lit(-(2**63)))).alias("chosen")), "chosen")
-    named = suspects.join(chosen, "key")
-    named = scratch.save(named, "named")
-    one = join_counted(keyed, named, "key", "inner", lists="places").where("chosen = coalesce(doc_id, -9223372036854775808L)")
-    windows = one.select("key", "places", "text").mapInArrow(_candidate_windows(window), "w long, v int, key long, start int, loc long")
+    scratch.drop("twice", *[f"postings-{n}" for n in range(batches)])
+    # one row for each suspect text, its copies apart; other texts are not moved
+    none, sought = F.lit(-(2**63)), maybe_among(key_bitmap(suspects.select("key")))
+    some = keyed.where(sought("key")).withColumn("id", F.coalesce("doc_id", none))
+    chosen = some.groupBy("key").agg(F.min("id").alias("id"))
+    named = scratch.save(suspects.join(chosen.hint("merge"), "key"), "named")
+    one = some.join(named.hint("merge"), ["key", "id"])
+    windows = one.select("key", "places", "text").mapInArrow(_candidate_windows(window), "w long, v int, key long, start int")
     windows = scratch.save(windows, "windows")
-    scratch.drop(*[f"postings-{n}" for n in range(batches)])
-    again = windows.groupBy("w", "v").agg(F.min("loc").alias("lo"), F.max("loc").alias("hi")).where("lo <> hi").select("w", "v")
-    marks = windows.join(again, ["w", "v"], "left_semi").groupBy("key").agg(F.collect_set("start").alias("starts"))
+    loc = F.xxhash64("key", "start")
+    again = scratch.save(windows.groupBy("w", "v").agg(F.min(loc).alias("lo"), F.max(loc).alias("hi")).where("lo <> hi").select("w", "v"), "again")
+    marks = windows.join(again.hint("merge"), ["w", "v"], "left_semi").groupBy("key").agg(F.collect_set("start").alias("starts"))
     copied = keyed.groupBy("key").count().where("count > 1").select("key", F.lit(True).alias("copied"))
     marks = scratch.save(marks.join(copied, "key", "full_outer"), "marks")
-    rows = join_counted(keyed, marks, "key", "left", lists="starts")
+    scratch.drop("suspects", "named", "windows", "again", *[f"found-{n}-{k}" for n in range(batches) for k in range(n + 1)])
+    bits = key_bitmap(marks.select("key"))
+    moved = keyed.where(maybe_among(bits)("key")).join(marks.hint("merge"), "key", "left")
+    moved = moved.select("doc_id", "key", "text", F.coalesce("copied", F.lit(False)).alias("copied"), "starts")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if texts else "")
-    return rows.select("doc_id", "text", F.coalesce("copied", F.lit(False)).alias("copied"), F.coalesce("starts", F.array().cast("array<int>")).alias("starts")).mapInArrow(_cut(window, texts), schema)
+    # texts without repeats are not moved
+    return moved.mapInArrow(_cut(window, texts), schema).union(keyed.mapInArrow(_cut(window, texts, bits), schema))
