@@ -2,7 +2,7 @@
 
 Tokens are lower-cased words (A-Z) between the six ASCII blanks, then one end for each text. Counts of all
 training tokens are gathered over the whole corpus. The SHORT most frequent words, the end and one token for
-all other words make the network's 4096 outputs: 64 classes of 64, so a token's probability is that of its class
+all other words make the network's 1024 outputs: 32 classes of 32, so a token's probability is that of its class
 times that within the class (class-factored softmax). A word outside the short list has the network's probability
 of the rare token times its add-0.1 share among all words outside the list, seen or not; so the
 probabilities of all texts add up.
@@ -10,7 +10,9 @@ probabilities of all texts add up.
 The network is a gated recurrent unit, trained in numpy by truncated back-propagation through time: windows of
 WINDOW steps, the state being carried from window to window to the end of each text. Its output biases start
 at the corpus' frequencies. Every training row is learned from once: rows are dealt to ROUNDS rounds of shards of about
-SHARD_CHARS characters; each shard trains a copy of the network and Spark averages the copies, round by round.
+SHARD_CHARS characters; each shard trains a copy of the network and Spark averages the copies, round by round. A shard
+is learned from in the order of its text keys, whatever the order of arrival, and in as many lanes side by side as
+leave it STEPS updates (LANES at most).
 Copies of a text are counted, and each shard gets its part of the count, so no text makes a shard larger than others.
 Scoring runs many texts side by side and carries each state through the whole text.
 
@@ -37,14 +39,14 @@ from . import kernels as K
 from .common import Scratch, text_key
 
 FOLDS = 10
-CLASSES = WITHIN = 64
+CLASSES = WITHIN = 32
 SHORT = CLASSES * WITHIN - WITHIN - 1  # class 0 holds the rare token alone, class 1 begins with the end
 RARE, END = 0, WITHIN
 HEAD = 262_144
-EMBED, HIDDEN = 16, 24
-WINDOW, LANES, SCORE_LANES = 16, 32, 512
+EMBED, HIDDEN = 16, 16
+WINDOW, LANES, STEPS, SCORE_LANES = 16, 128, 256, 1024
 ROUNDS = 2
-SHARD_CHARS = 4_000_000
+SHARD_CHARS = 16_000_000
 RATE = 0.01
 END_HASH = np.uint64(0x5E7FEED5E7FEED5)
 
@@ -123,46 +125,78 @@ class Network:
             at += n
         return cls(w)
 
-    def table(self) -> np.ndarray:
-        """Gate inputs of every token."""
-        return self.w["E"] @ self.w["W"] + self.w["b"]
+    def inputs(self, x: np.ndarray) -> np.ndarray:
+        """Gate inputs of the embedded tokens x[step, lane] as (step, gate cell, lane)."""
+        out = np.matmul(self.w["W"].T, x.transpose(0, 2, 1))
+        out += self.w["b"][:, None]
+        return out
+
+    def step(self, x: np.ndarray, h: np.ndarray, gates: np.ndarray | None = None, part: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+        """(candidate, next state) of gate inputs x and states h, lanes side by side as columns.
 
-    def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(next state, reset gate, update gate, candidate, state part of the candidate)."""
-        u = h @ self.w["U"]
-        gates = x[:, : 2 * HIDDEN] + u[:, : 2 * HIDDEN]
+        gates and part, if given, take the reset and update gates and the state's part of the candidate.
+        """
+        u = self.back @ h
+        gates = np.add(x[: 2 * HIDDEN], u[: 2 * HIDDEN], out=gates)
         np.negative(gates, out=gates)
         np.exp(np.minimum(gates, 80, out=gates), out=gates)
         gates += 1
         np.reciprocal(gates, out=gates)
-        r, z = gates[:, :HIDDEN], gates[:, HIDDEN:]
-        m = u[:, 2 * HIDDEN :] + self.w["c"]
-        n = np.tanh(x[:, 2 * HIDDEN :] + r * m)
-        return n + z * (h - n), r, z, n, m
+        part = np.add(u[2 * HIDDEN :], self.w["c"][:, None], out=part)
+        n = gates[:HIDDEN] * part
+        n += x[2 * HIDDEN :]
+        n *= 2  # tanh(n) = 1 - 2 / (exp(2n) + 1)
+        np.exp(np.minimum(n, 80, out=n), out=n)
+        n += 1
+        np.divide(np.float32(-2), n, out=n)
+        n += 1
+        new = h - n
+        new *= gates[HIDDEN:]
+        new += n
+        return n, new
+
+    @property
+    def back(self) -> np.ndarray:
+        """Recurrent weights, a row for each gate cell."""
+        return self.w["U"].T
 
     def log_probs(self, h: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Natural log probability of each target given the states."""
-        group, inner = np.divmod(target, WITHIN)
-        logits = h @ self.w["V"]
-        logits += self.w["v"]
-        out = logits[np.arange(len(h)), group]
-        out -= _logsum(logits)
-        order = np.argsort(group, kind="stable")
-        edges = np.searchsorted(group[order], np.arange(CLASSES + 1))
-        for c in np.flatnonzero(np.diff(edges)):
-            if c == 0:
-                continue  # the rare token is alone in its class
-            at = order[edges[c] : edges[c + 1]]
-            logits = h[at] @ self.w["O"][c].T
-            logits += self.w["o"][c]
-            own = logits[np.arange(len(at)), inner[at]]
-            out[at] += own - _logsum(logits)
+        """Natural log probability of each target given the states (a row each)."""
+        out, classes, inner, order, edges = np.empty(len(h)), *_by_class(target)
+        s, k = h[order], np.arange(len(h))
+        p = s @ self.w["V"]
+        p += self.w["v"]
+        own = p[k, classes]
+        own -= _logsum(p)
+        at = int(edges[1])  # the rare token is alone in its class
+        q = _within(self.w, s, classes, edges)
+        own[at:] += q[k[: len(q)], inner[at:]] - _logsum(q)
+        out[order] = own
         return out
 
 
+def _by_class(target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Targets in the order of their classes: classes, places within, the order, and each class's first place."""
+    classes = target // WITHIN
+    order = np.argsort(classes.astype(np.uint8), kind="stable")
+    classes = classes[order].astype(np.int64)
+    return classes, (target % WITHIN)[order].astype(np.int64), order, np.searchsorted(classes, np.arange(CLASSES + 1))
+
+
+def _within(w: dict, states: np.ndarray, classes: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Logits within their classes of states sorted by class, those of class 0 left out."""
+    at = int(edges[1])
+    q = np.empty((len(states) - at, WITHIN), np.float32)
+    for c in np.flatnonzero(np.diff(edges)).tolist():
+        if c:
+            np.matmul(states[edges[c] : edges[c + 1]], w["O"][c].T, out=q[edges[c] - at : edges[c + 1] - at])
+    q += w["o"][classes[at:]]
+    return q
+
+
 def _logsum(x: np.ndarray) -> np.ndarray:
     """Log of the sum of exponentials of each row; overwrites x."""
-    top = np.float32(0) if x.max() < 60 else x.max(axis=1)  # most logits are small, and need no shift
+    top = np.float32(0) if not len(x) or x.max() < 60 else x.max(axis=1)  # most logits are small, and need no shift
     if np.ndim(top):
         x -= top[:, None]
     np.exp(x, out=x)
@@ -204,21 +238,17 @@ def score_texts(net: Network, ids: np.ndarray, edges: np.ndarray) -> np.ndarray:
     """Sum of natural log probabilities of each text."""
     total = np.zeros(len(edges) - 1)
     target, before, text, sizes = _lay_out(ids, edges, SCORE_LANES)
-    table = net.table()
-    h = np.zeros((target.shape[1], HIDDEN), np.float32)
-    for a in range(0, len(target), 2 * WINDOW):
-        b = min(a + 2 * WINDOW, len(target))
+    h = np.zeros((HIDDEN, target.shape[1]), np.float32)
+    for a in range(0, len(target), WINDOW):
+        b = min(a + WINDOW, len(target))
         live = int(np.searchsorted(-sizes, -a, "left"))  # lanes longer than a
-        h = h[:live]
-        states = np.empty((b - a, live, HIDDEN), np.float32)
-        for t in range(a, b):
-            fresh = before[t, :live] == END
-            if fresh.any():
-                h = np.where(fresh[:, None], np.float32(0), h)
-            h = net.step(table[before[t, :live]], h)[0]
-            states[t - a] = h
+        prev = before[a:b, :live]
+        inputs, keep = net.inputs(net.w["E"][prev]), (prev != END).astype(np.float32)
+        h, states = h[:, :live], np.empty((b - a, HIDDEN, live), np.float32)
+        for t in range(b - a):
+            states[t] = h = net.step(inputs[t], h * keep[t])[1]
         real = (np.arange(a, b)[:, None] < sizes[:live]).ravel()
-        lp = net.log_probs(states.reshape(-1, HIDDEN)[real], target[a:b, :live].ravel()[real].astype(np.int64))
+        lp = net.log_probs(states.transpose(0, 2, 1).reshape(-1, HIDDEN)[real], target[a:b, :live].ravel()[real])
         total += np.bincount(text[a:b, :live].ravel()[real], weights=lp, minlength=len(total))
     return total
 
@@ -228,93 +258,112 @@ def train_network(net: Network, ids: np.ndarray, edges: np.ndarray, rate: float
     w = {k: v.copy() for k, v in net.w.items()}
     net = Network(w)
     mean, square = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
-    target, before, _, sizes = _lay_out(ids, edges, LANES)
-    h = np.zeros((target.shape[1], HIDDEN), np.float32)
+    target, before, _, sizes = _lay_out(ids, edges, max(1, min(LANES, len(ids) // (WINDOW * STEPS))))
+    h = np.zeros((HIDDEN, target.shape[1]), np.float32)
     steps = -(-len(target) // WINDOW)
     for turn in range(steps):
         a, b = turn * WINDOW, min((turn + 1) * WINDOW, len(target))
         live = int(np.searchsorted(-sizes, -a, "left"))
-        h, kept = h[:live], []
-        inputs = w["E"][before[a:b, :live]] @ w["W"] + w["b"]
-        for t in range(a, b):
-            prev = before[t, :live]
-            keep = (prev != END)[:, None].astype(np.float32)
-            h0 = h * keep
-            h, r, z, n, m = net.step(inputs[t - a], h0)
-            kept.append((prev, keep, h0, r, z, n, m, h))
+        h, prev = h[:, :live], before[a:b, :live]
+        x = w["E"][prev.ravel()]
+        inputs = net.inputs(x.reshape(b - a, live, EMBED))
+        keep = (prev != END).astype(np.float32)
+        old, new, gates, part, cand = (np.empty((b - a, k * HIDDEN, live), np.float32) for k in (1, 1, 2, 1, 1))
+        for t in range(b - a):
+            np.multiply(h, keep[t], out=old[t])
+            cand[t], h = net.step(inputs[t], old[t], gates[t], part[t])
+            new[t] = h
         real = (np.arange(a, b)[:, None] < sizes[:live]).ravel()
-        states = np.concatenate([x[-1] for x in kept])
-        goal = target[a:b, :live].ravel().astype(np.int64)
         g = {k: np.zeros_like(v) for k, v in w.items()}
-        dh_out = _output_gradients(w, g, states, goal, real).reshape(b - a, live, HIDDEN)
-        back = np.zeros((live, HIDDEN), np.float32)
-        du, dx = (np.empty((b - a, live, 3 * HIDDEN), np.float32) for _ in range(2))
+        d_out = _output_gradients(w, g, new.transpose(0, 2, 1).reshape(-1, HIDDEN), target[a:b, :live].ravel(), real)
+        d_out = d_out.reshape(b - a, live, HIDDEN).transpose(0, 2, 1)
+        # how each gate cell moves with the gradient of its state
+        r, z = gates[:, :HIDDEN], gates[:, HIDDEN:]
+        by_cand = (1 - z) * (1 - cand * cand)
+        by_update = (old - cand) * z * (1 - z)
+        by_reset = part * r * (1 - r)
+        du, dn, back = np.empty((b - a, 3 * HIDDEN, live), np.float32), np.empty((b - a, HIDDEN, live), np.float32), np.zeros((HIDDEN, live), np.float32)
         for t in range(b - a - 1, -1, -1):
-            prev, keep, h0, r, z, n, m, _ = kept[t]
-            d = dh_out[t] + back
-            dn = d * (1 - z) * (1 - n * n)
-            dz = d * (h0 - n) * z * (1 - z)
-            dr = dn * m * r * (1 - r)
-            np.concatenate([dr, dz, dn * r], axis=1, out=du[t])
-            np.concatenate([dr, dz, dn], axis=1, out=dx[t])
-            back = (d * z + du[t] @ w["U"].T) * keep
-        du, dx, prev = du.reshape(-1, 3 * HIDDEN), dx.reshape(-1, 3 * HIDDEN), before[a:b, :live].ravel()
-        g["U"] += np.concatenate([x[2] for x in kept]).T @ du
-        g["c"] += du[:, 2 * HIDDEN :].sum(axis=0)
-        g["W"] += w["E"][prev].T @ dx
-        g["b"] += dx.sum(axis=0)
-        np.add.at(g["E"], prev, dx @ w["W"].T)
-        now = rate * (1 - 0.9 * turn / steps)
-        size = np.sqrt(sum(float((x * x).sum()) for x in g.values()))
-        shrink = np.float32(min(1.0, 1.0 / (size + 1e-9)))
-        for k in w:
-            x = g[k]
-            x *= shrink
-            mean[k] += 0.1 * (x - mean[k])
-            x *= x
-            square[k] += 0.01 * (x - square[k])
-            np.sqrt(square[k] / (1 - 0.99 ** (turn + 1)), out=x)
-            x += 1e-6
-            np.divide(mean[k], x, out=x)
-            x *= now / (1 - 0.9 ** (turn + 1))
-            w[k] -= x
+            d = d_out[t] + back
+            np.multiply(d, by_cand[t], out=dn[t])
+            np.multiply(dn[t], by_reset[t], out=du[t, :HIDDEN])
+            np.multiply(d, by_update[t], out=du[t, HIDDEN : 2 * HIDDEN])
+            np.multiply(dn[t], r[t], out=du[t, 2 * HIDDEN :])
+            d *= z[t]
+            d += w["U"] @ du[t]
+            d *= keep[t]
+            back = d
+        g["U"] = np.matmul(old, du.transpose(0, 2, 1)).sum(axis=0)
+        g["c"] = du[:, 2 * HIDDEN :].sum(axis=(0, 2))
+        du[:, 2 * HIDDEN :] = dn
+        dx = du.transpose(0, 2, 1).reshape(-1, 3 * HIDDEN)
+        g["W"], g["b"] = x.T @ dx, dx.sum(axis=0)
+        _add_rows(g["E"], prev.ravel(), dx @ w["W"].T)
+        _adam(w, g, mean, square, turn + 1, rate * (1 - 0.9 * turn / steps))
     return net
 
 
+def _add_rows(out: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """Adds each row to out[at]."""
+    order = np.argsort(at, kind="stable")
+    at = at[order]
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    out[at[first]] += np.add.reduceat(rows[order], first, axis=0)
+
+
+def _adam(w: dict, g: dict, mean: dict, square: dict, turn: int, rate: float) -> None:
+    """One update of the weights by clipped gradients, which are overwritten."""
+    size = np.sqrt(sum(float(np.vdot(x, x)) for x in g.values()))
+    shrink = np.float32(min(1.0, 1.0 / (size + 1e-9)))
+    for k, x in g.items():
+        x *= shrink
+        mean[k] *= np.float32(0.9)
+        mean[k] += np.float32(0.1) * x
+        x *= x
+        x *= np.float32(0.01)
+        square[k] *= np.float32(0.99)
+        square[k] += x
+        np.sqrt(square[k], out=x)
+        x *= np.float32((1 - 0.99**turn) ** -0.5)
+        x += np.float32(1e-6)
+        np.divide(mean[k], x, out=x)
+        x *= np.float32(rate / (1 - 0.9**turn))
+        w[k] -= x
+
+
 def _output_gradients(w: dict, g: dict, states: np.ndarray, goal: np.ndarray, real: np.ndarray) -> np.ndarray:
     """Adds the gradients of the mean loss to g; returns those of the states."""
     scale = np.float32(1.0 / max(1, int(real.sum())))
-    group, inner = np.divmod(goal, WITHIN)
-    logits = states @ w["V"] + w["v"]
-    p = np.exp(logits - logits.max(axis=1, keepdims=True))
-    p /= p.sum(axis=1, keepdims=True)
-    p[np.arange(len(p)), group] -= 1
-    p *= (real * scale)[:, None]
-    g["V"] += states.T @ p
+    kept = np.flatnonzero(real)
+    classes, inner, order, edges = _by_class(goal[kept])
+    order = kept[order]
+    s, k, at = states[order], np.arange(len(order)), int(edges[1])
+    p = s @ w["V"]
+    p += w["v"]
+    np.exp(np.minimum(p, 60, out=p), out=p)
+    p *= (scale / (p @ np.ones(CLASSES, np.float32) + np.float32(1e-30)))[:, None]
+    p[k, classes] -= scale
+    g["V"] += s.T @ p
     g["v"] += p.sum(axis=0)
-    out = p @ w["V"].T
-    order = np.argsort(group, kind="stable")
-    order = order[real[order]]
-    edges = np.searchsorted(group[order], np.arange(CLASSES + 1))
-    for c in np.flatnonzero(np.diff(edges)):
-        if c == 0:
-            continue
-        at = order[edges[c] : edges[c + 1]]
-        hs = states[at]
-        logits = hs @ w["O"][c].T + w["o"][c]
-        p = np.exp(logits - logits.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(len(at)), inner[at]] -= 1
-        p *= scale
-        g["O"][c] += p.T @ hs
-        g["o"][c] += p.sum(axis=0)
-        out[at] += p @ w["O"][c]
-    return out.astype(np.float32)
+    d = p @ w["V"].T
+    q = _within(w, s, classes, edges)
+    np.exp(np.minimum(q, 60, out=q), out=q)
+    q *= (scale / (q @ np.ones(WITHIN, np.float32) + np.float32(1e-30)))[:, None]
+    q[k[: len(q)], inner[at:]] -= scale
+    for c in np.flatnonzero(np.diff(edges)).tolist():
+        if c:
+            i, j = edges[c], edges[c + 1]
+            g["O"][c] = q[i - at : j - at].T @ s[i:j]
+            g["o"][c] = q[i - at : j - at].sum(axis=0)
+            d[i:j] += q[i - at : j - at] @ w["O"][c]
+    out = np.zeros_like(states)
+    out[order] = d
+    return out
 
 
 def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for _, _, data, offsets in K.text_chunks(batch.column("text")):
+        for _, _, data, offsets in K.text_chunks(batch.column("text"), 8 * K.CHUNK_BYTES):
             h, n = np.unique(tokens(data, offsets)[0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(K.to_signed(h)), pa.array(n.astype(np.int64))], ["h", "c"])
 
@@ -408,7 +457,7 @@ def _score(flat: np.ndarray, words: Words):
         base_of = np.log10(words.total + 0.1 * (words.distinct + 1))
         rest_of = np.log10(words.rest_total + 0.1 * (words.rest_distinct + 1))
         for batch in batches:
-            for a, b, data, offsets in K.text_chunks(batch.column("text"), 4 * K.CHUNK_BYTES):
+            for a, b, data, offsets in K.text_chunks(batch.column("text"), 8 * K.CHUNK_BYTES):
                 h, edges = tokens(data, offsets)
                 n, rows = b - a, np.repeat(np.arange(b - a), np.diff(edges))
                 ids, c = words.ids(h), words.count(h)

@@ -301,9 +301,9 @@ def test_lm_shards_are_bounded(spark, tmp_path, monkeypatch):
 def test_lm_gradients():
     rng = np.random.default_rng(0)
     counts = np.full(lm.CLASSES * lm.WITHIN, 1.0)
-    counts[1:64] = -1
+    counts[1 : lm.WITHIN] = -1
     net = lm.Network.start(counts)
-    ids = np.where(rng.random(400) < 0.1, lm.END, rng.integers(65, 90, 400))
+    ids = np.where(rng.random(400) < 0.1, lm.END, rng.integers(lm.END + 1, lm.END + 26, 400))
     ids[-1] = lm.END
     ends = np.flatnonzero(ids == lm.END) + 1
     edges = np.concatenate([[0], ends])
@@ -311,5 +311,5 @@ def test_lm_gradients():
     for _ in range(5):
         net = lm.train_network(net, ids, edges, 0.02)
     assert lm.score_texts(net, ids, edges).sum() > before + 100
-    total = np.exp([lm.score_texts(net, np.array([k]), np.array([0, 1]))[0] for k in (lm.RARE, *range(64, 4096, 1))]).sum()
+    total = np.exp([lm.score_texts(net, np.array([k]), np.array([0, 1]))[0] for k in (lm.RARE, *range(lm.WITHIN, lm.CLASSES * lm.WITHIN))]).sum()
     assert abs(total - 1) < 1e-3
