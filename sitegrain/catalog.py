@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from .plans import page_queries
 from .plans.queries import ORACLES, QUERIES
 
 FLAGSHIP = "site_contacts"
 
-__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "page_queries"]

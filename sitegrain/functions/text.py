@@ -176,13 +176,26 @@ def joined_lines(parts: Column, separator: str = "\n") -> Column:
     return F.array_join(F.array_distinct(parts), separator)
 
 
+#: Roles and groups that are no person's name, without anything but letters and digits.
+NO_NAMES = (
+    "advisor", "advisors", "ceo", "chair", "chairman", "cofounder", "complaints", "complaintsmanager", "contact", "coo", "coordinator", "cto",
+    "customer", "customerservice", "customersupport", "department", "director", "employee", "employees", "executive", "executives", "finance",
+    "financeadvisors", "financeadvisor", "founder", "head", "leadership", "manager", "managers", "marketing", "media", "mediacoordinator", "member",
+    "members", "office", "officer", "officers", "owner", "owners", "partner", "partners", "person", "people", "president", "representative", "sales",
+    "salesteam", "service", "services", "staff", "support", "team", "teams",
+)
+
+
 def representative_name(value: Column) -> Column:
-    """Without honorific; '' for what is a role."""
-    name = F.trim(F.regexp_replace(F.trim(F.coalesce(value, F.lit(""))), r"(?i)^(?:mr|mrs|ms|miss|dr|prof|sir|herr|frau)\.?\s+", ""))
-    return name
+    """Without honorific, parts one blank apart; '' for what is a role or has no Latin letter or digit."""
+    name = F.regexp_replace(F.trim(F.coalesce(value, F.lit(""))), r"(?i)^(?:mr|mrs|ms|miss|dr|sir|madam|mx)\.?\s+", "")
+    name = F.trim(F.regexp_replace(name, r"(?U)\s+", " "))
+    bare = F.regexp_replace(F.lower(name), "[^a-z0-9]+", "")
+    return F.when((bare == "") | U.one_of(bare, NO_NAMES), "").otherwise(name)
 
 
 def quote_has_name(quote: Column, name: Column) -> Column:
-    """At least half of the name's parts (one at least) occur in the quote."""
-    parts = F.filter(F.split(F.lower(name), r"\s+"), lambda p: p != "")
-    return F.size(F.filter(parts, lambda p: F.contains(F.lower(quote), p))) >= F.greatest(F.lit(1), F.floor(F.size(parts) / 2))
+    """At least half of the name's parts (one at least) occur in the quote; false without name or quote."""
+    parts = F.filter(F.split(F.lower(F.coalesce(name, F.lit(""))), r"(?U)\s+"), lambda p: p != "")
+    low = F.lower(F.coalesce(quote, F.lit("")))
+    return F.size(F.filter(parts, lambda p: F.contains(low, p))) >= F.greatest(F.lit(1), F.floor(F.size(parts) / 2))

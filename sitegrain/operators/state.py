@@ -104,3 +104,23 @@ def islands(spans: DataFrame, keys: list[str], gap: int, most: int | None = None
     rows = spans.withColumn("n", F.sum(new.cast("int")).over(Window.partitionBy(*keys).orderBy("lo", "hi")))
     out = rows.groupBy(*keys, "n").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     return out.where(F.col("n") <= most) if most else out
+
+
+def claim(sites: DataFrame, n: int) -> DataFrame:
+    """sites with the first n of claim_order marked as running."""
+    taken = claim_order(sites, n).select("site", F.lit(True).alias("claimed"))
+    rows = sites.join(taken, "site", "left")
+    return rows.withColumn("status", F.when(F.col("claimed"), "running").otherwise(F.col("status"))).drop("claimed")
+
+
+def rerun(sites: DataFrame) -> DataFrame:
+    """sites with every status pending if all are finished, else as they are."""
+    total, finished = sites.agg(F.count("*"), F.count_if(F.col("status").isin("done", "dropped"))).first()
+    return sites.withColumn("status", F.lit("pending")) if total and total == finished else sites
+
+
+def prepare(stored: DataFrame, job: tuple[str, str], name: str, fingerprint: str, rows: DataFrame) -> DataFrame:
+    """The stored sites if the job (name, fingerprint) is the same and holds any; else the rows anew, pending and with no retries."""
+    if job == (name, fingerprint) and not stored.isEmpty():
+        return stored
+    return rows.withColumn("status", F.lit("pending")).withColumn("retry_count", F.lit(0))
