@@ -15,7 +15,8 @@ maximal repeat, and all its occurrences are reported, not only neighbours.
 
 Groups are built over distinct contexts; equal contexts are one class with many occurrences,
 and equal texts are one text with several copies. A group of more than HOT distinct contexts
-is not gathered: its strings are compared by hash in an ordinary aggregation instead.
+is split by what its members share on both sides of the anchor until each part can be gathered;
+every pair with an equal string stays together in one part.
 
 Repeats of PASSAGE_BYTES that hold at least PASSAGE_WORDS whole words are called passages; they are found in the same way, by
 anchors of their own.
@@ -179,17 +180,17 @@ def covered_ranges(fp: np.ndarray, lead: np.ndarray, around: pa.Array, sizes: tu
 
 
 def _grouped(sizes: tuple[int, ...]):
-    """Task: contexts sorted by fp to the covered ranges (fp, ctx, size, before, after)."""
+    """Task: contexts sorted by their group g to the covered ranges (fp, ctx, size, before, after)."""
     schema = pa.schema([("fp", pa.int64()), ("ctx", pa.int64()), ("size", pa.int32()), ("before", pa.int32()), ("after", pa.int32())])
 
     def ranges(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         rows = rows.combine_chunks()
-        fp, ctx = rows.column("fp").to_numpy(), rows.column("ctx").to_numpy()
-        new = np.concatenate([[True], (fp[1:] != fp[:-1]) | (ctx[1:] != ctx[:-1])])  # a repeated row brings a context twice
+        g, ctx = rows.column("g").to_numpy(), rows.column("ctx").to_numpy()
+        new = np.concatenate([[True], (g[1:] != g[:-1]) | (ctx[1:] != ctx[:-1])])  # a repeated row brings a context twice
         if not new.all():
             rows = rows.filter(pa.array(new)).combine_chunks()
-        fp, ctx, lead = (rows.column(c).to_numpy() for c in ("fp", "ctx", "lead"))
-        row, found = covered_ranges(fp, lead.astype(np.int64), rows.column("around").chunk(0), sizes)
+        g, fp, ctx, lead = (rows.column(c).to_numpy() for c in ("g", "fp", "ctx", "lead"))
+        row, found = covered_ranges(g, lead.astype(np.int64), rows.column("around").chunk(0), sizes)
         for size, (before, after) in zip(sizes, found, strict=True):
             at = np.flatnonzero(after)
             yield pa.RecordBatch.from_arrays([pa.array(fp[row[at]]), pa.array(ctx[row[at]]), pa.array(np.full(len(at), size, np.int32)), pa.array(before[at].astype(np.int32)), pa.array(after[at].astype(np.int32))], schema=schema)
@@ -199,14 +200,14 @@ def _grouped(sizes: tuple[int, ...]):
         for batch in batches:
             if not len(batch):
                 continue
-            fp = batch.column("fp").to_numpy()
-            last = int(np.argmax(fp == fp[-1]))  # the last group may go on in the next batch
+            g = batch.column("g").to_numpy()
+            last = int(np.argmax(g == g[-1]))  # the last group may go on in the next batch
             a = 0
-            if held and held[-1].column("fp")[-1].as_py() != fp[0]:
+            if held and held[-1].column("g")[-1].as_py() != g[0]:
                 yield from ranges(pa.Table.from_batches(held))
                 held = []
             while a < last:  # whole groups, about STEP rows at a time
-                b = last if a + STEP >= last else a + STEP + int(np.argmax(fp[a + STEP :] != fp[a + STEP - 1]))
+                b = last if a + STEP >= last else a + STEP + int(np.argmax(g[a + STEP :] != g[a + STEP - 1]))
                 yield from ranges(pa.Table.from_batches([*held, batch.slice(a, b - a)]))
                 held, a = [], b
             held.append(batch.slice(last))
@@ -216,27 +217,57 @@ def _grouped(sizes: tuple[int, ...]):
     return run
 
 
-def _hot_strings(sizes: tuple[int, ...]):
-    """Task: contexts of hot groups to the hash of each of their strings around the anchor."""
-    schema = pa.schema([("fp", pa.int64()), ("ctx", pa.int64()), ("size", pa.int32()), ("before", pa.int32()), ("w", pa.int64())])
-    gram = min(GRAM, *sizes)
+def _halves(size: int):
+    """Task: contexts of groups (g, least, most) to the groups of the lower and the upper half of their range of starts."""
+    schema = pa.schema([("fp", pa.int64()), ("ctx", pa.int64()), ("lead", pa.int32()), ("around", pa.binary()), ("g", pa.int64()), ("least", pa.int32()), ("most", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, ctxs = batch.column("fp").to_numpy(), batch.column("ctx").to_numpy()
-            lead = batch.column("lead").to_numpy()
-            for i in range(len(batch)):
-                data = np.frombuffer(batch.column("around")[i].as_py(), np.uint8)
-                prefix = K.prefix_hash(data)
-                for size in sizes:
-                    start = np.arange(max(0, int(lead[i]) - size + gram), min(int(lead[i]), len(data) - size) + 1)
-                    before = (lead[i] - start).astype(np.int32)
-                    w = K.mix64(K.span_hash(prefix, start, start + size) + before.astype(np.uint64))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w), fps[i])), pa.array(np.full(len(w), ctxs[i])), pa.array(np.full(len(w), size, np.int32)), pa.array(before), pa.array(K.to_signed(w))], schema=schema)
+            g, lead, least, most = (batch.column(c).to_numpy().astype(np.int64) for c in ("g", "lead", "least", "most"))
+            length = np.array([len(x.as_py()) for x in batch.column("around")], np.int64)
+            anchor = np.cumsum(length) - length + lead
+            prefix = K.prefix_hash(np.frombuffer(b"".join(batch.column("around").to_pylist()), np.uint8))
+            middle = (least + most) // 2
+            for lo, hi in ((least, middle), (middle + 1, most)):
+                row = np.flatnonzero((lead >= lo) & (length - lead >= size - hi))
+                lo, hi, at = lo[row], hi[row], anchor[row]
+                shared = K.span_hash(prefix, at - lo, at + size - hi)
+                h = K.mix64(K.mix64(shared + g[row].astype(np.uint64)) + (lo * 65536 + hi).astype(np.uint64))
+                part = batch.take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in ("fp", "ctx", "lead", "around")] + [pa.array(K.to_signed(h)), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], schema=schema)
 
     return run
 
 
+def _split(scratch: Scratch, contexts: DataFrame, size: int, hot: int) -> DataFrame:
+    """(fp, ctx, size, before, after) of contexts(fp, ctx, lead, around) whose groups are too large to be gathered.
+
+    Equal strings begin at one distance s from their anchors. Those with s in [least, most] share at least `least` bytes before
+    and size - most from the anchor on, so a group is split by what its members share there, once for each half of the range of s.
+    Groups of at most `hot` contexts get their suffix array; at least = most all members of a larger one hold one string.
+    """
+    rows = "fp long, ctx long, lead int, around binary, g long, least int, most int"
+    level = contexts.select("fp", "ctx", "lead", "around", F.col("fp").alias("g"), F.lit(0).alias("least"), F.lit(size - min(GRAM, size)).alias("most"))
+    level, turn, found = scratch.save(level.dropDuplicates(["fp", "ctx"]), f"level-{size}-0"), 0, []
+    while not level.isEmpty():
+        turn += 1
+        parts = scratch.save(level.mapInArrow(_halves(size), rows), f"parts-{size}-{turn}")
+        scratch.drop(f"level-{size}-{turn - 1}")
+        several = parts.groupBy("g").agg(F.count("*").alias("n")).where("n > 1")
+        parts = parts.join(several.hint("merge"), "g")
+        small = parts.where(F.col("n") <= hot).drop("n").repartition("g").sortWithinPartitions("g", "ctx")
+        one = parts.where((F.col("n") > hot) & (F.col("least") == F.col("most")))
+        one = one.select("fp", "ctx", F.lit(size).alias("size"), F.col("least").alias("before"), (F.lit(size) - F.col("least")).alias("after"))
+        found.append(scratch.save(small.mapInArrow(_grouped((size,)), "fp long, ctx long, size int, before int, after int").union(one), f"split-{size}-{turn}"))
+        level = scratch.save(parts.where((F.col("n") > hot) & (F.col("least") < F.col("most"))).select("fp", "ctx", "lead", "around", "g", "least", "most"), f"level-{size}-{turn}")
+        scratch.drop(f"parts-{size}-{turn}")
+    scratch.drop(f"level-{size}-{turn}")
+    out = contexts.sparkSession.createDataFrame([], "fp long, ctx long, size int, before int, after int")
+    for f in found:
+        out = out.union(f)
+    return out
+
+
 def _spans(raw: bytes, copied: bool, listed: list | None, size: int, least_words: int = 0) -> list[tuple[int, int]]:
     """The repeated spans of a text, in order and apart, that hold at least `least_words` whole words."""
     spans = ([(0, len(raw))] if len(raw) >= size else []) if copied else [(x["a"], x["b"]) for x in listed or ()]
@@ -299,18 +330,17 @@ def repeats(scratch: Scratch, keyed: DataFrame, sizes: tuple[int, ...], hot: int
     around = texts.select("want", "text").mapInArrow(_contexts, "fp long, ctx long, hot boolean, lead int, around binary")
     around = scratch.save(around, "around")
     scratch.drop("wanted", "several", "fetch")
-    cool = around.where("not hot").drop("hot").repartition("fp").sortWithinPartitions("fp", "ctx")
-    ranges = cool.mapInArrow(_grouped(sizes), "fp long, ctx long, size int, before int, after int")
-    strings = around.where("hot").drop("hot").mapInArrow(_hot_strings(sizes), "fp long, ctx long, size int, before int, w long")
-    same = scratch.save(strings.groupBy("fp", "size", "w").agg(F.min("ctx").alias("x"), F.max("ctx").alias("y")).where("x <> y").select("fp", "size", "w"), "same")
-    hot_ranges = strings.join(same.hint("merge"), ["fp", "size", "w"], "left_semi").select("fp", "ctx", "size", "before", (F.col("size") - F.col("before")).cast("int").alias("after"))
-    ranges = whole.union(ranges).union(hot_ranges).groupBy("fp", "ctx", "size").agg(F.max("before").alias("before"), F.max("after").alias("after"))
+    cool = around.where("not hot").select("fp", "ctx", "lead", "around", F.col("fp").alias("g")).repartition("g").sortWithinPartitions("g", "ctx")
+    ranges = whole.union(cool.mapInArrow(_grouped(sizes), "fp long, ctx long, size int, before int, after int"))
+    for size in sizes:
+        ranges = ranges.union(_split(scratch, around.where("hot"), size, hot))
+    ranges = ranges.groupBy("fp", "ctx", "size").agg(F.max("before").alias("before"), F.max("after").alias("after"))
     ranges = scratch.save(ranges, "ranges")
     spans = places.select("fp", "ctx", "key", "pos").join(ranges.hint("merge"), ["fp", "ctx"]).select("key", "size", F.struct((F.col("pos") - F.col("before")).alias("a"), (F.col("pos") + F.col("after")).alias("b")).alias("span"))
     lists = [merged_spans(F.collect_set(F.when(F.col("size") == s, F.col("span")))).alias(f"ranges_{k}") for k, s in enumerate(sizes)]
     copied = keyed.groupBy("key").count().where("count > 1").select("key", F.lit(True).alias("copied"))
     out = scratch.save(spans.groupBy("key").agg(*lists).join(copied, "key", "full_outer"), "marks")
-    scratch.drop("around", "places", "classes", "ranges", "same")
+    scratch.drop("around", "places", "classes", "ranges")
     return out
 
 
