@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
 BLOCK = 2048
 BINS = 2048
 #: Scores held at a time.
@@ -108,15 +110,17 @@ def top_k(spark: SparkSession, vectors: DataFrame, every: int = 50, k: int = 5)
     blocks = max(1, -(-total // (BLOCK * 3 // 4)))
     cuts = asked.select(F.percentile_approx("vec_id", [i / blocks for i in range(1, blocks)], 100 * blocks)).first()[0] if blocks > 1 else []
     cuts = sorted(set(cuts or []))
-    out = None
+    scratch, parts = Scratch(spark, "topk"), 0
     for lo, hi in zip([None, *cuts], [*cuts, None], strict=True):
         block = asked
         if lo is not None:
             block = block.where(F.col("vec_id") > lo)
         if hi is not None:
             block = block.where(F.col("vec_id") <= hi)
-        found = _block(spark, rows, block.toArrow(), dim, bound, exact, k)
-        out = found if out is None else out.union(found)
+        # written at once: the plan of the result stays one scan, whatever the number of blocks
+        scratch.save(_block(spark, rows, block.toArrow(), dim, bound, exact, k), f"found/block={parts}")
+        parts += 1
+    out = spark.read.schema("query_id long, vec_id long, score long").parquet(*[f"{scratch.root}/found/block={n}" for n in range(parts)])
     own = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return out.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
