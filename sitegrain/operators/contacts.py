@@ -24,9 +24,10 @@ def split_emails(rows: DataFrame, keys: list[str]) -> DataFrame:
     rows = rows.withColumn("email", F.col("found.email")).drop("found").where(~E.is_placeholder(F.col("email")))
     rows = first_of(rows, [*keys, "email"], ["pos"])
     base = F.when(E.local(F.col("email")).rlike("^at..*") & E.squash(F.substring(E.local(F.col("email")), 3, 300)).isin(*E.ROLES), F.substring("email", 3, 1000))
+    # no role begins with "at" and another role, so <role> itself has no base and meets at<role> in one group
     rows = rows.withColumn("base", base)
-    plain = rows.select(*keys, F.col("email").alias("base")).distinct().withColumn("known", F.lit(True))
-    return rows.join(plain, [*keys, "base"], "left").where("known is null").drop("known", "base")
+    mates = Window.partitionBy(*keys, F.coalesce("base", "email"))
+    return rows.withColumn("known", F.max(F.col("base").isNull()).over(mates)).where("base is null or not known").drop("known", "base")
 
 
 def filter_emails(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -52,16 +53,17 @@ def page_emails(pages: DataFrame) -> DataFrame:
     rows = pages.select("site", "page_pos", "url", U.registrable_domain("site").alias("site_domain"), unescape("html").alias("body"))
     rows = rows.withColumn("seen", E.find(F.col("body"))).withColumn("hidden", E.find(F.col("body"), keep_scripts=True)).drop("body")
     keys = ["site", "page_pos", "url"]
-    seen = rows.select(*keys, "site_domain", F.posexplode("seen").alias("pos", "email"))
-    hidden = rows.select(*keys, "site_domain", F.posexplode("hidden").alias("pos", "raw")).withColumn("found", E.normalized(F.col("raw"))).where(E.valid(F.col("found")))
-    hidden = hidden.withColumn("email", F.col("found.email")).where(E.matches_site(F.col("site_domain"), F.col("email")))
-    order = F.struct(F.lit(1).alias("part"), (-E.priority(F.col("email"))).alias("p"), F.col("pos").alias("i"))
-    seen = seen.withColumn("pos", F.struct(F.lit(0).alias("part"), F.lit(0).alias("p"), F.col("pos").alias("i")))
-    both = seen.unionByName(hidden.select(*keys, "site_domain", order.alias("pos"), "email"))
-    clean = split_emails(both, keys).withColumn("same", E.matches_site(F.col("site_domain"), F.col("email")))
-    stats = clean.groupBy(*keys).agg(F.max("same").alias("any_same"), F.count("*").alias("n"), F.countDistinct(U.registrable_domain(E.domain(F.col("email")))).alias("domains"))
-    listing = stats.where(~F.col("any_same") & (F.col("n") >= DIRECTORY_EMAILS) & (F.col("domains") >= DIRECTORY_DOMAINS)).select(*keys)
-    kept = filter_emails(clean.drop("same").join(listing, keys, "left_anti"), keys)
+    listed = lambda c, part: F.transform(c, lambda x, i: F.struct(F.lit(part).alias("part"), i.alias("i"), x.alias("raw")))
+    both = rows.select(*keys, "site_domain", F.inline(F.concat(listed("seen", 0), listed("hidden", 1)))).withColumn("found", E.normalized(F.coalesce("raw", F.lit(""))))
+    both = both.where(E.valid(F.col("found"))).withColumn("email", F.col("found.email"))
+    both = both.where((F.col("part") == 0) | E.matches_site(F.col("site_domain"), F.col("email")))
+    order = F.struct("part", F.when(F.col("part") == 0, 0).otherwise(-E.priority(F.col("email"))).alias("p"), "i")
+    clean = split_emails(both.select(*keys, "site_domain", order.alias("pos"), "email"), keys)
+    clean = clean.withColumn("same", E.matches_site(F.col("site_domain"), F.col("email"))).withColumn("host", U.registrable_domain(E.domain(F.col("email"))))
+    page = Window.partitionBy(*keys)  # no larger than what one page holds
+    listing = ~F.max("same").over(page) & (F.count("*").over(page) >= DIRECTORY_EMAILS) & (F.size(F.collect_set("host").over(page)) >= DIRECTORY_DOMAINS)
+    clean = clean.withColumn("listing", listing).where("not listing").drop("listing", "host", "same")
+    kept = filter_emails(clean, keys)
     return kept.where(~E.is_typo(F.col("site_domain"), F.col("email"))).select(*keys, "pos", "email")
 
 
@@ -76,10 +78,11 @@ def site_emails(hits: DataFrame) -> DataFrame:
 def drop_extensions(rows: DataFrame, keys: list[str]) -> DataFrame:
     """rows(keys, phone) without numbers that are another one with one to four digits more."""
     rows = rows.withColumn("sig", P.signature(F.col("phone")))
-    # a number's own beginnings, one to four digits shorter, are looked up
-    stems = rows.select(*keys, "sig", F.explode(F.array(*[F.expr(f"substring(sig, 1, length(sig) - {n})") for n in (1, 2, 3, 4)])).alias("stem"))
-    longer = stems.join(rows.select(*keys, F.col("sig").alias("stem")).distinct(), [*keys, "stem"], "left_semi").select(*keys, "sig").distinct()
-    return rows.join(longer, [*keys, "sig"], "left_anti").drop("sig")
+    # each number meets those that are its own beginning, one to four digits shorter
+    cuts = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda n: F.struct(n.alias("cut"), F.substring("sig", F.lit(1), F.length("sig") - n).alias("stem")))
+    rows = rows.select("*", F.inline(cuts)).withColumn("met", F.max(F.col("cut") == 0).over(Window.partitionBy(*keys, "stem")) & (F.col("cut") > 0))
+    rows = rows.withColumn("longer", F.max("met").over(Window.partitionBy(*keys, "sig"))).where("cut = 0 and not longer")
+    return rows.drop("sig", "cut", "stem", "met", "longer")
 
 
 def page_phones(pages: DataFrame) -> DataFrame:

@@ -14,6 +14,8 @@ from ..functions import urls as U
 from .candidates import first_of
 
 PROFILE_ROWS, FALLBACK_ROWS, SAMPLES = 120, 50, 5
+#: Rows that are numbered or hashed together.
+BLOCK_ROWS = 10_000
 # Names of a website column, and what parts of a header tell for or against it.
 HEADERS = ("website", "url", "domain", "homepage")
 HEADER_HINTS = {
@@ -105,18 +107,31 @@ def fallback_column(sheet: DataFrame) -> DataFrame:
     return stats.groupBy("sheet").agg(F.min_by("col_idx", F.struct(-F.col("n"), "col_idx")).alias("col_idx"))
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """rows(sheet, row_idx) with input_index, counted from 1 over all sheets by name and row.
+
+    Blocks of BLOCK_ROWS rows are counted first; only their counts, not the rows, are summed up in one order.
+    """
+    rows = rows.withColumn("block", F.expr(f"row_idx div {BLOCK_ROWS}"))
+    counts = rows.groupBy("sheet", "block").agg(F.count("*").alias("n"))
+    before = counts.select("sheet", "block", (F.sum("n").over(Window.orderBy("sheet", "block")) - F.col("n")).alias("before"))
+    within = F.row_number().over(Window.partitionBy("sheet", "block").orderBy("row_idx"))
+    return rows.withColumn("k", within).join(before, ["sheet", "block"]).withColumn("input_index", (F.col("before") + F.col("k")).cast("int")).drop("block", "k", "before")
+
+
 def load_sheet(sheet: DataFrame, picker: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Websites of a sheet: profile, choice (with the picker's votes where it has any), projection, dedupe."""
     profiles = profile(sheet)
     chosen = pick_column(profiles, picker(profiles) if picker else None)
     chosen = chosen.unionByName(fallback_column(sheet).join(chosen, "sheet", "left_anti"))
-    rows = sheet.join(F.broadcast(header_rows(sheet)), "sheet").where(F.col("row_idx") >= F.col("has_header").cast("int")).join(F.broadcast(chosen), "sheet")
+    rows = sheet.join(header_rows(sheet), "sheet").where(F.col("row_idx") >= F.col("has_header").cast("int")).join(chosen, "sheet")
     raw = rows.select("sheet", "row_idx", F.trim(F.coalesce(F.get("cells", F.col("col_idx")), F.lit(""))).alias("raw")).where("raw <> ''")
-    # sheets are small inputs typed by people; one window numbers their rows
-    return dedupe(raw.withColumn("input_index", F.row_number().over(Window.orderBy("sheet", "row_idx"))))
+    return dedupe(numbered(raw))
 
 
 def fingerprint(rows: DataFrame) -> DataFrame:
-    """One row, sha256: identity of a deduped list."""
+    """One row, sha256: identity of a deduped list, as the hash of the hashes of its blocks of BLOCK_ROWS input rows."""
+    block = F.expr(f"input_index div {BLOCK_ROWS}").alias("block")
     items = F.sort_array(F.collect_list(F.struct("input_index", "website", "dedupe_key")))
-    return rows.agg(F.sha2(F.to_json(items), 256).alias("sha256"))
+    blocks = rows.groupBy(block).agg(F.sha2(F.to_json(items), 256).alias("sha256"))
+    return blocks.agg(F.sha2(F.to_json(F.sort_array(F.collect_list(F.struct("block", "sha256")))), 256).alias("sha256"))

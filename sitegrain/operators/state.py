@@ -14,8 +14,11 @@ def outcomes(log: DataFrame) -> DataFrame:
     """(site, status, retry_count, last_error) after log(site, attempt, error); a null error is a success.
 
     A failure is temporary while fewer retries than its budget were used, else the site is dropped; the
-    errors in PERMANENT drop at once. The log of one site is short (a few attempts).
+    errors in PERMANENT drop at once. No budget is above two, so a site's first three attempts settle its state and later ones
+    are left out before anything is gathered.
     """
+    first = Window.partitionBy("site").orderBy("attempt", "error")
+    log = log.withColumn("place", F.row_number().over(first)).where("place <= 3")
     steps = F.array_sort(F.collect_list(F.struct("attempt", "error", retry_budget("error").alias("budget"), is_permanent(F.col("error")).alias("final"))))
     start = F.struct(F.lit("pending").alias("status"), F.lit(0).alias("retries"), F.lit("").alias("error"))
 

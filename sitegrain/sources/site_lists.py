@@ -14,7 +14,7 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SHEET = "sheet string, row_idx int, cells array<string>"
@@ -91,13 +91,35 @@ COLUMNS = ("company_name", "representative", "emails", "phones", "website")
 def write_delivery(rows: DataFrame, path: str) -> None:
     """Delivery as one CSV: UTF-8 with byte-order mark, CRLF, header, put in place at once.
 
-    Rows are streamed partition by partition, so the driver never holds all of them.
+    Executors write the lines beside the target, in the order of the rows' partitions; the parts are then joined as bytes
+    through the file system, so path may be in any store that Spark reaches.
     """
-    import os
-
-    with open(f"{path}.part", "w", encoding="utf-8-sig", newline="") as f:
-        out = csv.writer(f, lineterminator="\r\n")
-        out.writerow(COLUMNS)
-        for r in rows.select(*COLUMNS).toLocalIterator():
-            out.writerow(["" if v is None else v for v in r])
-    os.replace(f"{path}.part", path)
+    spark = rows.sparkSession
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    target, folder, whole = (jvm.org.apache.hadoop.fs.Path(path + end) for end in ("", ".parts", ".part"))
+    files = target.getFileSystem(conf)
+
+    def cell(name: str) -> Column:
+        text = F.coalesce(F.col(name).cast("string"), F.lit(""))
+        return F.when(text.rlike('[",\\r\\n]'), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
+
+    rows.select(F.concat_ws(",", *[cell(c) for c in COLUMNS]).alias("value")).write.mode("overwrite").option("lineSep", "\r\n").text(folder.toString())
+    files.setWriteChecksum(False)
+    out = files.create(whole, True)
+    try:
+        out.write(bytearray(("\ufeff" + ",".join(COLUMNS) + "\r\n").encode()))
+        for name in sorted(f.getPath().getName() for f in files.listStatus(folder)):
+            if name.startswith("part-"):
+                part = files.open(jvm.org.apache.hadoop.fs.Path(folder, name))
+                try:
+                    jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, 1 << 16, False)
+                finally:
+                    part.close()
+    finally:
+        out.close()
+        files.setWriteChecksum(True)
+    kind = jvm.org.apache.hadoop.fs.Options.Rename
+    over = spark.sparkContext._gateway.new_array(kind, 1)
+    over[0] = kind.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.getUri(), conf).rename(files.makeQualified(whole), files.makeQualified(target), over)
+    files.delete(folder, True)

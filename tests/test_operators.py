@@ -89,3 +89,15 @@ def test_links_of_repeated_urls(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == [
         ("https://kiln.de/", 1, "https://kiln.de/a"), ("https://kiln.de/", 1, "https://kiln.de/a"), ("https://kiln.de/", 2, "https://kiln.de/b"), ("https://oak.de/", 1, "https://oak.de/c"),
     ]
+
+
+def test_shorter_numbers_win(spark):
+    rows = [("a", "+49 30 1234567"), ("a", "+49 30 123456789"), ("a", "+49 30 765432"), ("b", "+49 30 123456789")]
+    got = contacts.drop_extensions(spark.createDataFrame(rows, "site string, phone string"), ["site"]).collect()
+    assert sorted((r["site"], r["phone"]) for r in got) == sorted(r for k, r in enumerate(rows) if k != 1)
+
+
+def test_later_attempts_change_nothing(spark):
+    rows = [("x", n, "timeout") for n in range(1, 4)] + [("x", 4, None), ("y", 1, None), ("y", 2, "http_404")]
+    got = {r["site"]: r["status"] for r in state.outcomes(spark.createDataFrame(rows, "site string, attempt int, error string")).collect()}
+    assert got == {"x": "dropped", "y": "done"}

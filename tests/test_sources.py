@@ -25,6 +25,21 @@ def test_delivery_file(spark, tmp_path):
     site_lists.write_delivery(rows, str(tmp_path / "out.csv"))
     assert (tmp_path / "out.csv").read_bytes() == b"\xef\xbb\xbfcompany_name,representative,emails,phones,website\r\nKiln,,a@b.de; c@d.de,,https://kiln.de\r\n"
 
+    odd = spark.createDataFrame([('a "b", c', "x\ny", " d ", "", "e")], rows.schema)
+    site_lists.write_delivery(odd.union(rows), str(tmp_path / "out.csv"))  # in place of the first
+    want = '\ufeffcompany_name,representative,emails,phones,website\r\n"a ""b"", c","x\ny", d ,,e\r\nKiln,,a@b.de; c@d.de,,https://kiln.de\r\n'
+    assert (tmp_path / "out.csv").read_bytes() == want.encode()
+    site_lists.write_delivery(rows.limit(0), str(tmp_path / "none.csv"))
+    assert (tmp_path / "none.csv").read_bytes() == "\ufeffcompany_name,representative,emails,phones,website\r\n".encode()
+    assert sorted(f.name for f in tmp_path.iterdir()) == ["none.csv", "out.csv"]
+
+
+def test_rows_are_numbered_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(importing, "BLOCK_ROWS", 3)
+    at = [("b", i) for i in range(0, 14, 2)] + [("a", i) for i in range(8)] + [("c", 5)]
+    got = importing.numbered(spark.createDataFrame(at, "sheet string, row_idx int")).orderBy("input_index").collect()
+    assert [(r["sheet"], r["row_idx"], r["input_index"]) for r in got] == [(*x, n + 1) for n, x in enumerate(sorted(at))]
+
 
 def test_stream_is_the_batch(spark, tmp_path):
     schema = "kind string, feature string, seq long, delta int"
