@@ -134,6 +134,13 @@ def test_topk(spark):
     assert topk.top_k(spark, few.limit(0)).count() == 0
 
 
+def test_topk_in_several_blocks(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, [float(i % 7), float(i % 5) - 2.0]) for i in range(120)], "vec_id long, embedding array<double>")
+    whole = sorted(map(tuple, topk.top_k(spark, rows, every=10).collect()))
+    monkeypatch.setattr(topk, "BLOCK", 4)
+    assert sorted(map(tuple, topk.top_k(spark, rows, every=10).collect())) == whole and len(whole) == 60
+
+
 def test_byte_bpe(spark, docs, texts, empty):
     import public_tokenizers
     import tiktoken
