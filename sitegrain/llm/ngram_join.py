@@ -5,8 +5,8 @@ shingle; no words, no set). Sets link when 100 * |intersection| >= 75 * |union|.
 row per document with its component's smallest doc_id.
 
 1. Each text becomes an ordered set: shingles by rising corpus frequency, then by hash. Frequencies
-   come from a hash sample of the texts and are held for a bounded number of frequent shingles only;
-   they steer the order, never the result. Equal sets are one node, named by the hash of the set.
+   are counted over all texts, in a table of SLOTS counters that shingles share by their hash, so its size is
+   fixed; they steer the order, never the result. Equal sets are one node, named by the hash of the set.
 2. Two linked sets must share a shingle among the first |x| - ceil(0.75 |x|) + 1 of each. Shingles
    that only one node has there are dropped.
 3. Nodes that share their most frequent such shingles are put into tries, in blocks of bounded size
@@ -38,8 +38,9 @@ from .common import Scratch, components, fresh, in_bitmap, key_bitmap, maybe_amo
 
 WORDS = 5
 PERCENT = 75
-#: Frequent shingles whose order is kept (16 bytes each), and the share of texts they are counted in.
-FREQUENT, SAMPLE = 65_536, 16
+#: Counters of the shingle order (16 MB, whatever the corpus); a shingle's is named by its leading bits, as bitmaps of keys use the last ones.
+SLOT_BITS = 21
+SLOTS = 1 << SLOT_BITS
 #: Nodes in one trie, and shingles of all of them (a longer set is a block of its own, with the group's smallest node).
 BLOCK, BLOCK_SHINGLES = 256, 1 << 20
 #: Shingles in one batch of sets sent to the tries.
@@ -52,18 +53,15 @@ def _prefix_len(n: np.ndarray | int, percent: int):
     return n - (percent * n + 99) // 100 + 1
 
 
-class Order:
-    """The global shingle order: frequent ones last, else by hash."""
+def _slot(values: np.ndarray) -> np.ndarray:
+    return (values >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
 
-    def __init__(self, tokens: np.ndarray, counts: np.ndarray):
-        by = np.argsort(tokens)
-        self.tokens, self.counts = tokens[by], counts[by]
+class Order:
+    """The global shingle order: by rising count of the shingle's slot, then by hash."""
 
-    def rank(self, values: np.ndarray) -> np.ndarray:
-        if not len(self.tokens):
-            return np.zeros(len(values), np.int64)
-        i = np.minimum(np.searchsorted(self.tokens, values), len(self.tokens) - 1)
-        return np.where(self.tokens[i] == values, self.counts[i], 0)
+    def __init__(self, counts: np.ndarray):
+        self.counts = np.minimum(counts, (1 << 40) - 1)
 
     def sets(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ordered distinct shingles of each text end to end, their offsets, and the node of each text."""
@@ -72,10 +70,9 @@ class Order:
         with np.errstate(over="ignore"):
             sums = np.concatenate([[np.uint64(0)], np.cumsum(K.mix64(values))])
         node = K.mix64(sums[edges[1:]] - sums[edges[:-1]] + np.diff(edges).astype(np.uint64))
-        rank = self.rank(values)
         rows = np.repeat(np.arange(n), np.diff(edges))
-        values = values[np.lexsort((values, rank, rows))] if rank.any() else values
-        return values, edges, K.to_signed(node)
+        by_count = (rows << 40) + self.counts[_slot(values)]  # values of a row are in hash order already
+        return values[np.argsort(by_count, kind="stable")], edges, K.to_signed(node)
 
 
 def _digest(order_sent: Broadcast, percent: int):
@@ -114,12 +111,24 @@ def _maybe_shared(bitmap: Broadcast, skip: Broadcast | None = None):
     return run
 
 
-def _sample_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Task: texts to (slot, count) of all their shingles, one row for each slot in use."""
+    counts = np.zeros(SLOTS, np.int64)
     for batch in batches:
-        for a, b, data, offsets in K.text_chunks(batch.column("text")):
-            values, _ = K.distinct_by_row(*K.shingle_sets(data, offsets, WORDS), b - a)
-            token, count = np.unique(values, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(K.to_signed(token)), pa.array(count.astype(np.int64))], ["token", "count"])
+        for _, _, data, offsets in K.text_chunks(batch.column("text")):
+            np.add.at(counts, _slot(K.shingle_sets(data, offsets, WORDS)[1]), 1)
+    used = np.flatnonzero(counts)
+    for k in range(0, len(used), 100_000):
+        slot = used[k : k + 100_000]
+        yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(counts[slot])], ["slot", "count"])
+
+
+def shingle_order(docs: DataFrame) -> Order:
+    """The order that all texts of docs(text) give; SLOTS sums reach the driver."""
+    sums = docs.select("text").mapInArrow(_slot_counts, "slot int, count long").groupBy("slot").agg(F.sum("count").alias("count")).toArrow()
+    counts = np.zeros(SLOTS, np.int64)
+    counts[sums.column("slot").to_numpy()] = sums.column("count").to_numpy()
+    return Order(counts)
 
 
 def _blocks_of_sets(order_sent: Broadcast):
@@ -262,10 +271,7 @@ def _link_block(percent: int):
 def _rows_of(spark: SparkSession, scratch: Scratch, docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, key, node, n) of each row of docs(doc_id, text), and (node, component), component the smallest node reached, of nodes with links."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(_sample_tokens, "token long, count long")
-    frequent = sample.groupBy("token").agg(F.sum("count").alias("count")).where("count > 2").orderBy(F.desc("count"), "token").limit(FREQUENT).toPandas()
-    order = Order(frequent["token"].to_numpy(np.int64).view(np.uint64), frequent["count"].to_numpy(np.int64))
-    order = spark.sparkContext.broadcast(order)  # FREQUENT entries at most
+    order = spark.sparkContext.broadcast(shingle_order(docs))
     digest = docs.select("doc_id", text_key("text").alias("key"), "text").mapInArrow(_digest(order, percent), "doc_id long, key long, node long, n long, prefix array<long>")
     digest = scratch.save(digest, "digest")
     none = F.lit(NONE)

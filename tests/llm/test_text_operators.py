@@ -82,6 +82,18 @@ def test_ngram_join(spark, docs, texts, empty):
     assert ngram_join.component_table(spark, empty).count() == 0
 
 
+def test_shingle_order_counts_every_text(spark, docs, texts):
+    order, want = ngram_join.shingle_order(docs), np.zeros(ngram_join.SLOTS, np.int64)
+    for _, t in texts:
+        raw = np.frombuffer((t or "").encode(), np.uint8)
+        np.add.at(want, ngram_join._slot(K.shingle_sets(raw, np.array([0, len(raw)]))[1]), 1)
+    assert (order.counts == want).all()
+    raw = np.frombuffer(texts[0][1].encode(), np.uint8)
+    ordered, edges, _ = order.sets(raw, np.array([0, len(raw)]))
+    assert edges.tolist() == [0, len(ordered)] and len(set(ordered.tolist())) == len(ordered)
+    assert ordered.tolist() == sorted(ordered.tolist(), key=lambda v: (want[v >> (64 - ngram_join.SLOT_BITS)], v))
+
+
 def test_trie_finds_what_brute_force_finds():
     rng = np.random.default_rng(2)
     base = np.sort(rng.choice(10_000, 60, replace=False)).astype(np.int64)
