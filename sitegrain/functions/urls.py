@@ -332,3 +332,17 @@ def resolve(base: Column | str, href: Column | str) -> Column:
     for _ in range(4):
         clean = F.regexp_replace(clean, r"^/\.\./|(?<=/)(?!\.\./)[^/?#]+/\.\./", F.when(F.startswith(clean, F.lit("/../")), "/").otherwise(""))
     return F.when(h.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), h).when(F.startswith(h, F.lit("//")), F.concat(scheme(b), F.lit(":"), h)).otherwise(F.concat(scheme(b), F.lit("://"), netloc(b), clean))
+
+# Content types of pages that are read as text.
+TEXT_TYPES = ("text/html", "application/xhtml+xml", "application/xml", "text/xml", "text/plain")
+
+
+def is_supported_response(url: Column | str, content_type: Column | str) -> Column:
+    """Whether a response is read: a supported address, and a text type or none at all."""
+    kind = F.lower(text(content_type))
+    return is_supported(url) & ((kind == "") | F.exists(words(TEXT_TYPES), lambda t: F.contains(kind, t)))
+
+
+def asset_key(url: Column | str) -> Column:
+    """Host in lower case and path: assets that differ in scheme, query or fragment alone have one key."""
+    return F.concat(F.lower(F.trim(netloc(url))), F.trim(path(url)))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import companies as N
 from ..functions import emails as E
 from ..functions import phones as P
+from ..functions import scoring as SC
 from ..functions import urls as U
 from ..functions.text import json_ld_names, unescape
 from .candidates import first_of
@@ -143,3 +144,11 @@ def contacts(sites: DataFrame, pages: DataFrame) -> DataFrame:
     out = sites.join(company_names(company_candidates(pages)), "site", "left")
     out = out.join(joined(site_emails(page_emails(pages)), "email"), "site", "left").join(joined(site_phones(page_phones(pages)), "phone"), "site", "left")
     return out.select("input_index", "site", *[F.coalesce(c, F.lit("")).alias(c) for c in ("company_name", "emails", "phones")])
+
+
+def ranked_biographies(people: DataFrame, limit: int = 40) -> DataFrame:
+    """(site, place, name, score): people(site, pos, name, title, departments) by falling title score, then name, then pos; at most `limit` for a site."""
+    rows = people.select("site", "pos", "name", SC.biography_score("title", "departments").alias("score"))
+    order = Window.partitionBy("site").orderBy(F.desc("score"), F.lower(F.coalesce("name", F.lit(""))), "pos")
+    rows = rows.withColumn("place", F.row_number().over(order).cast("long")).where(F.col("place") <= limit)
+    return rows.select("site", "place", "name", "score")

@@ -87,6 +87,27 @@ def profile(sheet: DataFrame) -> DataFrame:
     return stats.withColumn("local_score", score.cast("double"))
 
 
+# Why a column was chosen.
+REASONS = {"overruled": "本地规则压过了 LLM 误判，当前列更像公司官网列", "unnamed": "该列里官网样本占比最高", "named": "该列表头和样本都更像公司官网列"}
+
+
+def selection_reason(header: Column, chosen: Column, voted: Column, reason: Column) -> Column:
+    """Why column `chosen` was taken: the picker's own reason where it voted for it, else one of REASONS; `voted` may be null."""
+    own = F.trim(F.coalesce(reason, F.lit("")))
+    return (
+        F.when((voted == chosen) & (own != ""), own).when(voted.isNotNull() & (voted != chosen), REASONS["overruled"])
+        .when(F.startswith(F.coalesce(header, F.lit("")), F.lit("第")), REASONS["unnamed"]).otherwise(REASONS["named"])
+    )
+
+
+def picker_payload(profiles: DataFrame) -> DataFrame:
+    """(sheet, col_idx, payload): what an outside picker is told of each column, as JSON."""
+    samples = F.filter(F.split("samples", r"\|"), lambda x: x != "")
+    counts = [F.col(a).alias(b) for a, b in (("non_empty", "non_empty_count"), ("websites", "website_count"), ("homepages", "homepage_count"), ("socials", "social_count"), ("emails", "email_count"), ("notes", "note_count"))]
+    told = F.struct(F.col("col_idx").alias("index"), "header", samples.alias("samples"), *counts, F.round("local_score", 2).alias("local_score"))
+    return profiles.select("sheet", "col_idx", F.to_json(told).alias("payload"))
+
+
 def pick_column(profiles: DataFrame, votes: DataFrame | None = None) -> DataFrame:
     """(sheet, col_idx): best score and vote, the leftmost on ties; none where the best column has no website.
 

@@ -71,3 +71,11 @@ def sitemap_pages(files: DataFrame, roots: DataFrame, depth: int = 3) -> DataFra
 def robots_sitemaps(files: DataFrame) -> DataFrame:
     """(site, url): Sitemap lines of robots.txt texts files(site, txt)."""
     return files.select("site", F.explode(F.regexp_extract_all("txt", F.lit(r"(?im)^Sitemap:\s*(.+)$"), F.lit(1))).alias("url")).select("site", F.trim("url").alias("url"))
+
+
+def subdomain_probes(links: DataFrame, limit: int = 4) -> DataFrame:
+    """(site, pos, url): the first `limit` distinct addresses of links(site, start, pos, url) that lie in start's registrable domain and name a page worth a look."""
+    near = (U.netloc("url") != "") & (U.registrable_domain(F.lower(U.netloc("url"))) == U.registrable_domain("start"))
+    rows = links.where(near & U.any_of(U.hint_tokens("url"), U.SCAN_WORDS)).groupBy("site", "url").agg(F.min("pos").alias("pos"))
+    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("site").orderBy("pos", "url"))).where(F.col("k") <= limit)
+    return rows.select("site", (F.col("k") - 1).cast("long").alias("pos"), "url")

@@ -127,3 +127,18 @@ def prepare(stored: DataFrame, job: tuple[str, str], name: str, fingerprint: str
     if job == (name, fingerprint) and not stored.isEmpty():
         return stored
     return rows.withColumn("status", F.lit("pending")).withColumn("retry_count", F.lit(0))
+
+
+def probe_batches(batches: DataFrame, target: int = 8, patience: int = 2, least: int = 2) -> DataFrame:
+    """(site, batch, hits): those of batches(site, batch, hits) that are tried, in order, before the search of a site stops.
+
+    It stops after the batch that brings the hits to `target`, after `patience` empty batches on end, or where `patience`
+    batches or more have brought fewer than `least` hits. Rows of one site and batch are one batch; null hits are none.
+    """
+    rows = batches.where("batch is not null").groupBy("site", "batch").agg(F.sum(F.coalesce("hits", F.lit(0))).alias("hits"))
+    so_far = Window.partitionBy("site").orderBy("batch")
+    rows = rows.withColumn("n", F.row_number().over(so_far))
+    found, last = F.sum("hits").over(so_far), F.coalesce(F.max(F.when(F.col("hits") > 0, F.col("n"))).over(so_far), F.lit(0))
+    rows = rows.withColumn("ends", (found >= target) | (F.col("n") - last >= patience) | ((F.col("n") >= patience) & (found < least)))
+    ended = F.coalesce(F.max("ends").over(so_far.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
+    return rows.withColumn("ended", ended).where(~F.col("ended")).select("site", "batch", "hits")

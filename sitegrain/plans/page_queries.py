@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import pagetext as PT
+from ..functions import scoring as SC
 from ..functions import shell as SH
 from ..functions import text as T
 from ..functions import urls as U
+from ..operators import contacts, importing, links, state
 from ..operators import pagesets as PS
-from ..operators import state
-from .queries import query, sites_table, table, values
+from .queries import PROFILE, query, sheet, sites_table, table, values
 
 WORDS = ("about", "contact", "team", "impressum", "news", "our-story")
 CASE = "CASE l_partkey % 6 " + " ".join(f"WHEN {k} THEN '{w}'" for k, w in enumerate(WORDS)) + " END"
@@ -202,3 +203,66 @@ def claimed_sites(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT c_name AS site, c_custkey AS input_index, CASE WHEN c_custkey % 5 = 1 THEN 'pending' WHEN c_custkey % 5 = 0 THEN 'pending' WHEN c_custkey % 5 = 2 THEN 'failed_temp' WHEN c_custkey % 5 = 3 THEN 'done' ELSE 'dropped' END AS status FROM customer")
 def reset_sites(spark: SparkSession, d: str) -> DataFrame:
     return state.reset(sites_table(spark, d)).select("site", "input_index", "status")
+
+
+# ---- probes, people, responses -----------------------------------------------------------------------------------------
+
+START = "CASE WHEN site % 7 = 0 THEN 'https://other.com/' ELSE 'https://shop.firm' || cast(site % 50 AS varchar) || '.com/' END"
+
+
+@query(f"""WITH {SQL_LIST}, f AS (SELECT site, url, min(pos) AS pos FROM list WHERE word IN ('about', 'contact', 'team') AND site % 7 <> 0 GROUP BY site, url),
+g AS (SELECT site, {numbered('pos, url')} AS pos, url FROM f) SELECT * FROM g WHERE pos < 4""")
+def subdomain_probes(spark: SparkSession, d: str) -> DataFrame:
+    return links.subdomain_probes(page_list(spark, d).withColumn("start", F.expr(START.replace("varchar", "string"))))
+
+
+HITS = "CASE WHEN (l_orderkey + l_linenumber) % 3 = 0 THEN 0 ELSE (l_partkey + l_linenumber) % 4 END"
+
+
+@query(f"""WITH a AS (SELECT l_orderkey AS site, l_linenumber AS batch, sum({HITS}) AS hits FROM lineitem GROUP BY 1, 2), b AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY batch) AS n FROM a),
+c AS (SELECT *, sum(hits) OVER w AS found, coalesce(max(CASE WHEN hits > 0 THEN n END) OVER w, 0) AS last FROM b WINDOW w AS (PARTITION BY site ORDER BY n)),
+e AS (SELECT site, min(n) AS stop FROM c WHERE found >= 8 OR n - last >= 2 OR (n >= 2 AND found < 2) GROUP BY site)
+SELECT site, cast(batch AS integer) AS batch, cast(hits AS bigint) AS hits FROM b LEFT JOIN e USING (site) WHERE stop IS NULL OR n <= stop""")
+def probe_batches(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("site"), F.col("l_linenumber").cast("int").alias("batch"), F.expr(HITS).cast("long").alias("hits"))
+    return state.probe_batches(rows)
+
+
+TITLES = ("Chief Executive Officer", "Managing Director", "Founder and Owner", "Clerk", "Non-Executive Chairman", "", "Director")
+TITLE_CASE = "CASE c_custkey % 7 " + " ".join(f"WHEN {k} THEN '{n}'" for k, n in enumerate(TITLES)) + " END"
+SQL_WORTH = " + ".join(f"CASE WHEN contains(low, '{p}') THEN {v} ELSE 0 END" for p, v in SC.TITLE_PHRASES.items())
+
+
+@query(f"""WITH p AS (SELECT c_nationkey AS site, c_custkey AS pos, c_name AS name, lower({TITLE_CASE} || ' ' || CASE WHEN c_custkey % 2 = 0 THEN 'Leadership Board' ELSE '' END) AS low FROM customer),
+s AS (SELECT *, cast({SQL_WORTH} AS integer) AS score FROM p), r AS (SELECT site, row_number() OVER (PARTITION BY site ORDER BY score DESC, lower(name), pos) AS place, name, score FROM s)
+SELECT * FROM r WHERE place <= 40""")
+def ranked_biographies(spark: SparkSession, d: str) -> DataFrame:
+    departments = F.when(F.col("c_custkey") % 2 == 0, F.array(F.lit("Leadership"), F.lit("Board")))
+    people = table(spark, d, "customer").select(F.col("c_nationkey").alias("site"), F.col("c_custkey").alias("pos"), F.col("c_name").alias("name"), F.expr(TITLE_CASE).alias("title"), departments.alias("departments"))
+    return contacts.ranked_biographies(people).withColumn("score", F.col("score").cast("int"))
+
+
+TYPES = ("text/html; charset=utf-8", "", "application/pdf", "application/xhtml+xml", "image/png")
+TYPE_CASE = "CASE c_custkey % 5 " + " ".join(f"WHEN {k} THEN '{n}'" for k, n in enumerate(TYPES)) + " END"
+ASSET = "'HTTPS://Cdn.Firm' || cast(c_custkey % 50 AS varchar) || '.com/Static/' || cast(c_custkey % 9 AS varchar) || CASE WHEN c_custkey % 3 = 0 THEN '.pdf' ELSE '.html?v=' || cast(c_custkey AS varchar) END"
+
+
+@query(f"""SELECT c_custkey, c_custkey % 3 <> 0 AND c_custkey % 5 IN (0, 1, 3) AS supported,
+'cdn.firm' || cast(c_custkey % 50 AS varchar) || '.com/Static/' || cast(c_custkey % 9 AS varchar) || CASE WHEN c_custkey % 3 = 0 THEN '.pdf' ELSE '.html' END AS asset FROM customer""")
+def responses(spark: SparkSession, d: str) -> DataFrame:
+    url = F.expr(ASSET.replace("varchar", "string"))
+    return table(spark, d, "customer").select("c_custkey", U.is_supported_response(url, F.expr(TYPE_CASE)).alias("supported"), U.asset_key(url).alias("asset"))
+
+
+@query(f"""WITH r AS (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN '第3列' ELSE 'Website' END AS header, c_custkey % 3 AS chosen, CASE WHEN c_custkey % 4 <> 0 THEN c_custkey % 5 END AS voted, CASE WHEN c_custkey % 7 < 4 THEN ' most sites ' ELSE '' END AS reason FROM customer)
+SELECT c_custkey, CASE WHEN voted = chosen AND reason <> '' THEN 'most sites' WHEN voted <> chosen THEN '{importing.REASONS["overruled"]}' WHEN starts_with(header, '第') THEN '{importing.REASONS["unnamed"]}' ELSE '{importing.REASONS["named"]}' END AS reason FROM r""")
+def selection_reasons(spark: SparkSession, d: str) -> DataFrame:
+    key = F.col("c_custkey")
+    header, voted, reason = F.when(key % 2 == 0, "第3列").otherwise("Website"), F.when(key % 4 != 0, key % 5), F.when(key % 7 < 4, " most sites ").otherwise("")
+    return table(spark, d, "customer").select("c_custkey", importing.selection_reason(header, key % 3, voted, reason).alias("reason"))
+
+
+@query(PROFILE + """ SELECT sheet, cast(col_idx AS integer) AS col_idx, cast(to_json({'index': cast(col_idx AS integer), 'header': header, 'samples': list_filter(string_split(samples, '|'), lambda x: x <> ''), 'non_empty_count': non_empty, 'website_count': websites,
+'homepage_count': homepages, 'social_count': socials, 'email_count': emails, 'note_count': notes, 'local_score': round(local_score, 2)}) AS varchar) AS payload FROM f""")
+def picker_payloads(spark: SparkSession, d: str) -> DataFrame:
+    return importing.picker_payload(importing.profile(sheet(spark, d)))

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 from sitegrain.functions import pagetext as PT
 from sitegrain.functions import shell as SH
 from sitegrain.functions import text as T
+from sitegrain.functions import urls as U
+from sitegrain.operators import contacts as C
+from sitegrain.operators import importing, state
+from sitegrain.operators import links as LK
 from sitegrain.operators import pagesets as PS
-from sitegrain.operators import state
 
 TEXTS = [
     None, "", "  \n ", "one line", "cookie policy here\nManage cookies", "Our Team\nAda Stone\nAda Stone", "\n".join(f"line {i}" for i in range(60)),
@@ -117,3 +120,45 @@ def test_jobs(spark):
     assert state.rerun(half).collect() == half.collect()
     assert state.prepare(sites, ("n", "f"), "n", "f", sites).collect() == sites.collect()
     assert {(r["status"], r["retry_count"]) for r in state.prepare(sites, ("n", "f"), "n", "g", sites).collect()} == {("pending", 0)}
+
+
+def test_probe_batches_stop_as_the_plain_loop_does(spark):
+    rng = random.Random(4)
+    runs = {site: [rng.choice((0, 0, 1, 2, 5)) for _ in range(rng.randint(1, 7))] for site in range(60)}
+    want = set()
+    for site, hits in runs.items():
+        found = empty = 0
+        for n, h in enumerate(hits, 1):
+            want.add((site, n, h))
+            found, empty = found + h, 0 if h else empty + 1
+            if found >= 8 or empty >= 2 or (n >= 2 and found < 2):
+                break
+    rows = [(s, n, h or None) for s, hits in runs.items() for n, h in enumerate(hits, 1)] + [(0, None, 3), (1, 1, 0)]
+    table = spark.createDataFrame(rows, "site int, batch int, hits int")
+    assert {tuple(r) for r in state.probe_batches(table).collect()} == want
+    assert state.probe_batches(table.limit(0)).count() == 0
+
+
+def test_subdomain_probes(spark):
+    rows = [
+        (1, "https://www.firm.co.uk/", p, u)
+        for p, u in enumerate(["https://firm.co.uk/about", "https://shop.firm.co.uk/about", "https://firm.co.uk/about", None, "", "/team", "https://other.co.uk/team", "https://firm.co.uk/blog", "https://help.firm.co.uk/privacy-policy", "https://firm.co.uk/team/a", "https://firm.co.uk/support"])
+    ]
+    got = LK.subdomain_probes(spark.createDataFrame(rows, "site int, start string, pos int, url string")).orderBy("pos").collect()
+    assert [tuple(r) for r in got] == [(1, 0, rows[0][3]), (1, 1, rows[1][3]), (1, 2, rows[8][3]), (1, 3, rows[9][3])]
+
+
+def test_ranked_biographies(spark):
+    people = [(1, 0, "bea", "Clerk", None), (1, 1, "Ada", "Director", ["Leadership"]), (1, 2, "cy", None, ["Founder", "Owner"]), (1, 3, "Al", "clerk", []), (1, 4, None, None, None), (1, 5, "Al", "", [])]
+    rows = spark.createDataFrame(people, "site int, pos int, name string, title string, departments array<string>")
+    got = [(r["place"], r["name"], r["score"]) for r in C.ranked_biographies(rows, 5).orderBy("place").collect()]
+    assert got == [(1, "cy", 138), (2, "Ada", 84), (3, None, 0), (4, "Al", 0), (5, "Al", 0)]
+
+
+def test_responses_reasons_and_assets(spark):
+    rows = spark.createDataFrame([("https://A.com/x?y=1", "TEXT/HTML; charset=x"), ("https://a.com/x.pdf", "text/html"), ("//A.com/b#c", None), ("https://a.com/x", "image/png"), (None, "")], "url string, kind string")
+    got = [tuple(r) for r in rows.select(U.is_supported_response("url", "kind"), U.asset_key("url")).collect()]
+    assert got == [(True, "a.com/x"), (False, "a.com/x.pdf"), (True, "a.com/b"), (False, "a.com/x"), (True, "")]
+    table = spark.createDataFrame([("第1列", 0, 0, " own "), ("Website", 0, 1, "own"), ("第1列", 0, None, "own"), ("Website", 0, 0, " "), (None, 0, None, None)], "header string, chosen int, voted int, reason string")
+    reasons = [r[0] for r in table.select(importing.selection_reason(*(F.col(c) for c in table.columns))).collect()]
+    assert reasons == ["own", *(importing.REASONS[k] for k in ("overruled", "unnamed", "named", "named"))]
