@@ -130,6 +130,22 @@ def test_fingerprints(spark, docs, texts, empty):
     assert fingerprints.fingerprint_table(spark, empty).count() == 0
 
 
+def test_sketches_are_the_smallest_hashes_of_the_shingles(texts):
+    k, plain = 32, [" ".join(words(t)) for _, t in texts]
+    own = lambda w: {int(fingerprints.sketches([" ".join(x)])[0][0]) for x in ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else ())}
+    few = [0, 1, 24, 25, 30, 36, 37, 38, 43, 46]
+    hashes = {i: sorted(own(plain[i].split())) for i in few}
+    got = dict(enumerate(fingerprints.sketches([t or "" for _, t in texts], k)))
+    for i in few:
+        assert got[i].tolist() == hashes[i][:k]
+    for i in few:
+        for j in few:
+            a, b, union = set(hashes[i][:k]), set(hashes[j][:k]), sorted({*hashes[i], *hashes[j]})[:k]
+            assert fingerprints.merge(got[i], got[j], k).tolist() == union
+            want = len(a & b & set(union)) / len(union) if union else 1.0
+            assert fingerprints.resemblance(got[i], got[j], k) == want
+
+
 def test_topk(spark):
     rng = np.random.default_rng(4)
     rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(300)]
@@ -238,6 +254,41 @@ def test_secrets(spark, empty):
     assert secrets.digest(empty).count() == 0
 
 
+def test_secret_models_and_scores_are_the_plain_ones(spark):
+    rng = np.random.default_rng(3)
+    parts = ["ordi", "nary", "iden", "ti", "fier", "value", "mark", "jump", "ex", "zo", "wake", "quo"]
+    odd = lambda n: "".join(rng.choice(list(secrets.SYMBOLS + "-_"), n))
+    rows = [*SECRETS, *(" ".join("".join(rng.choice(parts, 4)) for _ in range(30)) + " " + odd(int(rng.integers(18, 40))) for _ in range(30)), *("".join(rng.choice(parts, 3)) + odd(8) + "".join(rng.choice(parts, 3)) for _ in range(30))]
+    assign = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+    codes = lambda v: [secrets.SYMBOLS.find(c) for c in v.replace("-", "+").replace("_", "/")]
+    pairs = lambda v: [(a, b) for a, b in zip(codes(v), codes(v)[1:], strict=False) if a >= 0 and b >= 0]
+    random, ordinary = Counter(), Counter()
+    for t in {t or "" for t in rows}:
+        for v in [m.group(2) for m in assign.finditer(t) if len(m.group(2)) >= 12] + re.findall("AKIA([A-Z0-9]{14,})", t) + re.findall("[0-9a-f]{16,}", t):
+            random.update(pairs(v))
+        for v in re.findall("[A-Za-z0-9+/_-]{8,}", t):
+            if not re.search("[0-9a-f]{16,}|AKIA[A-Z0-9]{14,}", v) and (not re.search("[0-9]", v) or len(v) < 16):
+                ordinary.update(pairs(v))
+    log = lambda n, a, b, flat: np.log10((n[a, b] + 1 + flat) / (sum(n[a, c] for c in range(64)) + 64 * (1 + flat)))
+    ratio = {(a, b): log(random, a, b, secrets.PRIOR / 4096) - log(ordinary, a, b, 0.0) for a in range(64) for b in range(64)}
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    models = secrets.train(docs)
+    assert np.allclose(models.ratio, [ratio[a, b] for a in range(64) for b in range(64)], atol=1e-9)
+    added = 0
+    for r in secrets.digest(docs).collect():
+        t = rows[r["doc_id"]] or ""
+        base = [(m.start(), 0, m.end()) for m in assign.finditer(t) if len(m.group(2)) >= 12]
+        base += [(m.start(), k, m.end()) for k, p in ((1, "AKIA[A-Z0-9]{14,}"), (2, "[0-9a-f]{16,}")) for m in re.finditer(p, t)]
+        new = []
+        for m in re.finditer("[A-Za-z0-9+/_-]{20,}", t):
+            free = [all(not s <= i < e for s, _, e in base) for i in range(m.start(), m.end())]
+            edges = np.flatnonzero(np.diff([0, *free, 0])).reshape(-1, 2) + m.start()
+            new += [(int(a), 3, int(b)) for a, b in edges if b - a >= 20 and sum(ratio[p] for p in pairs(t[a:b])) > secrets.THRESHOLD * (b - a - 1)]
+        added += len(new)
+        assert r["spans"] == ",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in sorted(base + new)), t
+    assert added > 20
+
+
 def test_secrets_of_any_length(spark, monkeypatch):
     rng = np.random.default_rng(9)
     key = lambda n: "".join(rng.choice(list(secrets.SYMBOLS), n)) + "z/"
