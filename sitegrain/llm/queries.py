@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, lm, ngram_join, packing, quality, secrets, substring_dedup, suffix_dedup, topk
+from . import bpe, conversations, fingerprints, licenses, lm, manifest, ngram_join, oracles, packing, quality, secrets, substring_dedup, suffix_dedup, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,18 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(_table(spark, sf_dir, "documents"))
 
 
+def op11_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(_table(spark, sf_dir, "documents"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.verified_table(spark, _table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_table(spark, _table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -59,6 +71,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_quality_classifier, op2_fingerprints, op3_topk, op4_ngram_join, op5_best_fit_packing, op6_lm_scores,
-    op7_substring_dedup, op8_suffix_dedup, op9_byte_bpe, op10_secret_scans, pipeline,
+    op7_substring_dedup, op8_suffix_dedup, op9_byte_bpe, op10_secret_scans, op11_license_scans, op12_merkle_manifest,
+    op13_conversation_repair, pipeline,
 )}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op12_merkle_manifest": oracles.MANIFEST}
