@@ -140,7 +140,7 @@ CREATIVE = {
 #: Sentences of licenses and notices: (label, keyword, pattern).
 TEXTS = (
     ("apache-2.0", "apache", r"you may not use this file except in compliance with the license you may obtain a copy of the license at (?:http|https) (?:www )?apache org"),
-    ("apache-2.0", "grant", r"each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable (?:copyright|patent) license"),
+    ("apache-2.0", "grants", r"each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable (?:copyright|patent) license"),
     ("bsd-style", "binary", r"redistribution and use in source and binary forms with or without modification are permitted"),
     ("bsd-3-clause", "endorse", r"names? of its contributors may be used to endorse or promote products derived from this software"),
     ("bsd-4-clause", "advertising", r"all advertising materials mentioning features or use of this software must display"),
@@ -166,7 +166,7 @@ TEXTS = (
     ("public-domain", "waives", r"the author waives all (?:copyright|rights)"),
     ("proprietary", "confidential", r"(?:proprietary and confidential|confidential and proprietary)"),
     ("proprietary", "unauthorized", r"unauthorized (?:copying|reproduction|use|distribution)(?: of this file)?(?: via any medium)? is strictly prohibited"),
-    ("proprietary", "consent", r"without (?:the )?(?:prior |express )?written (?:consent|permission) of"),
+    ("proprietary", "written", r"without (?:the )?(?:prior |express )?written (?:consent|permission) of"),
     ("proprietary", "reproduced", r"no part of this (?:publication|book|work|document) may be reproduced"),
     ("noncommercial", "commercial", r"for non commercial (?:use|purposes) only"),
     ("noncommercial", "noncommercial", r"for noncommercial (?:use|purposes) only"),
