@@ -15,7 +15,8 @@ ROLES = (
 )
 COMPANIES = (" inc", " llc", " ltd", " ag", " bv", " corp", " gmbh", " limited")
 HEAD_FIELDS = ("author", "description", "og:title", "og:description", "twitter:title", "twitter:description")
-ADDRESS = r"(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}"
+# An address begins where a run of its characters does, or where the last match ended; so a long run without @ is read once.
+ADDRESS = r"(?i)(?:\G|(?<![A-Z0-9._%+-]))[A-Z0-9._%+-]++@[A-Z0-9.-]+\.[A-Z]{2,}"
 PHONE = r"(?:\+?\d[\d()./\-\s]{5,}\d)"
 PERSON = r"^[A-Z][A-Za-z.-]+(?: [A-Z][A-Za-z.-]+){1,3}$"
 KINDS = (("general", 0), ("person", 20), ("role", 12), ("company", 10))

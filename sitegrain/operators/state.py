@@ -142,3 +142,54 @@ def probe_batches(batches: DataFrame, target: int = 8, patience: int = 2, least:
     rows = rows.withColumn("ends", (found >= target) | (F.col("n") - last >= patience) | ((F.col("n") >= patience) & (found < least)))
     ended = F.coalesce(F.max("ends").over(so_far.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
     return rows.withColumn("ended", ended).where(~F.col("ended")).select("site", "batch", "hits")
+
+
+def clean_features(features: Column) -> Column:
+    """Features trimmed and in lower case, each once, in order; blank and null ones are none."""
+    low = F.transform(features, lambda x: F.lower(F.trim(F.coalesce(x, F.lit("")))))
+    return F.array_distinct(F.filter(low, lambda x: x != ""))
+
+
+def bump_tokens(known: DataFrame, batches: DataFrame) -> DataFrame:
+    """(kind, token, weight): known(kind, token, weight) with one more for each time that batches(kind, tokens) name a token.
+
+    A token is counted as often as a batch names it. Both sides are added up before they are shuffled, so a hot token costs
+    one row for each task.
+    """
+    named = batches.select("kind", F.explode(F.transform("tokens", lambda x: F.lower(F.trim(F.coalesce(x, F.lit("")))))).alias("token")).where("token <> ''")
+    both = known.select("kind", "token", F.coalesce(F.col("weight").cast("long"), F.lit(0)).alias("weight")).unionByName(named.select("kind", "token", F.lit(1).cast("long").alias("weight")))
+    return both.groupBy("kind", "token").agg(F.sum("weight").alias("weight"))
+
+
+def token_order() -> list[Column]:
+    """The order in which learned tokens are read: heaviest first."""
+    return [F.desc("weight"), F.asc("token")]
+
+
+def record(stored: DataFrame, events: DataFrame, now: Column) -> DataFrame:
+    """(kind, feature, score, updated): stored(kind, feature, score, updated) after events(kind, seq, features, delta).
+
+    A stored score decays by its time first and is then the first step of its feature; of an event's features each counts once.
+    Features without an event keep their score and time.
+    """
+    steps = events.select("kind", F.col("seq").cast("long").alias("seq"), F.explode(clean_features(F.col("features"))).alias("feature"), F.col("delta").cast("long").alias("delta"))
+    touched = steps.select("kind", "feature").distinct()
+    known = stored.withColumn("score", decayed(F.col("score"), F.col("updated"), now))
+    before = known.join(touched, ["kind", "feature"], "left_semi").select("kind", F.lit(None).cast("long").alias("seq"), "feature", F.col("score").cast("long").alias("delta"))
+    least = steps.groupBy("kind", "feature").agg((F.min("seq") - 1).alias("first"))
+    before = before.join(least, ["kind", "feature"]).select("kind", F.col("first").alias("seq"), "feature", "delta")
+    fresh = fold_scores(steps.unionByName(before)).withColumn("updated", F.date_format(now, "yyyy-MM-dd HH:mm:ss"))
+    return known.join(touched, ["kind", "feature"], "left_anti").select("kind", "feature", "score", "updated").unionByName(fresh)
+
+
+def load_scores(stored: DataFrame, now: Column) -> DataFrame:
+    """(kind, place, feature, score): decayed scores other than zero, the highest first within their kind; `place` from 1.
+
+    The place is a rank within blocks of equal scores plus the sizes of the blocks above, as a kind may hold any number of features.
+    """
+    rows = stored.select("kind", "feature", decayed(F.col("score"), F.col("updated"), now).alias("score")).where("score <> 0")
+    sizes = rows.groupBy("kind", "score").agg(F.count("*").alias("n"))
+    above = F.sum("n").over(Window.partitionBy("kind").orderBy(F.desc("score"))) - F.col("n")
+    own = F.row_number().over(Window.partitionBy("kind", "score").orderBy("feature"))
+    rows = rows.withColumn("own", own).join(sizes.withColumn("above", above), ["kind", "score"])
+    return rows.select("kind", (F.col("own") + F.col("above")).alias("place"), "feature", "score")
