@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zlib
 from collections.abc import Callable
 
 import numpy as np
@@ -61,14 +62,31 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def key_bitmap(keys: DataFrame) -> Broadcast:
+class Packed:
+    """An array of 64-bit integers that is broadcast packed, so that one with few entries takes few bytes on every executor; `value` unpacks it once a task."""
+
+    def __init__(self, spark: SparkSession, array: np.ndarray):
+        self.sent: Broadcast = spark.sparkContext.broadcast(zlib.compress(array.astype(np.int64).tobytes(), 1))
+        self._array: np.ndarray | None = None
+
+    def __getstate__(self) -> dict:
+        return {"sent": self.sent, "_array": None}
+
+    @property
+    def value(self) -> np.ndarray:
+        if self._array is None:
+            self._array = np.frombuffer(zlib.decompress(self.sent.value), np.int64)
+        return self._array
+
+
+def key_bitmap(keys: DataFrame) -> Packed:
     """A bitmap of BITMAP_BITS bits in 64-bit words: the only column of `keys`, 64-bit, modulo its length."""
     spark = keys.sparkSession
     cells = keys.select(F.pmod(F.col(keys.columns[0]), F.lit(BITMAP_BITS)).alias("cell"))
     words = cells.groupBy(F.expr("cell div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(cell % 64 AS int)))").alias("bits")).toArrow()
     bits = np.zeros(BITMAP_BITS // 64, np.int64)
     bits[words.column("word").to_numpy()] = words.column("bits").to_numpy()
-    return spark.sparkContext.broadcast(bits)
+    return Packed(spark, bits)
 
 
 def in_bitmap(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -76,7 +94,7 @@ def in_bitmap(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[cell >> 6] >> (cell & 63)) & 1 == 1
 
 
-def maybe_among(bitmap: Broadcast) -> Callable[[Column | str], Column]:
+def maybe_among(bitmap: Packed) -> Callable[[Column | str], Column]:
     """A test of 64-bit keys against a key_bitmap: false only for keys that are not in it.
 
     An exact join after it moves few other rows; with very many keys it lets all pass, and the join moves them all.

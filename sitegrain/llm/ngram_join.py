@@ -29,12 +29,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import Scratch, components, fresh, in_bitmap, key_bitmap, maybe_among, text_key
+from .common import Packed, Scratch, components, fresh, in_bitmap, key_bitmap, maybe_among, text_key
 
 WORDS = 5
 PERCENT = 75
@@ -75,11 +74,11 @@ class Order:
         return values[np.argsort(by_count, kind="stable")], edges, K.to_signed(node)
 
 
-def _digest(order_sent: Broadcast, percent: int):
+def _digest(order_sent: Packed, percent: int):
     """Task: texts to (doc_id, key, node, n, prefix)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = order_sent.value
+        order = Order(order_sent.value)
         for batch in batches:
             for a, b, data, offsets in K.text_chunks(batch.column("text")):
                 values, edges, node = order.sets(data, offsets)
@@ -92,7 +91,7 @@ def _digest(order_sent: Broadcast, percent: int):
     return run
 
 
-def _maybe_shared(bitmap: Broadcast, skip: Broadcast | None = None):
+def _maybe_shared(bitmap: Packed, skip: Packed | None = None):
     """Task: (node, n, prefix) to one row for each prefix shingle whose bit is set; nodes in `skip` are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,19 +122,19 @@ def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(counts[slot])], ["slot", "count"])
 
 
-def shingle_order(docs: DataFrame) -> Order:
-    """The order that all texts of docs(text) give; SLOTS sums reach the driver."""
+def shingle_counts(docs: DataFrame) -> np.ndarray:
+    """The counts of the shingles of all texts of docs(text), by slot; SLOTS sums reach the driver."""
     sums = docs.select("text").mapInArrow(_slot_counts, "slot int, count long").groupBy("slot").agg(F.sum("count").alias("count")).toArrow()
     counts = np.zeros(SLOTS, np.int64)
     counts[sums.column("slot").to_numpy()] = sums.column("count").to_numpy()
-    return Order(counts)
+    return counts
 
 
-def _blocks_of_sets(order_sent: Broadcast):
+def _blocks_of_sets(order_sent: Packed):
     """Task: (want, text) to (block, node, tokens): a row for each block that wants the text's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = order_sent.value
+        order = Order(order_sent.value)
         for batch in batches:
             named, want = batch.column("node").to_numpy(), batch.column("want")
             for a, b, data, offsets in K.text_chunks(batch.column("text")):
@@ -271,7 +270,7 @@ def _link_block(percent: int):
 def _rows_of(spark: SparkSession, scratch: Scratch, docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, key, node, n) of each row of docs(doc_id, text), and (node, component), component the smallest node reached, of nodes with links."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    order = spark.sparkContext.broadcast(shingle_order(docs))
+    order = Packed(spark, shingle_counts(docs))
     digest = docs.select("doc_id", text_key("text").alias("key"), "text").mapInArrow(_digest(order, percent), "doc_id long, key long, node long, n long, prefix array<long>")
     digest = scratch.save(digest, "digest")
     none = F.lit(NONE)
@@ -374,7 +373,7 @@ def keep_one(spark: SparkSession, docs: DataFrame, percent: int = PERCENT) -> Da
     return marked.where(~touched(F.col(key))).drop(key).unionByName(still.drop(key, doc, gone)).select(*[F.col(f"`{n}`") for n in names])
 
 
-def _verify(scratch: Scratch, docs: DataFrame, holders: DataFrame, placed: DataFrame, order: Broadcast, percent: int, name: str) -> DataFrame:
+def _verify(scratch: Scratch, docs: DataFrame, holders: DataFrame, placed: DataFrame, order: Packed, percent: int, name: str) -> DataFrame:
     """Links found by the tries of placed(node, block, probe)."""
     want = placed.groupBy("node").agg(F.collect_set(F.struct("block", "probe")).alias("want"))
     want = scratch.save(want.join(holders.select("node", "holder").hint("merge"), "node"), f"{name}-want")

@@ -23,12 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import Scratch, in_bitmap, key_bitmap, maybe_among, text_key
+from .common import Packed, Scratch, in_bitmap, key_bitmap, maybe_among, text_key
 
 GRAM = 8
 BATCHES = 3
@@ -132,7 +131,7 @@ def _candidate_windows(window: int):
     return run
 
 
-def _cut(window: int, texts: bool, skip: Broadcast | None = None):
+def _cut(window: int, texts: bool, skip: Packed | None = None):
     """Task: texts with their repeated windows to the words kept; keys in `skip` are left out, and all else is without repeats."""
     fields = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())]
     schema = pa.schema(fields + ([("kept_text", pa.string())] if texts else []))

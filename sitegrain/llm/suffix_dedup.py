@@ -32,12 +32,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import Scratch, fresh, in_bitmap, key_bitmap, maybe_among, merged_spans, text_key
+from .common import Packed, Scratch, fresh, in_bitmap, key_bitmap, maybe_among, merged_spans, text_key
 
 GRAM = 32
 #: Rows of contexts whose suffix arrays are built at a time, groups kept whole.
@@ -255,7 +254,7 @@ def _without(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(kept)
 
 
-def _digest(size: int, short: int, skip: Broadcast | None = None):
+def _digest(size: int, short: int, skip: Packed | None = None):
     """Task: (doc_id, key, text[, copied, ranges, passages]) to the digest; keys in `skip` are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

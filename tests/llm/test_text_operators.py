@@ -83,7 +83,7 @@ def test_ngram_join(spark, docs, texts, empty):
 
 
 def test_shingle_order_counts_every_text(spark, docs, texts):
-    order, want = ngram_join.shingle_order(docs), np.zeros(ngram_join.SLOTS, np.int64)
+    order, want = ngram_join.Order(ngram_join.shingle_counts(docs)), np.zeros(ngram_join.SLOTS, np.int64)
     for _, t in texts:
         raw = np.frombuffer((t or "").encode(), np.uint8)
         np.add.at(want, ngram_join._slot(K.shingle_sets(raw, np.array([0, len(raw)]))[1]), 1)
