@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import evidence_queries, page_queries
+from .plans import evidence_queries, failure_queries, page_queries
 from .plans.queries import ORACLES, QUERIES
 
 FLAGSHIP = "site_contacts"
 
-__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "evidence_queries", "page_queries"]
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "evidence_queries", "failure_queries", "page_queries"]

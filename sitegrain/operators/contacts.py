@@ -146,9 +146,9 @@ def contacts(sites: DataFrame, pages: DataFrame) -> DataFrame:
     return out.select("input_index", "site", *[F.coalesce(c, F.lit("")).alias(c) for c in ("company_name", "emails", "phones")])
 
 
-def ranked_biographies(people: DataFrame, limit: int = 40) -> DataFrame:
-    """(site, place, name, score): people(site, pos, name, title, departments) by falling title score, then name, then pos; at most `limit` for a site."""
-    rows = people.select("site", "pos", "name", SC.biography_score("title", "departments").alias("score"))
+def ranked_biographies(people: DataFrame, limit: int = 40, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(site, place, name, score, *keep): people(site, pos, name, title, departments) by falling title score, then name, then pos; at most `limit` for a site."""
+    rows = people.select("site", "pos", "name", SC.biography_score("title", "departments").alias("score"), *keep)
     order = Window.partitionBy("site").orderBy(F.desc("score"), F.lower(F.coalesce("name", F.lit(""))), "pos")
     rows = rows.withColumn("place", F.row_number().over(order).cast("long")).where(F.col("place") <= limit)
-    return rows.select("site", "place", "name", "score")
+    return rows.select("site", "place", "name", "score", *keep)

@@ -121,6 +121,12 @@ def pick_column(profiles: DataFrame, votes: DataFrame | None = None) -> DataFram
     return profiles.groupBy("sheet").agg(F.min_by(F.struct("col_idx", "websites"), best).alias("b")).where("b.websites > 0").select("sheet", F.col("b.col_idx").alias("col_idx"))
 
 
+def header_column(sheet: DataFrame) -> DataFrame:
+    """(sheet, col_idx): the leftmost column whose first row is one of the names of website columns."""
+    cells = sheet.where("row_idx = 0").select("sheet", F.posexplode("cells").alias("col_idx", "cell"))
+    return cells.where(F.lower(F.trim("cell")).isin(*HEADERS)).groupBy("sheet").agg(F.min("col_idx").alias("col_idx"))
+
+
 def fallback_column(sheet: DataFrame) -> DataFrame:
     """(sheet, col_idx): the column with most websites in the first 50 rows, the leftmost on ties."""
     cells = sheet.where(F.col("row_idx") < FALLBACK_ROWS).select("sheet", F.posexplode("cells").alias("col_idx", "cell"))
@@ -141,9 +147,13 @@ def numbered(rows: DataFrame) -> DataFrame:
 
 
 def load_sheet(sheet: DataFrame, picker: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Websites of a sheet: profile, choice (with the picker's votes where it has any), projection, dedupe."""
+    """Websites of a sheet: profile, choice (with the picker's votes where it has any), projection, dedupe.
+
+    Where no column is chosen, the one with a website column's name is taken, and else that with most websites.
+    """
     profiles = profile(sheet)
     chosen = pick_column(profiles, picker(profiles) if picker else None)
+    chosen = chosen.unionByName(header_column(sheet).join(chosen, "sheet", "left_anti"))
     chosen = chosen.unionByName(fallback_column(sheet).join(chosen, "sheet", "left_anti"))
     rows = sheet.join(header_rows(sheet), "sheet").where(F.col("row_idx") >= F.col("has_header").cast("int")).join(chosen, "sheet")
     raw = rows.select("sheet", "row_idx", F.trim(F.coalesce(F.get("cells", F.col("col_idx")), F.lit(""))).alias("raw")).where("raw <> ''")

@@ -294,3 +294,47 @@ def test_recorded_and_ordered_scores(spark):
     got = {r["feature"]: (r["score"], r["updated"]) for r in state.record(stored, events, now).collect()}
     today = "2024-03-01 00:00:00"
     assert got == {"a": (9, today), "n": (2, today), "c": (59, today), "b": (-3, "2024-02-29 00:00:00"), "z": (0, "x")}
+
+
+# ---- failures, people, named columns --------------------------------------------------------------------------------------
+
+
+def test_failure_rules(spark):
+    from sitegrain.functions import failures as FA
+
+    rows = [
+        ("https://a.com/x?y", "SSL: bad, connection reset", 404, "Page not found", '{"error": {"code": " c ", "message": 5}}', "0"), ("http://www.a.com", "SSL:", 404, None, '{"code": 7, "error": {"code": "d"}}', "Wed, 21 Oct 2015 07:28:00 GMT"),
+        ("https://b.com", None, 202, "", "no json", "later"), (None, "Timed Out", None, None, None, None), ("HTTPS://A.com/", "tlsv1_alert", 404, "", '{"code": "", "error": "x"}', " 120 "),
+    ]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, url string, error string, status int, page string, body string, header string")
+    url, error = F.col("url"), F.col("error")
+    got = df.select("i", FA.tries_http(url, error), FA.tries_other_client(error), FA.prefers_other_client(error), FA.tries_status_again(url, F.col("status"), F.col("page")), FA.under_www(url, error),
+                    FA.error_field(F.col("body"), "code"), FA.error_field(F.col("body"), "message"), FA.retry_after(F.col("header"), F.lit("2015-10-21 07:27:00").cast("timestamp"))).orderBy("i").collect()
+    assert [tuple(r)[1:] for r in got] == [
+        (True, True, False, True, "https://www.a.com/x?y", "c", "", 1), (False, False, False, True, "", "d", "", 60), (False, False, False, True, "", "", "", None), (False, True, False, False, "", "", "", None), (True, True, True, True, "", "", "", 120),
+    ]
+    texts = df.limit(1).select(FA.empty_batch(F.array()), FA.empty_batch(F.array(F.lit("a"))), FA.empty_batch(F.array(*map(F.lit, "abc"))), FA.status_in(F.lit("x 503 or 429")), FA.with_codes(F.lit("m"), F.lit(None).cast("int"), F.lit("")),
+                               FA.busy_message(F.lit(None).cast("long")), FA.shown(F.lit("  ")), FA.shown(F.lit(None).cast("string"))).first()
+    assert tuple(texts) == ("empty_page_batch", "empty_page_batch: a", "empty_page_batch: a, b, ...", 429, "m", FA.BUSY, FA.MISSING, FA.MISSING)
+
+
+def test_people_pages(spark):
+    from sitegrain.operators import people
+
+    pages = spark.createDataFrame([("s", 2, "https://a.com/team", "x"), ("s", 1, "https://a.com/Our-People", None), ("s", 3, "https://a.com", "src=//MEDIA.umbraco.io/my-Firm_1/a"), ("t", 1, "https://t.com/team", "none"), ("u", 1, None, "media.umbraco.io/x/")], "site string, pos int, url string, html string")
+    sites = people.sources(pages)
+    assert [tuple(r) for r in sites.collect()] == [("s", "https://a.com/Our-People", "my-Firm_1")]
+    rows = [("s", 1, "Bo", "/bo", "Clerk", ["", " Sales "], None, "b@a.com"), ("s", 2, "Al", None, "Owner", None, "Ulm", None), ("s", 3, " ", "/x", "Owner", None, None, None), ("z", 1, "Cy", None, "Owner", None, None, None)]
+    table = spark.createDataFrame(rows, "site string, pos int, name string, url string, title string, departments array<string>, location string, email string")
+    got = people.people_pages(table, sites.withColumn("website", F.lit("https://a.com/home/"))).collect()
+    cards = "<article><h2>Al</h2><p>Title: Owner</p><p>Location: Ulm</p><p>Profile URL: https://a.com</p></article><article><h2>Bo</h2><p>Title: Clerk</p><p>Department: Sales</p><p>Profile URL: https://a.com/bo</p><p>Email: b@a.com</p></article>"
+    assert [tuple(r) for r in got] == [("s", "https://a.com/Our-People", f"<main><h1>Public People API Results</h1><p>Homepage: https://a.com/home/</p>{cards}</main>")]
+
+
+def test_named_column_comes_before_the_guess(spark):
+    from sitegrain.operators import importing
+
+    blank = [("s", i, ["", "x", ""]) for i in range(1, 130)]
+    rows = [("s", 0, ["Other", "b.com", " Domain"]), *blank, ("s", 130, ["a.org", "", "firm.com"]), ("s", 131, ["", "", "mail@firm.com"])]
+    got = importing.load_sheet(spark.createDataFrame(rows, "sheet string, row_idx int, cells array<string>")).collect()
+    assert "https://firm.com" in [r["website"] for r in got]
