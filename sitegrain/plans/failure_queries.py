@@ -9,7 +9,7 @@ from ..functions import failures as FA
 from ..functions import shell as SH
 from ..functions import text as T
 from ..functions import urls as U
-from ..operators import importing, people
+from ..operators import contacts, importing, people
 from .queries import query, table, values
 
 spark_sql = lambda sql: F.expr(sql.replace("varchar", "string"))
@@ -176,3 +176,34 @@ def named_columns(spark: SparkSession, d: str) -> DataFrame:
     cell = lambda k: F.element_at(F.array(*[F.lit(x) for x in NAMES]), ((F.floor(F.col("s_suppkey") / (1 + k)) + k) % len(NAMES) + 1).cast("int"))
     rows = table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("sheet"), F.posexplode(F.array(F.array(*[cell(k) for k in range(4)]), F.array(F.lit("url"), F.lit("url")))).alias("row_idx", "cells"))
     return importing.header_column(rows)
+
+
+# ---- contacts in footers ------------------------------------------------------------------------------------------------
+
+SQL_FOOTERS = """hosts AS (SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)) AS host FROM pages),
+footers AS (SELECT page_id, translate(regexp_extract(host, '([^.]+)\\.[^.]+\\.[^.]+$', 1), '0123456789', 'abcdefghij') || ['.co.uk', '.de', '.org'][1 + len(host) % 3] AS domain FROM hosts)"""
+
+
+def footer_pages(spark: SparkSession, d: str) -> DataFrame:
+    """(site, page_pos, url, html): every page with a footer of its site's contacts, hidden from readers of plain text in four ways."""
+    host = F.lower(U.netloc("url"))
+    name = F.translate(F.regexp_extract(host, r"([^.]+)\.[^.]+\.[^.]+$", 1), "0123456789", "abcdefghij")
+    domain = F.concat(name, F.element_at(F.array(F.lit(".co.uk"), F.lit(".de"), F.lit(".org")), (F.length(host) % 3 + 1).cast("int")))
+    key = F.col("page_id")
+    mail = F.when(key % 4 == 0, F.concat(F.lit("info[at]"), domain)).when(key % 4 == 1, F.concat(F.lit("INFO&#64;"), domain, F.lit("."))).when(key % 4 == 2, F.concat(F.lit('<a href="mailto:info%40'), domain, F.lit('">write</a>'))).otherwise(F.concat(F.lit("info@"), domain, F.lit(", noreply@"), domain))
+    number = F.lpad(key.cast("string"), 5, "0")
+    phone = F.when(key % 3 == 0, F.concat(F.lit("Phone: +44 20 5550 "), number)).when(key % 3 == 1, F.concat(F.lit('<a href="tel:+44-20-5550-'), number, F.lit('">call</a>'))).otherwise(F.concat(F.lit("Phone: 0044 (20) 5550 "), number))
+    foot = F.concat(F.lit("<footer>"), phone, F.lit(" &middot; "), mail, F.lit(" kim@partner.org</footer>"))
+    return table(spark, d, "pages").select(F.concat(F.lit("https://"), domain).alias("site"), key.alias("page_pos"), "url", F.concat("html", foot).alias("html"))
+
+
+@query(f"WITH {SQL_FOOTERS} SELECT 'https://' || domain AS site, page_id AS page_pos, 1 AS pos, 'info@' || domain AS email FROM footers UNION ALL SELECT 'https://' || domain, page_id, 2, 'kim@partner.org' FROM footers")
+def footer_emails(spark: SparkSession, d: str) -> DataFrame:
+    return contacts.page_emails(footer_pages(spark, d)).select("site", "page_pos", "pos", "email")
+
+
+@query(f"""WITH {SQL_FOOTERS} SELECT 'https://' || domain AS site, 'info@' || domain || '; kim@partner.org' AS emails, string_agg('+44205550' || lpad(cast(page_id AS varchar), 5, '0'), '; ' ORDER BY page_id) AS phones FROM footers GROUP BY domain""")
+def footer_contacts(spark: SparkSession, d: str) -> DataFrame:
+    pages = footer_pages(spark, d)
+    sites = pages.groupBy("site").agg(F.min("page_pos").alias("input_index"))
+    return contacts.contacts(sites, pages).select("site", "emails", "phones")

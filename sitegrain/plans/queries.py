@@ -213,7 +213,9 @@ def column_pick(spark: SparkSession, d: str) -> DataFrame:
     return importing.pick_column(importing.profile(sheet(spark, d)))
 
 
-@query()
+@query(f"""WITH r AS (SELECT cast(c_custkey // 200 AS varchar) AS sheet, c_custkey % 200 + 1 AS row_idx, {CELLS[3]} AS raw FROM customer), n AS (SELECT row_number() OVER (ORDER BY sheet, row_idx) AS k, raw FROM r),
+w AS (SELECT *, CASE WHEN starts_with(raw, 'https://') THEN raw ELSE 'https://' || raw END AS website FROM n), d AS (SELECT *, CASE WHEN ends_with(website, '/en') THEN website ELSE website[9:] END AS dedupe_key FROM w)
+SELECT cast(k AS integer) AS input_index, raw AS raw_website, website, dedupe_key FROM d QUALIFY row_number() OVER (PARTITION BY dedupe_key ORDER BY k) = 1""")
 def sheet_websites(spark: SparkSession, d: str) -> DataFrame:
     return importing.load_sheet(sheet(spark, d))
 
