@@ -94,3 +94,18 @@ def test_lm_score_is_the_plain_recurrence():
                 total += logits[inner] - np.log(np.exp(logits).sum())
             before = token
         assert abs(score - total) < 1e-3 * len(text)
+
+
+def test_most_frequent_words_hold_the_short_list(spark, monkeypatch):
+    """Whole counts as far as they fit, and the most frequent words in any case."""
+    rows = [(h, 50 - h) for h in range(10)] + [(100 + h, 3) for h in range(30)] + [(200 + h, 1) for h in range(500)]
+    table = spark.createDataFrame(rows, "h long, c long")
+    got = lambda: sorted(r["h"] for r in lm._most_frequent(table).collect())
+    monkeypatch.setattr(lm, "SHORT", 11)
+    monkeypatch.setattr(lm, "HEAD", 100)
+    assert got() == [*range(10), *range(100, 130)]
+    monkeypatch.setattr(lm, "HEAD", 20)
+    assert got() == [*range(10), 100, 101]
+    monkeypatch.setattr(lm, "HEAD", 1000)
+    assert got() == sorted(h for h, _ in rows)
+    assert lm._most_frequent(table.limit(0)).count() == 0
