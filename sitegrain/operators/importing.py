@@ -61,7 +61,7 @@ def header_rows(sheet: DataFrame) -> DataFrame:
 
 def profile(sheet: DataFrame) -> DataFrame:
     """One row per sheet and column: header, counters, samples and local_score, over the first 120 data rows."""
-    rows = sheet.join(F.broadcast(header_rows(sheet)), "sheet")
+    rows = sheet.join(header_rows(sheet), "sheet")
     cells = rows.select("sheet", "row_idx", "has_header", F.posexplode("cells").alias("col_idx", "cell")).withColumn("cell", F.trim(F.coalesce("cell", F.lit(""))))
     header = cells.where("has_header and row_idx = 0").select("sheet", "col_idx", F.col("cell").alias("header"))
     data = cells.where(F.col("row_idx") >= F.col("has_header").cast("int"))

@@ -85,13 +85,13 @@ def url_normalize(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", U.normalize_discovery("url").alias("url"), U.canonical("url").alias("canonical"), U.locale("url").alias("locale"))
 
 
-LINKS = """WITH a AS (SELECT url, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS org, regexp_extract_all(html, '(?i)<a\\s[^>]*href=["'']([^"'']+)["'']', 1) AS l FROM (SELECT min(html) AS html, url FROM pages GROUP BY url HAVING count(*) = 1)),
-b AS (SELECT url, org, unnest(l) AS href, generate_subscripts(l, 1) AS pos FROM a),
-c AS (SELECT url, pos, org || trim(href) AS link FROM b WHERE starts_with(trim(href), '/') AND NOT starts_with(trim(href), '//') AND NOT contains(href, '?') AND NOT contains(href, '#')),
-e AS (SELECT url, link, min(pos) AS pos FROM c WHERE NOT regexp_matches(lower(link), '[{}]') GROUP BY url, link)"""
+LINKS = """WITH a AS (SELECT page_id, url, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS org, regexp_extract_all(html, '(?i)<a\\s[^>]*href=["'']([^"'']+)["'']', 1) AS l FROM pages),
+b AS (SELECT page_id, url, org, unnest(l) AS href, generate_subscripts(l, 1) AS pos FROM a),
+c AS (SELECT page_id, url, pos, org || trim(href) AS link FROM b WHERE starts_with(trim(href), '/') AND NOT starts_with(trim(href), '//') AND NOT contains(href, '?') AND NOT contains(href, '#')),
+e AS (SELECT page_id, url, link, min(pos) AS pos FROM c WHERE NOT regexp_matches(lower(link), '[{}]') GROUP BY page_id, url, link)"""
 
 
-@query(LINKS + " SELECT url, cast(row_number() OVER (PARTITION BY url ORDER BY pos) AS integer) AS pos, link FROM e QUALIFY pos <= 80")
+@query(LINKS + " SELECT url, cast(row_number() OVER (PARTITION BY page_id ORDER BY pos) AS integer) AS pos, link FROM e QUALIFY pos <= 80")
 def same_site_links(spark: SparkSession, d: str) -> DataFrame:
     pages = table(spark, d, "pages").select("page_id", "url", "html")
     return links.same_site(pages, keys=("page_id",)).drop("page_id")  # a url that was fetched again has the links of each fetch
