@@ -23,7 +23,7 @@ PEOPLE = (
 SIGNALS = (r"(?is)<h[1-4][^>]*>.*?</h[1-4]>", "(?i)(?:" + "|".join(PEOPLE) + ")", ADDRESS)
 BEFORE, AFTER, FOUND, GAP, STRETCHES = 900, 1600, 24, 256, 8
 LINES, FIRST_LINES, MARKS = 24, 12, 96
-OPENING, CLOSING = "<section data-oldiron-signal='1'><h2>重点正文片段</h2>", "</section>"
+OPENING, CLOSING = "<section data-signal='1'><h2>重点正文片段</h2>", "</section>"
 KEPT_MIDDLE, CUT = "\n<!-- 页面内容过长已截断，已保留中部重点片段 -->\n", "\n<!-- 页面内容过长已截断 -->\n"
 
 

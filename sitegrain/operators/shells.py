@@ -89,7 +89,7 @@ def evidence(pages: DataFrame, scripts: DataFrame) -> DataFrame:
 def rendered(url: Column, lines: Column) -> Column:
     """The lines as a page; null where there are none."""
     body = F.array_join(F.transform(F.slice(lines, 1, SHOWN), lambda x: F.concat(F.lit("<p>"), M.escaped(x), F.lit("</p>"))), "")
-    head = F.concat(F.lit("<html><body><section data-oldiron-shell='1'><h1>Recovered shell evidence for "), M.escaped(url), F.lit("</h1>"))
+    head = F.concat(F.lit("<html><body><section data-shell='1'><h1>Recovered shell evidence for "), M.escaped(url), F.lit("</h1>"))
     return F.when(F.size(lines) > 0, F.concat(head, body, F.lit("</section></body></html>")))
 
 

@@ -159,7 +159,7 @@ def test_recovered_pages(spark):
     got = {r["page_id"]: r["html"] for r in shells.recovered(pages, scripts).collect()}
     lines = ["Firm & Co", "Source Asset: https://www.firm.com/a.js", "info@firm.com", "Ada Stone"]
     body = "".join(f"<p>{html.escape(x)}</p>" for x in lines)
-    assert got == {1: f"<html><body><section data-oldiron-shell='1'><h1>Recovered shell evidence for https://www.firm.com/x</h1>{body}</section></body></html>", 2: "<p>plain</p>", 3: page, 4: None}
+    assert got == {1: f"<html><body><section data-shell='1'><h1>Recovered shell evidence for https://www.firm.com/x</h1>{body}</section></body></html>", 2: "<p>plain</p>", 3: page, 4: None}
     assert shells.recovered(pages.limit(0), scripts).count() == 0
 
 
