@@ -13,11 +13,11 @@ row per document with its component's smallest doc_id.
    that all hold the group's smallest node. A probe walks the trie depth first, sharing the overlap of
    common beginnings, and leaves a subtree when the remaining lengths cannot reach the threshold.
    This links nearly all of a family of copies without writing its pairs.
-4. What is left are nodes of different components that share a prefix shingle. Where at most CROWD nodes hold
-   it they are paired: their shared prefix shingles and the places of the last one bound the overlap, and pairs
-   that can still reach the threshold are verified by the same trie walk. The holders of a more common one are
-   cut into parts of half a block, and any two parts meet in a trie; shingles with the same holders are one. So pairs are written in the
-   number of the holders, and no link between different components is lost.
+4. What is left are node pairs of different components that share a prefix shingle. Their shared prefix
+   shingles and the places of the last one bound the overlap; pairs that can still reach the threshold are
+   verified by the same trie walk. A pair that shares crowded shingles, which more than CROWD nodes have, is written
+   for the first of them only, as far as that is among the first EARLY of both, and then verified without
+   the count of what is shared. So no link between different components is lost.
 
 Defined cases: null text is empty; documents without words are alone; repeated rows and equal texts
 share a component; null doc_id gives a row with its component's smallest non-null doc_id; an empty
@@ -43,8 +43,8 @@ SLOT_BITS = 21
 SLOTS = 1 << SLOT_BITS
 #: Nodes in one trie, and shingles of all of them (a longer set is a block of its own, with the group's smallest node).
 BLOCK, BLOCK_SHINGLES = 256, 1 << 20
-#: Most nodes of different components that are paired for a shingle they share; those of more go into tries.
-CROWD = 64
+#: A shingle that more nodes of different components share is crowded, and pairs look back at so many crowded ones before it.
+CROWD, EARLY = 64, 16
 #: Shingles in one batch of sets sent to the tries.
 BATCH_SHINGLES = 1 << 18
 #: Stands for a null doc_id in joins.
@@ -314,25 +314,28 @@ def _rows_of(spark: SparkSession, scratch: Scratch, docs: DataFrame, percent: in
     mixed = scratch.save(tagged.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token"), "mixed")
     open_ = scratch.save(tagged.join(mixed.hint("merge"), "token", "left_semi"), "open")
     scratch.drop("near", "tagged", "mixed")
-    crowded = open_.groupBy("token").agg(F.count("*").alias("m"), F.sum("n").alias("size"), F.bit_xor(F.xxhash64("node")).alias("holders")).where(F.col("m") > CROWD)
-    crowded = scratch.save(crowded, "crowded")
-    rare = open_.join(crowded.select("token").hint("merge"), "token", "left_anti")
-    x, y = (rare.select("token", *[F.col(c).alias(f"{k}_{c}") for c in ("node", "n", "pos", "before", "component")]) for k in "ab")
+    crowded = open_.groupBy("token").agg(F.count("*").alias("m")).where(F.col("m") > CROWD).select("token", F.lit(True).alias("hot"))
+    to_here = Window.partitionBy("node").orderBy("pos")
+    seen = open_.join(crowded.hint("merge"), "token", "left").withColumn("hot", F.coalesce("hot", F.lit(False))).withColumn("nth", F.sum(F.col("hot").cast("int")).over(to_here))
+    seen = seen.withColumn("early", F.collect_list(F.when(F.col("hot") & (F.col("nth") <= EARLY), F.col("token"))).over(to_here.rowsBetween(Window.unboundedPreceding, -1)))
+    seen = scratch.save(seen.drop("nth"), "seen")
+    x, y = (seen.select("token", *[F.col(c).alias(f"{k}_{c}") for c in ("node", "n", "pos", "before", "component", "hot", "early")]) for k in "ab")
     # all that two sets share before a shared shingle is shared by prefixes too; behind it, the shorter rest is the bound
     reach = F.least("a_before", "b_before") + 1 + F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos")) - 1
     met = x.join(y.hint("merge"), "token").where(((100 + percent) * reach >= percent * (F.col("a_n") + F.col("b_n"))) & (F.col("a_component") != F.col("b_component")) & (100 * F.col("a_n") >= percent * F.col("b_n")) & ((F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_node") < F.col("b_node")))))
-    pairs = met.groupBy(F.col("a_node").alias("a"), F.col("b_node").alias("b")).agg(F.count("*").alias("c"), F.first("a_n").alias("na"), F.first("b_n").alias("nb"), F.max("a_pos").alias("ia"), F.max("b_pos").alias("ib"))
+    met = met.where(~F.col("a_hot") | ~F.arrays_overlap("a_early", "b_early"))
+    pairs = met.groupBy(F.col("a_node").alias("a"), F.col("b_node").alias("b")).agg(F.count("*").alias("c"), F.bool_or("a_hot").alias("hot"), F.first("a_n").alias("na"), F.first("b_n").alias("nb"), F.max("a_pos").alias("ia"), F.max("b_pos").alias("ib"))
     # what may still be shared: all after the last shared prefix shingle, and no more than lies behind the longer prefix
     after = F.least(F.col("na") - 1 - F.col("ia"), F.col("nb") - 1 - F.col("ib"), F.ceil(F.col("nb") * percent / 100) - 1)
-    pairs = pairs.where((100 + percent) * (F.col("c") + after) >= percent * (F.col("na") + F.col("nb"))).select("a", "b", "nb")
+    pairs = pairs.where(F.col("hot") | ((100 + percent) * (F.col("c") + after) >= percent * (F.col("na") + F.col("nb")))).select("a", "b", "nb")
     pairs = scratch.save(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "nb").groupBy("a", "b").agg(F.max("nb").alias("nb")), "pairs")
     parts = scratch.save(pairs.groupBy("a").agg(F.count("*").alias("m"), F.sum("nb").alias("size")).select("a", _parts("m", "size").alias("parts")), "parts")
     numbered = pairs.join(parts.hint("merge"), "a").withColumn("block", F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("parts"))))
     asked = numbered.select(F.col("a").alias("node"), "block", F.lit(True).alias("probe")).distinct()
     rest = numbered.select(F.col("b").alias("node"), "block", F.lit(False).alias("probe"))
-    more = _verify(scratch, docs, holders, asked.union(rest).union(_crowds(open_, crowded)), order, percent, "rest")
+    more = _verify(scratch, docs, holders, asked.union(rest), order, percent, "rest")
     whole = scratch.save(components(scratch, links.union(more), "all-cc"), "all")
-    scratch.drop("open", "crowded", "pairs", "parts", "family", "holders")
+    scratch.drop("open", "seen", "pairs", "parts", "family", "holders")
     return digest.select("doc_id", "key", "node", "n"), whole
 
 
@@ -341,18 +344,6 @@ def _parts(count: str, size: str) -> Column:
     return F.greatest(F.ceil(F.col(count) / BLOCK), F.ceil(F.col(size) / BLOCK_SHINGLES)).cast("long")
 
 
-def _crowds(held: DataFrame, crowded: DataFrame) -> DataFrame:
-    """(node, block, probe): blocks in which any two holders of a crowded shingle meet; held(token, node) are all holders."""
-    one = crowded.groupBy("m", "size", "holders").agg(F.min("token").alias("token"))
-    one = one.select("token", F.greatest(F.ceil(2 * F.col("m") / BLOCK), F.ceil(2 * F.col("size") / BLOCK_SHINGLES)).cast("long").alias("parts"))
-    rows = held.select("token", "node").join(one.hint("merge"), "token").withColumn("own", F.pmod(F.xxhash64("node", "token"), F.col("parts")))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).where("parts = 1 or own <> other")
-    rows = rows.select("node", "token", "parts", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
-    # one part of the two is looked up; the last part, which is never the lower one, in its block with the part before it
-    probe = (F.col("parts") > 1) & ((F.col("own") == F.col("lo")) | ((F.col("hi") == F.col("parts") - 1) & (F.col("lo") == F.col("parts") - 2)))
-    return rows.select("node", F.xxhash64("token", "lo", "hi", F.lit("crowd")).alias("block"), probe.alias("probe"))
-
-
 def component_table(spark: SparkSession, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of docs(doc_id, text); see the module."""
     scratch = Scratch(spark, "ngram")

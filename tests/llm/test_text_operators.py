@@ -82,7 +82,7 @@ def test_ngram_join(spark, docs, texts, empty):
     assert ngram_join.component_table(spark, empty).count() == 0
 
 
-def test_crowds_meet_in_tries(spark):
+def test_crowded_shingles(spark):
     """A passage in hundreds of texts, most of each: near misses by the thousand, and links among them."""
     rng = np.random.default_rng(12)
     word = lambda k: [f"w{int(x)}" for x in rng.integers(0, 40, k)]
@@ -110,20 +110,6 @@ def test_crowds_meet_in_tries(spark):
     assert near > 10_000 and 5 < len(set(got.values())) < 300
 
 
-def test_crowd_blocks_hold_every_pair(spark):
-    held = spark.createDataFrame([(t, n) for t, m in ((1, 700), (2, 100), (3, 100)) for n in range(m)], "token long, node long")
-    crowded = spark.createDataFrame([(1, 700, 7000, 5), (2, 100, 1000, 9), (3, 100, 1000, 9)], "token long, m long, size long, holders long")
-    blocks = {}
-    for r in ngram_join._crowds(held, crowded).collect():
-        blocks.setdefault(r["block"], []).append((r["node"], r["probe"]))
-    pairs = set()
-    for rows in blocks.values():
-        asked = {n for n, p in rows if p} or {n for n, _ in rows}
-        pairs |= {(min(a, b), max(a, b)) for a in asked for b, _ in rows if a != b}
-    assert len(pairs) == 700 * 699 // 2 and max(map(len, blocks.values())) < 2 * ngram_join.BLOCK
-    assert sum(map(len, blocks.values())) == 700 * 5 + 100  # two shingles of the same holders are one crowd
-
-
 def test_shingle_order_counts_every_text(spark, docs, texts):
     order, want = ngram_join.Order(ngram_join.shingle_counts(docs)), np.zeros(ngram_join.SLOTS, np.int64)
     for _, t in texts:
