@@ -1,8 +1,8 @@
 """Sitemaps of sites, followed level by level under the limits of a site.
 
 A walk goes breadth first: a sitemap is read where it is first met, by level and then by its place under the sitemaps above it, and
-never again; so cycles end. Each level is one join with the files' entries, which are parsed once and checkpointed, as are the levels; places are
-carried as short arrays, texts are not.
+never again; so cycles end. Each level is one join with the indexes' entries, and pages are one join with all sitemaps that were read. Entries are parsed
+once and checkpointed, as are the levels; places are carried as short arrays, texts are not.
 """
 
 from __future__ import annotations
@@ -19,7 +19,8 @@ from . import candidates
 
 #: Levels below the first sitemaps, and pages that are looked at for each that is wanted, and in all.
 DEPTH, LOOKED_AT, MOST = 3, 4, 400
-INDEX = r"(?is)\A\s*(?:<\?.*?\?>\s*|<!--.*?-->\s*|<!doctype[^>]*>\s*)*<(?:\w+:)?sitemapindex\b"
+# What stands before the first element is never read twice, so that a file that is no index is not searched to its end.
+INDEX = r"(?is)\A\s*+(?>(?:<\?.*?\?>|<!--.*?-->|<!doctype[^>]*+>)\s*+)*+<(?:\w+:)?sitemapindex\b"
 ENTRY = r"(?is)<(?:\w+:)?{0}\b[^>]*>.*?</(?:\w+:)?{0}\s*>"
 LOC = r"(?is)<(?!image:|video:)(?:\w+:)?loc\s*>\s*(?:<!\[CDATA\[)?\s*(.*?)\s*(?:\]\]>)?\s*</(?:\w+:)?loc\s*>"
 
@@ -34,13 +35,15 @@ def texts(files: DataFrame) -> DataFrame:
 
 
 def entries(files: DataFrame) -> DataFrame:
-    """(url, is_index, pos, loc) of sitemap documents files(url, xml); of several of one address the greatest text counts."""
+    """(url, is_index, pos, loc) of sitemap documents files(url, xml), each loc of a file once; of several of one address the greatest text counts."""
     rows = files.where("url is not null").groupBy("url").agg(F.max(F.coalesce("xml", F.lit(""))).alias("xml"))
     index = F.col("xml").rlike(INDEX)
     inside = lambda name: F.regexp_extract_all("xml", F.lit(ENTRY.format(name)), F.lit(0))
     plain = lambda x: F.replace(F.trim(F.regexp_extract(x, LOC, 1)), F.lit("&amp;"), F.lit("&"))
-    found = F.transform(F.when(index, inside("sitemap")).otherwise(inside("url")), plain)
-    return rows.select("url", index.alias("is_index"), F.posexplode(found).alias("pos", "loc")).where("loc <> ''")
+    found = F.transform(F.when(F.col("is_index"), inside("sitemap")).otherwise(inside("url")), plain)
+    # all that needs the text is told before its entries are rows of their own; beside them it would be told again for each
+    rows = rows.withColumn("is_index", index).select("url", "is_index", F.array_distinct(found).alias("found"))
+    return rows.select("url", "is_index", F.posexplode("found").alias("pos", "loc")).where("loc <> ''")
 
 
 def roots(sites: DataFrame, robots: DataFrame) -> DataFrame:
@@ -68,15 +71,18 @@ def walk(files: DataFrame, sites: DataFrame, first: DataFrame, limit: int, depth
     """
     listed = cut(entries(files))
     level = _first(first.select("site", "url", F.array(F.col("pos").cast("int")).alias("place")))
-    seen, pages = level.select("site", "url"), []
-    for k in range(depth + 1):
-        met = level.join(listed, "url").select("site", "is_index", F.col("loc").alias("url"), F.concat("place", F.array("pos")).alias("place"))
-        pages.append(met.where("not is_index").select("site", "url", F.struct(F.lit(k).alias("level"), "place").alias("place")))
-        if k < depth:
-            level = cut(_first(met.where("is_index").select("site", "url", "place")).join(seen, ["site", "url"], "left_anti"))
-            seen = seen.unionByName(level.select("site", "url"))
-    rows = reduce(DataFrame.unionByName, pages).join(sites.select("site", "start").dropDuplicates(["site"]), "site")
-    rows = _first(rows.where(of_site("start", "url") & U.is_supported("url"))).join(seen, ["site", "url"], "left_anti")
+    read = [level.withColumn("level", F.lit(0))]
+    seen = level.select("site", "url")
+    for k in range(depth):  # only the indexes' entries are followed; pages are joined once, when all sitemaps are known
+        met = level.join(listed.where("is_index"), "url").select("site", F.col("loc").alias("url"), F.concat("place", F.array("pos")).alias("place"))
+        level = cut(_first(met).join(seen, ["site", "url"], "left_anti"))
+        read.append(level.withColumn("level", F.lit(k + 1)))
+        seen = seen.unionByName(level.select("site", "url"))
+    pages = reduce(DataFrame.unionByName, read).join(listed.where("not is_index"), "url")
+    rows = _first(pages.select("site", F.col("loc").alias("url"), F.struct("level", F.concat("place", F.array("pos")).alias("place")).alias("place")))
+    # each address of a site is tested once; one test of both columns stays above the join
+    rows = rows.join(sites.select("site", "start").dropDuplicates(["site"]), "site").where(F.when(of_site("start", "url"), U.is_supported("url")))
+    rows = rows.join(seen, ["site", "url"], "left_anti")
     rank = F.row_number().over(Window.partitionBy("site").orderBy("place", "url"))
     return rows.withColumn("pos", rank).where(F.col("pos") <= scan_limit(limit)).select("site", F.col("pos").cast("int").alias("pos"), "url")
 

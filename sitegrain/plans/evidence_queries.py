@@ -122,7 +122,7 @@ def _urlset(name: str, locs) -> object:
 def map_files(spark: SparkSession, d: str) -> DataFrame:
     """(url, xml): for each of 40 sites an index of three sitemaps, of one more index and of itself; pages are orders."""
     rows = table(spark, d, "orders").withColumn("site", spark_sql(SITE_OF_ORDER)).select("site", (F.col("o_orderkey") % 4).alias("part"), "o_orderkey", spark_sql(MAP_PAGE).alias("page"))
-    lists = rows.groupBy("site", "part").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "page"))).alias("pages"))
+    lists = rows.groupBy("site", "part").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", "page"))).alias("pages"))
     address = lambda name: F.concat(F.lit("https://"), spark_sql(MAP_HOST), F.lit("/"), name)
     leaves = lists.select(address(F.concat(F.lit("map"), F.col("part").cast("string"), F.lit(".xml"))).alias("url"), _urlset("urlset", F.transform("pages", lambda p: p["page"])).alias("xml"))
     sites = rows.select("site").distinct()

@@ -269,6 +269,18 @@ def test_sitemap_walk(spark):
     assert sitemaps.walk(rows.limit(0), sites, first, 10).count() == 0
 
 
+def test_large_sitemap_is_read_in_time(spark):
+    import time
+
+    n, again = 6000, 20  # a kind told for each entry reads this file 6,000 times
+    files = spark.range(1).select(F.lit("https://a.com/sitemap.xml").alias("url"), F.concat(F.lit("<?xml version='1.0'?><urlset>"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.concat(
+        F.lit("<url><loc>https://a.com/"), F.pmod(i, F.lit(n // again)).cast("string"), F.lit("</loc><note>"), F.repeat(F.lit("x"), 1000), F.lit("</note></url>"))), ""), F.lit("</urlset>")).alias("xml"))
+    began = time.perf_counter()
+    rows = [tuple(r) for r in sitemaps.entries(files).orderBy("pos").collect()]
+    assert rows == [("https://a.com/sitemap.xml", False, i, f"https://a.com/{(i + 1) % (n // again)}") for i in range(n // again)]
+    assert time.perf_counter() - began < 30
+
+
 def test_packed_sitemaps(spark):
     files = spark.createDataFrame([("https://a.com/s.xml.gz", gzip.compress(pages_file("https://a.com/ü").encode()), ""), ("https://a.com/t.xml", None, None)], "url string, content binary, content_type string")
     got = {r["url"]: r["xml"] for r in sitemaps.texts(files).collect()}
