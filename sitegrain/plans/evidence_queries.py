@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import gzip
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import decoding, markdown, truncation
 from ..functions import urls as U
+from ..functions.batches import mapped
 from ..operators import candidates, shells, sitemaps, state
 from ..operators import pagesets as PS
 from .page_queries import WORDS
@@ -85,9 +87,9 @@ def page_markdown(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", "url", markdown.markdown("html").alias("content"))
 
 
-@F.pandas_udf(T.BinaryType())
-def packed(content: pd.Series) -> pd.Series:
-    return content.map(lambda x: gzip.compress(x, 1))
+@F.arrow_udf(T.BinaryType())
+def packed(content: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    return mapped(lambda x: x if x is None else gzip.compress(x, 1), pa.binary(), content)
 
 
 def fetched(spark: SparkSession, d: str) -> DataFrame:
@@ -98,7 +100,7 @@ def fetched(spark: SparkSession, d: str) -> DataFrame:
     plain = F.when(F.col("kind") == 1, F.encode("text", "UTF-16LE")).when(F.col("kind") == 2, F.encode(F.when(F.col("kind") == 2, F.col("text")).otherwise(""), "ISO-8859-1")).otherwise(F.encode("text", "UTF-8"))
     kinds = F.when(F.col("kind") == 1, "text/plain; charset=utf-16-le").when(F.col("kind") == 2, 'text/html; Charset="ISO-8859-1"').otherwise("")
     rows = rows.select("doc_id", F.concat(F.lit("https://a.com/"), F.col("doc_id").cast("string")).alias("url"), "kind", plain.alias("plain"), kinds.alias("content_type"))
-    return rows.select("doc_id", "url", F.when(F.col("kind") == 3, packed("plain")).otherwise(F.col("plain")).alias("content"), "content_type")
+    return rows.select("doc_id", "url", F.when(F.col("kind") == 3, packed(F.when(F.col("kind") == 3, F.col("plain")))).otherwise(F.col("plain")).alias("content"), "content_type")
 
 
 @query("SELECT doc_id, coalesce(text, '') AS text FROM documents")
