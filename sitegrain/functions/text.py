@@ -6,6 +6,7 @@ import html
 import json
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -74,10 +75,22 @@ RATE_CODES = (
 )
 
 
-@F.pandas_udf(T.StringType())
-def unescape(values: pd.Series) -> pd.Series:
-    """HTML entities decoded."""
-    return values.map(lambda v: html.unescape(v) if v and "&" in v else v)
+#: An entity as html.unescape finds it.
+ENTITY = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _characters(found: pa.Array) -> pa.Array:
+    """Arrays of entities as arrays of what they stand for."""
+    return pa.array([x if x is None else [html.unescape(e) for e in x] for x in found.to_pylist()], pa.list_(pa.string()))
+
+
+def unescape(value: Column | str) -> Column:
+    """HTML entities decoded. Only the entities go to Python, so its memory does not grow with the texts."""
+    text = F.col(value) if isinstance(value, str) else value
+    plain = F.split(text, ENTITY, -1)
+    decoded = _characters(F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0)))
+    return F.array_join(F.flatten(F.transform(F.arrays_zip(plain.alias("p"), decoded.alias("d")), lambda x: F.array(x["p"], F.coalesce(x["d"], F.lit(""))))), "")
 
 
 def _names(node: object) -> list[str]:
@@ -114,7 +127,7 @@ def json_ld_names(blocks: pd.Series) -> pd.Series:
 
 
 def contains_any(value: Column, parts) -> Column:
-    return value.rlike(U.quoted(parts))
+    return value.rlike(U.anywhere(parts))
 
 
 def first_match(value: Column, cases, otherwise: Column) -> Column:

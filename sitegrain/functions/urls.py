@@ -84,6 +84,22 @@ def quoted(names) -> str:
     return "|".join(f"\\Q{n}\\E" for n in dict.fromkeys(names))
 
 
+def _grouped(names: set[str]) -> str:
+    heads: dict[str, set[str]] = {}
+    for n in names:
+        heads.setdefault(n[:1], set()).add(n[1:])
+    if "" in heads:  # what goes on from here need not be looked at
+        return ""
+    parts = [(c if c.isalnum() else "\\" + c) + _grouped(rest) for c, rest in sorted(heads.items())]
+    return parts[0] if len(parts) == 1 else "(?:" + "|".join(parts) + ")"
+
+
+def anywhere(names) -> str:
+    """A pattern that occurs where one of the names does, grouped by their beginnings, so that most places of a text are passed at their first sign."""
+    firsts = "".join(sorted({n[0] if n[0].isalnum() else "\\" + n[0] for n in names}))
+    return f"(?=[{firsts}]){_grouped(set(names))}"
+
+
 def one_of(value: Column, names) -> Column:
     """Whether the value is one of the names (one pattern keeps plans small)."""
     return value.rlike(rf"\A(?:{quoted(names)})\z")

@@ -162,3 +162,37 @@ def test_responses_reasons_and_assets(spark):
     table = spark.createDataFrame([("第1列", 0, 0, " own "), ("Website", 0, 1, "own"), ("第1列", 0, None, "own"), ("Website", 0, 0, " "), (None, 0, None, None)], "header string, chosen int, voted int, reason string")
     reasons = [r[0] for r in table.select(importing.selection_reason(*(F.col(c) for c in table.columns))).collect()]
     assert reasons == ["own", *(importing.REASONS[k] for k in ("overruled", "unnamed", "named", "named"))]
+
+
+def test_unescape_sends_entities_alone_to_python(spark):
+    import html
+
+    some = [None, "", "plain", "&amp;", "a&lt;b&gt;&notit;&not&notin;&#64;&#x40;&#X40 &#0;&#x110000;&#128;&unknown; & &; &&amp;&amp &a b;&\u00e9amp; &#;", "x" * 50 + "&" + "y" * 40 + ";", "&middot;\U0001f600&eacute;\n&NotEqualTilde;"]
+    rows = spark.createDataFrame(list(enumerate(some)), "i int, x string")
+    got = {r["i"]: r["y"] for r in rows.select("i", T.unescape("x").alias("y")).collect()}
+    assert got == {i: x if x is None else html.unescape(x) for i, x in enumerate(some)}
+    plan = rows.select(T.unescape("x"))._jdf.queryExecution().executedPlan().toString()
+    assert "_characters(regexp_extract_all(" in plan  # not the texts
+
+
+def test_batches_are_handled_in_bounded_runs():
+    import pyarrow as pa
+
+    from sitegrain.functions import batches
+
+    column = pa.array(["x" * (batches.CHUNK // 4)] * 10 + [None, "", "y" * batches.CHUNK * 2, "z"])
+    runs = [c[0] for c in batches.slices([column])]
+    assert max(sum(len(x or "") for x in r.to_pylist()[1:]) for r in runs) <= batches.CHUNK and len(runs) > 3
+    assert pa.concat_arrays(list(batches.mapped(lambda x: x, pa.string(), [column]))).equals(column)
+    assert list(batches.slices([pa.array([], pa.string())])) == []
+
+
+def test_footers_alone_give_contacts(spark, tmp_path):
+    from sitegrain.plans import failure_queries as Q
+
+    own = "<h1>Look at a.com</h1><p>kim@own.com joe[at]b.com j&#64;c.com d%40e.com Phone: +44 20 1111 22222</p>"
+    rows = [(7, "https://www.firm1.example.com/a", own), (100007, "https://www.firm1.example.com/b", own), (100008, "https://www.firm1.example.com/c", "<p>x</p>")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = Q.footer_contacts(spark, str(tmp_path)).collect()
+    assert [(r["emails"].split("; ")[1:], r["phones"]) for r in got] == [(["kim@partner.org"], "+4420555000007; +4420555010000; +4420555010000")]
+    assert Q.footer_emails(spark, str(tmp_path)).count() == 6
