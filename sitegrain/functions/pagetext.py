@@ -26,11 +26,12 @@ NOISE = (
 #: Section marks.
 TELLING, BEGINNING, WHOLE, ENDING, BREAK = "--- 重点片段 ---", "--- 页面开头 ---", "--- 完整正文 ---", "--- 末尾上下文 ---", "---"
 HEAD, TAIL, WINDOWS, BUDGET = 24, 16, 8, 180_000
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 
 
 def _strip(value: Column) -> Column:
-    return F.regexp_replace(value, r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$", "")
+    return F.trim(value, F.lit(BLANKS))
 
 
 def lines(content: Column) -> Column:
