@@ -28,13 +28,13 @@ def _text(value: Column) -> Column:
 
 def plain(value: Column) -> Column:
     """Lower case without accents or other than ASCII characters."""
-    return F.lower(F.regexp_replace(U.ascii_fold(_text(value)), r"[^\x00-\x7F]", ""))
+    return F.lower(F.when(F.length(_text(value)) == F.octet_length(_text(value)), _text(value)).otherwise(U.ascii_fold(_text(value))))
 
 
 def looks_like_person(value: Column) -> Column:
     """Two to four capitalised words of at most 80 characters."""
     text = F.regexp_replace(_text(value), r"\s+", " ")
-    return (F.length(text) <= 80) & text.rlike(PERSON)
+    return _text(value).rlike("^[A-Z]") & (F.length(text) <= 80) & text.rlike(PERSON)
 
 
 def has_role(value: Column) -> Column:
@@ -49,17 +49,21 @@ def signal_score(value: Column) -> Column:
     """Points of a line that may name a contact; 0 for addresses of pages, code, and lines outside 3 to 180 characters."""
     text = _text(value)
     odd = ~F.length(text).between(3, 180) | text.rlike("^https?://") | contains_any(text, ("{", "function(", "=>"))
-    points = (
-        (text.rlike(ADDRESS), 90), (text.rlike(PHONE), 36), (has_role(text), 48), (has_company(text), 38), (looks_like_person(text), 58),
-        (F.contains(plain(text), F.lit("mailto:")), 12), (text.rlike("[A-Za-z].*[A-Za-z]") & F.contains(text, F.lit(" ")), 4),
-    )
-    return F.when(odd, 0).otherwise(sum((F.when(test, n).otherwise(0) for test, n in points), F.lit(0)))
 
+    def points(low: Column) -> Column:
+        tests = (
+            (F.contains(text, F.lit("@")) & text.rlike(ADDRESS), 90), (text.rlike(PHONE), 36), (contains_any(low, ROLES), 48), (contains_any(F.concat(F.lit(" "), low, F.lit(" ")), COMPANIES), 38),
+            (looks_like_person(text), 58), (F.contains(low, F.lit("mailto:")), 12), (F.contains(text, F.lit(" ")) & text.rlike("[A-Za-z].*[A-Za-z]"), 4),
+        )
+        return sum((F.when(test, n).otherwise(0) for test, n in tests), F.lit(0))
 
-def buckets(value: Column) -> Column:
-    """Array of (kind, score) of all kinds of line that a line is."""
+    return F.when(odd, 0).otherwise(U.bind(plain(text), points))
+
+
+def buckets(value: Column, score: Column | None = None) -> Column:
+    """Array of (kind, score) of all kinds of line that a line is; its signal score may be given."""
+    score = signal_score(value) if score is None else score
     tests = {"general": F.lit(True), "person": looks_like_person(value), "role": has_role(value), "company": has_company(value)}
-    score = signal_score(value)
     return F.filter(F.array(*[F.when(tests[k], F.struct(F.lit(k).alias("kind"), (score + n).alias("score"))) for k, n in KINDS]), lambda x: x.isNotNull())
 
 
