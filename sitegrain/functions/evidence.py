@@ -14,7 +14,9 @@ from . import urls as U
 from .text import contains_any
 
 #: Words that lead to a contact, and those that speak for or against showing a mailbox of another host.
-ANCHORS = r"(?iu)mailto:|tel:|impressum|imprint|contact|gmbh|geschäft|director|founder|ceo|leadership|management|partner|owner|phone|president|telefon|telephone"
+ANCHORS = "(?iu)" + U.anywhere((
+    "mailto:", "tel:", "impressum", "imprint", "contact", "gmbh", "geschäft", "director", "founder", "ceo", "leadership", "management", "partner", "owner", "phone", "president", "telefon", "telephone",
+))
 KEEP = (
     "contact", "director", "email", "founder", "geschaftsfuhrer", "geschaftsfuhrender", "impressum", "kontakt", "legal", "mail", "mailto", "managing director",
     "owner", "partner", "phone", "president", "representative", "telefon",
@@ -53,7 +55,7 @@ def windows(text: Column) -> Column:
     """The stretches of a script around its addresses and telling words, one below the other; without any, its beginning."""
 
     def pick(x: Column) -> Column:
-        addresses, anchors = S.places(x, SH.ADDRESS), S.places(x, ANCHORS)
+        addresses, anchors = F.when(F.contains(x, F.lit("@")), S.places(x, SH.ADDRESS)).otherwise(S.none()), S.places(x, ANCHORS)
         some = U.bind(addresses, lambda a: F.concat(a, F.slice(anchors, F.lit(1), F.greatest(F.lit(ANCHORED) - F.size(a), F.lit(1)))))
         kept = S.joined(S.around(some, AROUND, AROUND, F.length(x)), GAP, WINDOWS)
         return U.bind(kept, lambda k: F.when(F.size(k) == 0, F.substring(x, 1, PLAIN)).otherwise(F.array_join(S.cut(x, k), "\n")))
@@ -117,7 +119,8 @@ def scored_names(text: Column) -> Column:
 
 def routed(lines: Column) -> Column:
     """Array of (kind, score, line) of all kinds that each of the lines is; lines without points are none."""
-    rows = F.transform(F.filter(lines, lambda x: SH.signal_score(x) > 0), lambda x: F.struct(x.alias("line"), SH.buckets(x).alias("kinds")))
+    scores = F.filter(F.transform(lines, lambda x: F.struct(x.alias("line"), SH.signal_score(x).alias("score"))), lambda r: r["score"] > 0)
+    rows = F.transform(scores, lambda r: F.struct(r["line"].alias("line"), SH.buckets(r["line"], r["score"]).alias("kinds")))
     return F.flatten(F.transform(rows, lambda r: F.transform(r["kinds"], lambda k: F.struct(k["kind"].alias("kind"), k["score"].alias("score"), r["line"].alias("line")))))
 
 
