@@ -41,6 +41,8 @@ PERCENT = 75
 #: Counters of the shingle order (16 MB, whatever the corpus); a shingle's is named by its leading bits, as bitmaps of keys use the last ones.
 SLOT_BITS = 21
 SLOTS = 1 << SLOT_BITS
+#: Counters in one row of a task's counts.
+SLOT_BLOCK = 1 << 12
 #: Nodes in one trie, and shingles of all of them (a longer set is a block of its own, with the group's smallest node).
 BLOCK, BLOCK_SHINGLES = 256, 1 << 20
 #: A shingle that more nodes of different components share is crowded, and pairs look back at so many crowded ones before it.
@@ -63,7 +65,7 @@ class Order:
     """The global shingle order: by rising count of the shingle's slot, then by hash."""
 
     def __init__(self, counts: np.ndarray):
-        self.counts = np.minimum(counts, (1 << 40) - 1)
+        self.counts = counts if counts.max() < 1 << 40 else np.minimum(counts, (1 << 40) - 1)
 
     def sets(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ordered distinct shingles of each text end to end, their offsets, and the node of each text."""
@@ -114,23 +116,42 @@ def _maybe_shared(bitmap: Packed, skip: Packed | None = None):
 
 
 def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Task: texts to (slot, count) of all their shingles, one row for each slot in use."""
-    counts = np.zeros(SLOTS, np.int64)
+    """Task: texts to (block, counts) of all their shingles: SLOT_BLOCK counters in a row, in as few bytes each as the block's largest needs."""
+    counts = np.zeros(SLOTS, np.uint64)
     for batch in batches:
         for _, _, data, offsets in K.text_chunks(batch.column("text")):
-            np.add.at(counts, _slot(K.shingle_sets(data, offsets, WORDS)[1]), 1)
-    used = np.flatnonzero(counts)
-    for k in range(0, len(used), 100_000):
-        slot = used[k : k + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(counts[slot])], ["slot", "count"])
+            np.add.at(counts, _slot(K.shingle_sets(data, offsets, WORDS)[1]), np.uint64(1))
+    blocks = counts.reshape(-1, SLOT_BLOCK)
+    for k in np.flatnonzero(blocks.any(axis=1)).tolist():
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([_pack(blocks[k])])], ["block", "counts"])
+
+
+def _pack(counts: np.ndarray) -> bytes:
+    return counts.astype(np.min_scalar_type(counts.max())).tobytes()
+
+
+def _unpack(packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed, f"u{len(packed) // SLOT_BLOCK}")
+
+
+def _sum_block(table: pa.Table) -> pa.Table:
+    """Task for one block: the sums of its counters."""
+    counts = np.zeros(SLOT_BLOCK, np.uint64)
+    for packed in table.column("counts"):
+        counts += _unpack(packed.as_py())
+    return pa.table({"block": table.column("block").slice(0, 1), "counts": pa.array([_pack(counts)])})
 
 
 def shingle_counts(docs: DataFrame) -> np.ndarray:
-    """The counts of the shingles of all texts of docs(text), by slot; SLOTS sums reach the driver."""
-    sums = docs.select("text").mapInArrow(_slot_counts, "slot int, count long").groupBy("slot").agg(F.sum("count").alias("count")).toArrow()
-    counts = np.zeros(SLOTS, np.int64)
-    counts[sums.column("slot").to_numpy()] = sums.column("count").to_numpy()
-    return counts
+    """The counts of the shingles of all texts of docs(text), by slot; SLOTS sums reach the driver, packed."""
+    scratch, schema = Scratch(docs.sparkSession, "slots"), "block int, counts binary"
+    sums = scratch.save(docs.select("text").mapInArrow(_slot_counts, schema).groupBy("block").applyInArrow(_sum_block, schema), "counts")
+    counts = np.zeros((SLOTS // SLOT_BLOCK, SLOT_BLOCK), np.int64)
+    for batch in sums.toArrow().to_batches():
+        for k, packed in zip(batch.column("block").to_pylist(), batch.column("counts"), strict=True):
+            counts[k] = _unpack(packed.as_py())
+    scratch.drop("counts")
+    return counts.ravel()
 
 
 def _blocks_of_sets(order_sent: Packed):

@@ -2,8 +2,12 @@
 
 import hashlib
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
+from sitegrain.llm import kernels as K
 from sitegrain.llm import lm, ngram_join, quality, secrets, suffix_dedup
 
 NAMES = "doc_id long, text string, n_chars long, score double, copied string, ranges int, text_key int, row_key int, row_doc int, row_gone int, secrets int, runs int, spans int, key int, node int, `a.b` int, markov int"
@@ -109,3 +113,25 @@ def test_most_frequent_words_hold_the_short_list(spark, monkeypatch):
     monkeypatch.setattr(lm, "HEAD", 1000)
     assert got() == sorted(h for h, _ in rows)
     assert lm._most_frequent(table.limit(0)).count() == 0
+
+
+def _batches(texts, n):
+    table = pa.table({"doc_id": list(range(len(texts))), "text": texts})
+    return table.to_batches(max_chunksize=n)
+
+
+def test_shingle_counts_leave_a_task_in_blocks():
+    """A task hands on a row for each block of counters, not one for each counter, in as many bytes as they need."""
+    rng = np.random.default_rng(8)
+    texts = [" ".join(map(str, rng.integers(0, 10**6, 3000))), "a b c d e f " * 70_000]
+    raws, want = [np.frombuffer(t.encode(), np.uint8) for t in texts], np.zeros(ngram_join.SLOTS, np.int64)
+    for raw in raws:
+        np.add.at(want, ngram_join._slot(K.shingle_sets(raw, np.array([0, len(raw)]))[1]), 1)
+    rows = pa.Table.from_batches(ngram_join._slot_counts(iter(_batches(texts, 1))))
+    assert rows.num_rows <= ngram_join.SLOTS // ngram_join.SLOT_BLOCK < np.count_nonzero(want)
+    twice = pa.concat_tables([rows, rows])
+    for k in rows.column("block").to_pylist():
+        one = twice.filter(pc.equal(twice.column("block"), k))
+        got, part = ngram_join._sum_block(one).to_pylist()[0], want[k * ngram_join.SLOT_BLOCK : (k + 1) * ngram_join.SLOT_BLOCK]
+        assert got["block"] == k and (ngram_join._unpack(got["counts"]) == 2 * part).all()
+    assert want.max() > 65_535 and rows.column("counts").combine_chunks().buffers()[2].size < 1.1 * ngram_join.SLOTS + 8 * ngram_join.SLOT_BLOCK * 6
