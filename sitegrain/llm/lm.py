@@ -14,7 +14,7 @@ SHARD_CHARS characters; each shard trains a copy of the network and Spark averag
 is learned from in the order of its text keys, whatever the order of arrival, and in as many lanes side by side as
 leave it STEPS updates (LANES at most).
 Copies of a text are counted, and each shard gets its part of the count, so no text makes a shard larger than others.
-Scoring runs many texts side by side and carries each state through the whole text.
+Scoring runs many texts side by side, of as many batches as make SCORE_TOKENS, and carries each state through the whole text.
 
 Counts of the HEAD most frequent words (a bounded broadcast of 16 bytes each) are looked up in the tasks; the words
 beyond are joined to the count table.
@@ -29,6 +29,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +49,10 @@ WINDOW, LANES, STEPS, SCORE_LANES = 16, 128, 256, 1024
 ROUNDS = 2
 SHARD_CHARS = 16_000_000
 RATE = 0.01
+#: Bytes of text whose words are hashed at a time, and tokens that are scored side by side at a time (a longer text is scored by itself).
+HASH_BYTES, SCORE_TOKENS = 1 << 16, 1 << 21
+#: Leading bits of a word's hash that lead to its place in the head.
+HEAD_BITS = 20
 END_HASH = np.uint64(0x5E7FEED5E7FEED5)
 
 
@@ -55,6 +60,18 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(FOLDS)) == 0, F.lit(False))
 
 
+def token_runs(column: pa.Array, limit: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, tokens, offsets) for runs of rows of about `limit` bytes, whose words are hashed a cache's worth of bytes at a time."""
+    for a, b, data, offsets in K.text_chunks(column, limit):
+        parts, at = [], 0
+        while at < b - a:
+            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + HASH_BYTES, "right")) - 1)
+            parts.append(tokens(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]))
+            at = to
+        edges = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(e) for _, e in parts]))])
+        yield a, b, np.concatenate([h for h, _ in parts]), edges
+
+
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all texts' tokens, each text closed by the end, with offsets."""
     h, rows, _, _ = K.word_hashes(data, offsets, True)
@@ -83,12 +100,25 @@ class Words:
         i = np.minimum(np.searchsorted(self.short, h), len(self.short) - 1)
         return np.where(self.short[i] == h, self.short_id[i], RARE).astype(np.int64)
 
+    @cached_property
+    def first(self) -> np.ndarray:
+        """The place in the head of the first word of each cell of leading bits, and the end."""
+        return np.searchsorted(self.head >> np.uint64(64 - HEAD_BITS), np.arange((1 << HEAD_BITS) + 1, dtype=np.uint64)).astype(np.int32)
+
     def count(self, h: np.ndarray) -> np.ndarray:
         """Counts, -1 for words beyond the head."""
-        if not len(self.head):
-            return np.full(len(h), -1, np.int64)
-        i = np.minimum(np.searchsorted(self.head, h), len(self.head) - 1)
-        return np.where(self.head[i] == h, self.head_count[i], -1)
+        out = np.full(len(h), -1, np.int64)
+        cell = (h >> np.uint64(64 - HEAD_BITS)).astype(np.int64)
+        i, end = self.first[cell], self.first[cell + 1]
+        left = np.flatnonzero(i < end)
+        while len(left):  # one word of each cell at a time; few cells have more than two
+            at = i[left]
+            found = self.head[at] == h[left]
+            out[left[found]] = self.head_count[at[found]]
+            left = left[~found]
+            i[left] += 1
+            left = left[i[left] < end[left]]
+        return out
 
 
 class Network:
@@ -121,44 +151,50 @@ class Network:
         w, at = {}, 0
         for k, s in cls.SHAPES.items():
             n = int(np.prod(s))
-            w[k] = flat[at : at + n].reshape(s).astype(np.float32)
+            w[k] = flat[at : at + n].reshape(s).astype(np.float32, copy=False)
             at += n
         return cls(w)
 
-    def inputs(self, x: np.ndarray) -> np.ndarray:
+    def cell(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Input weights, their bias and recurrent weights with bias, a row for each gate cell, as the step takes them.
+
+        Those of the reset and update gates are negated and those of the candidate doubled, which is what exp is taken of.
+        """
+        by = np.repeat(np.array([-1, -1, 2], np.float32), HIDDEN)[:, None]
+        bias = np.concatenate([np.zeros(2 * HIDDEN, np.float32), self.w["c"]])[:, None]
+        return by * self.w["W"].T, by * self.w["b"][:, None], by * np.hstack([self.w["U"].T, bias])
+
+    @staticmethod
+    def inputs(cell: tuple[np.ndarray, ...], x: np.ndarray) -> np.ndarray:
         """Gate inputs of the embedded tokens x[step, lane] as (step, gate cell, lane)."""
-        out = np.matmul(self.w["W"].T, x.transpose(0, 2, 1))
-        out += self.w["b"][:, None]
+        out = np.matmul(cell[0], x.transpose(0, 2, 1))
+        out += cell[1]
         return out
 
-    def step(self, x: np.ndarray, h: np.ndarray, gates: np.ndarray | None = None, part: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
-        """(candidate, next state) of gate inputs x and states h, lanes side by side as columns.
+    @staticmethod
+    def step(back: np.ndarray, x: np.ndarray, h: np.ndarray, new: np.ndarray, gates: np.ndarray | None = None, part: np.ndarray | None = None) -> np.ndarray:
+        """The candidate of gate inputs x and states h (closed by a row of ones), lanes side by side as columns; new takes the next states.
 
-        gates and part, if given, take the reset and update gates and the state's part of the candidate.
+        gates and part, if given, take the reset and update gates and twice the state's part of the candidate. Exponentials may be
+        infinite, which makes a gate 0 and a candidate 1.
         """
-        u = self.back @ h
+        u = np.matmul(back, h)
         gates = np.add(x[: 2 * HIDDEN], u[: 2 * HIDDEN], out=gates)
-        np.negative(gates, out=gates)
-        np.exp(np.minimum(gates, 80, out=gates), out=gates)
+        np.exp(gates, out=gates)
         gates += 1
         np.reciprocal(gates, out=gates)
-        part = np.add(u[2 * HIDDEN :], self.w["c"][:, None], out=part)
-        n = gates[:HIDDEN] * part
+        if part is not None:
+            part[:] = u[2 * HIDDEN :]
+        n = gates[:HIDDEN] * u[2 * HIDDEN :]
         n += x[2 * HIDDEN :]
-        n *= 2  # tanh(n) = 1 - 2 / (exp(2n) + 1)
-        np.exp(np.minimum(n, 80, out=n), out=n)
+        np.exp(n, out=n)  # tanh(n) = 1 - 2 / (exp(2n) + 1)
         n += 1
         np.divide(np.float32(-2), n, out=n)
         n += 1
-        new = h - n
+        np.subtract(h[:HIDDEN], n, out=new)
         new *= gates[HIDDEN:]
         new += n
-        return n, new
-
-    @property
-    def back(self) -> np.ndarray:
-        """Recurrent weights, a row for each gate cell."""
-        return self.w["U"].T
+        return n
 
     def log_probs(self, h: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural log probability of each target given the states (a row each)."""
@@ -237,16 +273,20 @@ def _lay_out(ids: np.ndarray, edges: np.ndarray, most: int) -> tuple[np.ndarray,
 def score_texts(net: Network, ids: np.ndarray, edges: np.ndarray) -> np.ndarray:
     """Sum of natural log probabilities of each text."""
     total = np.zeros(len(edges) - 1)
-    target, before, text, sizes = _lay_out(ids, edges, SCORE_LANES)
-    h = np.zeros((HIDDEN, target.shape[1]), np.float32)
+    # no more lanes than the longest text leaves work for, so the matrices are full
+    target, before, text, sizes = _lay_out(ids, edges, min(SCORE_LANES, -(-len(ids) // max(1, int(np.diff(edges).max())))))
+    last, cell = np.zeros((HIDDEN, target.shape[1]), np.float32), net.cell()
     for a in range(0, len(target), WINDOW):
         b = min(a + WINDOW, len(target))
         live = int(np.searchsorted(-sizes, -a, "left"))  # lanes longer than a
         prev = before[a:b, :live]
-        inputs, keep = net.inputs(net.w["E"][prev]), (prev != END).astype(np.float32)
-        h, states = h[:, :live], np.empty((b - a, HIDDEN, live), np.float32)
-        for t in range(b - a):
-            states[t] = h = net.step(inputs[t], h * keep[t])[1]
+        inputs, keep = net.inputs(cell, net.w["E"][prev]), (prev != END).astype(np.float32)
+        old, states, last = np.ones((HIDDEN + 1, live), np.float32), np.empty((b - a, HIDDEN, live), np.float32), last[:, :live]
+        with np.errstate(over="ignore"):
+            for t in range(b - a):
+                np.multiply(last, keep[t], out=old[:HIDDEN])
+                last = states[t]
+                net.step(cell[2], inputs[t], old, last)
         real = (np.arange(a, b)[:, None] < sizes[:live]).ravel()
         lp = net.log_probs(states.transpose(0, 2, 1).reshape(-1, HIDDEN)[real], target[a:b, :live].ravel()[real])
         total += np.bincount(text[a:b, :live].ravel()[real], weights=lp, minlength=len(total))
@@ -255,9 +295,9 @@ def score_texts(net: Network, ids: np.ndarray, edges: np.ndarray) -> np.ndarray:
 
 def train_network(net: Network, ids: np.ndarray, edges: np.ndarray, rate: float = RATE) -> Network:
     """One pass of truncated back-propagation through time with Adam over the texts."""
-    w = {k: v.copy() for k, v in net.w.items()}
-    net = Network(w)
-    mean, square = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
+    flat = net.flat()
+    net, mean, square, gradient = Network.of(flat), *(np.zeros_like(flat) for _ in range(3))
+    w, g = net.w, Network.of(gradient).w  # all are views of flat arrays
     target, before, _, sizes = _lay_out(ids, edges, max(1, min(LANES, len(ids) // (WINDOW * STEPS))))
     h = np.zeros((HIDDEN, target.shape[1]), np.float32)
     steps = -(-len(target) // WINDOW)
@@ -265,41 +305,44 @@ def train_network(net: Network, ids: np.ndarray, edges: np.ndarray, rate: float
         a, b = turn * WINDOW, min((turn + 1) * WINDOW, len(target))
         live = int(np.searchsorted(-sizes, -a, "left"))
         h, prev = h[:, :live], before[a:b, :live]
-        x = w["E"][prev.ravel()]
-        inputs = net.inputs(x.reshape(b - a, live, EMBED))
+        x, cell = w["E"][prev.ravel()], net.cell()
+        inputs = net.inputs(cell, x.reshape(b - a, live, EMBED))
         keep = (prev != END).astype(np.float32)
-        old, new, gates, part, cand = (np.empty((b - a, k * HIDDEN, live), np.float32) for k in (1, 1, 2, 1, 1))
-        for t in range(b - a):
-            np.multiply(h, keep[t], out=old[t])
-            cand[t], h = net.step(inputs[t], old[t], gates[t], part[t])
-            new[t] = h
+        old = np.ones((b - a, HIDDEN + 1, live), np.float32)
+        new, gates, part, cand = (np.empty((b - a, k * HIDDEN, live), np.float32) for k in (1, 2, 1, 1))
+        with np.errstate(over="ignore"):
+            for t in range(b - a):
+                np.multiply(h, keep[t], out=old[t, :HIDDEN])
+                h = new[t]
+                cand[t] = net.step(cell[2], inputs[t], old[t], h, gates[t], part[t])
         real = (np.arange(a, b)[:, None] < sizes[:live]).ravel()
-        g = {k: np.zeros_like(v) for k, v in w.items()}
+        gradient[:] = 0
         d_out = _output_gradients(w, g, new.transpose(0, 2, 1).reshape(-1, HIDDEN), target[a:b, :live].ravel(), real)
         d_out = d_out.reshape(b - a, live, HIDDEN).transpose(0, 2, 1)
         # how each gate cell moves with the gradient of its state
-        r, z = gates[:, :HIDDEN], gates[:, HIDDEN:]
-        by_cand = (1 - z) * (1 - cand * cand)
-        by_update = (old - cand) * z * (1 - z)
-        by_reset = part * r * (1 - r)
-        du, dn, back = np.empty((b - a, 3 * HIDDEN, live), np.float32), np.empty((b - a, HIDDEN, live), np.float32), np.zeros((HIDDEN, live), np.float32)
+        old, r, z = old[:, :HIDDEN], gates[:, :HIDDEN], gates[:, HIDDEN:]
+        turned = 1 - z
+        by = np.empty((b - a, 3, HIDDEN, live), np.float32)
+        by_cand = turned * (1 - cand * cand)
+        np.multiply(by_cand, r, out=by[:, 2])
+        np.multiply(by[:, 2], part * (1 - r), out=by[:, 0])
+        by[:, 0] *= np.float32(0.5)
+        np.multiply(old - cand, z * turned, out=by[:, 1])
+        du, ds, back = np.empty((b - a, 3, HIDDEN, live), np.float32), np.empty((b - a, HIDDEN, live), np.float32), np.zeros((HIDDEN, live), np.float32)
         for t in range(b - a - 1, -1, -1):
-            d = d_out[t] + back
-            np.multiply(d, by_cand[t], out=dn[t])
-            np.multiply(dn[t], by_reset[t], out=du[t, :HIDDEN])
-            np.multiply(d, by_update[t], out=du[t, HIDDEN : 2 * HIDDEN])
-            np.multiply(dn[t], r[t], out=du[t, 2 * HIDDEN :])
-            d *= z[t]
-            d += w["U"] @ du[t]
-            d *= keep[t]
-            back = d
-        g["U"] = np.matmul(old, du.transpose(0, 2, 1)).sum(axis=0)
-        g["c"] = du[:, 2 * HIDDEN :].sum(axis=(0, 2))
+            d = np.add(d_out[t], back, out=ds[t])
+            np.multiply(d, by[t], out=du[t])
+            np.matmul(w["U"], du[t].reshape(3 * HIDDEN, live), out=back)
+            back += d * z[t]
+            back *= keep[t]
+        dn, du = ds * by_cand, du.reshape(b - a, 3 * HIDDEN, live)
+        g["U"][:] = np.matmul(old, du.transpose(0, 2, 1)).sum(axis=0)
+        g["c"][:] = du[:, 2 * HIDDEN :].sum(axis=(0, 2))
         du[:, 2 * HIDDEN :] = dn
         dx = du.transpose(0, 2, 1).reshape(-1, 3 * HIDDEN)
-        g["W"], g["b"] = x.T @ dx, dx.sum(axis=0)
+        g["W"][:], g["b"][:] = x.T @ dx, np.ones(len(dx), np.float32) @ dx
         _add_rows(g["E"], prev.ravel(), dx @ w["W"].T)
-        _adam(w, g, mean, square, turn + 1, rate * (1 - 0.9 * turn / steps))
+        _adam(flat, gradient, mean, square, turn + 1, rate * (1 - 0.9 * turn / steps))
     return net
 
 
@@ -311,24 +354,21 @@ def _add_rows(out: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
     out[at[first]] += np.add.reduceat(rows[order], first, axis=0)
 
 
-def _adam(w: dict, g: dict, mean: dict, square: dict, turn: int, rate: float) -> None:
+def _adam(w: np.ndarray, g: np.ndarray, mean: np.ndarray, square: np.ndarray, turn: int, rate: float) -> None:
     """One update of the weights by clipped gradients, which are overwritten."""
-    size = np.sqrt(sum(float(np.vdot(x, x)) for x in g.values()))
-    shrink = np.float32(min(1.0, 1.0 / (size + 1e-9)))
-    for k, x in g.items():
-        x *= shrink
-        mean[k] *= np.float32(0.9)
-        mean[k] += np.float32(0.1) * x
-        x *= x
-        x *= np.float32(0.01)
-        square[k] *= np.float32(0.99)
-        square[k] += x
-        np.sqrt(square[k], out=x)
-        x *= np.float32((1 - 0.99**turn) ** -0.5)
-        x += np.float32(1e-6)
-        np.divide(mean[k], x, out=x)
-        x *= np.float32(rate / (1 - 0.9**turn))
-        w[k] -= x
+    g *= np.float32(min(1.0, 1.0 / (np.sqrt(float(np.vdot(g, g))) + 1e-9)))
+    mean *= np.float32(0.9)
+    mean += np.float32(0.1) * g
+    g *= g
+    g *= np.float32(0.01)
+    square *= np.float32(0.99)
+    square += g
+    np.sqrt(square, out=g)
+    g *= np.float32((1 - 0.99**turn) ** -0.5)
+    g += np.float32(1e-6)
+    np.divide(mean, g, out=g)
+    g *= np.float32(rate / (1 - 0.9**turn))
+    w -= g
 
 
 def _output_gradients(w: dict, g: dict, states: np.ndarray, goal: np.ndarray, real: np.ndarray) -> np.ndarray:
@@ -350,12 +390,15 @@ def _output_gradients(w: dict, g: dict, states: np.ndarray, goal: np.ndarray, re
     np.exp(np.minimum(q, 60, out=q), out=q)
     q *= (scale / (q @ np.ones(WITHIN, np.float32) + np.float32(1e-30)))[:, None]
     q[k[: len(q)], inner[at:]] -= scale
-    for c in np.flatnonzero(np.diff(edges)).tolist():
-        if c:
-            i, j = edges[c], edges[c + 1]
-            g["O"][c] = q[i - at : j - at].T @ s[i:j]
-            g["o"][c] = q[i - at : j - at].sum(axis=0)
-            d[i:j] += q[i - at : j - at] @ w["O"][c]
+    used, deeper = np.flatnonzero(np.diff(edges)), np.empty((len(q), HIDDEN), np.float32)
+    used = used[used > 0]
+    for c, i, j in zip(used.tolist(), edges[used].tolist(), edges[used + 1].tolist(), strict=True):
+        part = q[i - at : j - at]
+        np.matmul(part.T, s[i:j], out=g["O"][c])
+        np.matmul(part, w["O"][c], out=deeper[i - at : j - at])
+    if len(used):
+        g["o"][used] = np.add.reduceat(q, edges[used] - at, axis=0)
+    d[at:] += deeper
     out = np.zeros_like(states)
     out[order] = d
     return out
@@ -363,8 +406,8 @@ def _output_gradients(w: dict, g: dict, states: np.ndarray, goal: np.ndarray, re
 
 def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for _, _, data, offsets in K.text_chunks(batch.column("text"), 8 * K.CHUNK_BYTES):
-            h, n = np.unique(tokens(data, offsets)[0], return_counts=True)
+        for _, _, found, _ in token_runs(batch.column("text"), 8 * K.CHUNK_BYTES):
+            h, n = np.unique(found, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(K.to_signed(h)), pa.array(n.astype(np.int64))], ["h", "c"])
 
 
@@ -407,8 +450,7 @@ def _encode(words: Words):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, data, offsets in K.text_chunks(batch.column("text")):
-                h, edges = tokens(data, offsets)
+            for a, b, h, edges in token_runs(batch.column("text"), K.CHUNK_BYTES):
                 ids = words.ids(h).astype(np.int16)
                 coded = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer((2 * edges).astype(np.int32)), pa.py_buffer(ids)])
                 yield pa.RecordBatch.from_arrays([batch.column("key").slice(a, b - a), batch.column("size").slice(a, b - a), coded], ["key", "size", "ids"])
@@ -465,23 +507,37 @@ def train(scratch: Scratch, docs: DataFrame, words: Words, counts: np.ndarray) -
 def _score(flat: np.ndarray, words: Words):
     """Task: texts to their scores, without the words beyond the head, which are listed."""
 
+    names = ["doc_id", "n_tokens", "n_known", "base", "model", "far"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = Network.of(flat)
         base_of = np.log10(words.total + 0.1 * (words.distinct + 1))
         rest_of = np.log10(words.rest_total + 0.1 * (words.rest_distinct + 1))
+        held, size = [], 0
+
+        def scored() -> pa.RecordBatch:
+            edges = np.concatenate([[0], np.cumsum(np.concatenate([x[1].to_numpy() for x in held]))])
+            model = score_texts(net, np.concatenate([x[-1] for x in held]), edges) / np.log(10.0) + np.concatenate([x[4] for x in held])
+            whole = [pa.concat_arrays([x[k] for x in held]) for k in (0, 1, 2, 3, 5)]
+            return pa.RecordBatch.from_arrays([*whole[:4], pa.array(model), whole[4]], names)
+
         for batch in batches:
-            for a, b, data, offsets in K.text_chunks(batch.column("text"), 8 * K.CHUNK_BYTES):
-                h, edges = tokens(data, offsets)
+            for a, b, h, edges in token_runs(batch.column("text"), 8 * K.CHUNK_BYTES):
                 n, rows = b - a, np.repeat(np.arange(b - a), np.diff(edges))
                 ids, c = words.ids(h), words.count(h)
                 here = c >= 0
                 logs = np.where(here, np.log10(np.maximum(c, 0) + 0.1), 0.0)
                 base = np.bincount(rows, weights=np.where(here, logs - base_of, 0), minlength=n)
-                model = score_texts(net, ids, edges) / np.log(10.0)
-                model += np.bincount(rows, weights=np.where(here & (ids == RARE), logs - rest_of, 0), minlength=n)
+                rest = np.bincount(rows, weights=np.where(here & (ids == RARE), logs - rest_of, 0), minlength=n)
                 far = np.flatnonzero(~here)
                 lists = K.list_array(K.to_signed(h[far]), np.searchsorted(rows[far], np.arange(n + 1)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, n), pa.array(np.diff(edges)), pa.array(np.bincount(rows[c > 0], minlength=n)), pa.array(base), pa.array(model), lists], ["doc_id", "n_tokens", "n_known", "base", "model", "far"])
+                held.append((batch.column("doc_id").slice(a, n), pa.array(np.diff(edges)), pa.array(np.bincount(rows[c > 0], minlength=n)), pa.array(base), rest, lists, ids.astype(np.int16)))
+                size += len(h)
+                if size >= SCORE_TOKENS:
+                    yield scored()
+                    held, size = [], 0
+        if held:
+            yield scored()
 
     return run
 

@@ -120,6 +120,35 @@ def _batches(texts, n):
     return table.to_batches(max_chunksize=n)
 
 
+def test_batches_are_scored_side_by_side(monkeypatch):
+    """Many small batches make one run of the network, with the counts and scores that each text has by itself."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{k}" for k in rng.zipf(1.3, n) % 5000) for n in rng.integers(0, 60, 400)] + ["x" * 200_000 + " w1", "", "\t"]
+    found = [lm.tokens(raw := np.frombuffer(t.encode(), np.uint8), np.array([0, len(raw)]))[0] for t in texts]
+    monkeypatch.setattr(lm, "HASH_BYTES", 300)
+    for limit in (1000, 1 << 20):
+        runs = [(h, e) for b in _batches(texts, 50) for _, _, h, e in lm.token_runs(b.column("text"), limit)]
+        assert (np.concatenate([h for h, _ in runs]) == np.concatenate(found)).all()
+        assert np.concatenate([np.diff(e) for _, e in runs]).tolist() == [len(h) for h in found]
+    u, c = np.unique(np.concatenate(found), return_counts=True)
+    head = rng.random(len(u)) < 0.7
+    short = np.append(u[u != lm.END_HASH][:20], lm.END_HASH)
+    ids = np.append(np.arange(lm.END + 1, lm.END + 21), lm.END)
+    words = lm.Words(np.sort(short), ids[np.argsort(short)], u[head], c[head], int(c.sum()), len(u), 50, 9)
+    known = dict(zip(u[head].tolist(), c[head].tolist(), strict=True))
+    counts = np.full(lm.CLASSES * lm.WITHIN, 2.0)
+    counts[1 : lm.WITHIN] = -1
+    flat, calls, real = lm.Network.start(counts).flat(), [], lm.score_texts
+    monkeypatch.setattr(lm, "score_texts", lambda *a: calls.append(1) or real(*a))
+    out = pa.Table.from_batches(lm._score(flat, words)(iter(_batches(texts, 50)))).to_pylist()
+    assert len(calls) == 1 and [r["doc_id"] for r in out] == list(range(len(texts)))
+    for t, h, row in zip(texts, found, out, strict=True):
+        assert row["n_tokens"] == len(h) and row["n_known"] == sum(x in known for x in h.tolist())
+        assert sorted(row["far"]) == sorted(np.array([x for x in h.tolist() if x not in known], np.uint64).view(np.int64).tolist())
+        alone = next(lm._score(flat, words)(iter([pa.RecordBatch.from_pydict({"doc_id": [0], "text": [t]})]))).to_pylist()[0]
+        assert abs(row["base"] - alone["base"]) < 1e-9 and abs(row["model"] - alone["model"]) < 1e-4 * (1 + abs(alone["model"]))
+
+
 def test_shingle_counts_leave_a_task_in_blocks():
     """A task hands on a row for each block of counters, not one for each counter, in as many bytes as they need."""
     rng = np.random.default_rng(8)
