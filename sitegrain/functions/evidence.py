@@ -25,10 +25,13 @@ DROP = ("aufsicht", "authority", "beispiel", "compliance", "datenschutz", "examp
 #: Strings in scripts, as they are told apart there.
 DOUBLE_QUOTED = r'"((?:\\.|[^"\\]){3,180})"'
 SINGLE_QUOTED = r"'((?:\\\\.|[^'\\\\]){3,180})'"
+QUOTES = r"""'"\n"""
 NAMES = r"[A-Z][A-Za-z.-]+(?: [A-Z][A-Za-z.-]+){1,3}"
 #: Bounds of windows, fragments and lines.
-AROUND, GAP, ANCHORED, WINDOWS, PLAIN = 600, 200, 80, 24, 200_000
-BEFORE, AFTER, SHORTEST, LONGEST, FRAGMENTS = 120, 160, 12, 180, 40
+AROUND, GAP = 600, 200
+BEFORE, AFTER, SHORTEST, LONGEST = 120, 160, 12, 180
+#: How much of a script goes into a recovered page. What is told of scripts by themselves is whole.
+ANCHORED, WINDOWS, PLAIN, FRAGMENTS = 80, 24, 200_000, 40
 CAPS = (("email", 20), ("person", 20), ("role", 24), ("company", 20), ("general", 120))
 LINES = 120
 
@@ -51,31 +54,32 @@ def _unquoted(values: pd.Series) -> pd.Series:
 unquoted = _unquoted.asNondeterministic()
 
 
-def windows(text: Column) -> Column:
-    """The stretches of a script around its addresses and telling words, one below the other; without any, its beginning."""
+def windows(text: Column, brief: bool = False) -> Column:
+    """The stretches of a script around its addresses and telling words, one below the other; without any, all of it. Brief: the first of them, or its beginning."""
 
     def pick(x: Column) -> Column:
         addresses, anchors = F.when(F.contains(x, F.lit("@")), S.places(x, SH.ADDRESS)).otherwise(S.none()), S.places(x, ANCHORS)
-        some = U.bind(addresses, lambda a: F.concat(a, F.slice(anchors, F.lit(1), F.greatest(F.lit(ANCHORED) - F.size(a), F.lit(1)))))
-        kept = S.joined(S.around(some, AROUND, AROUND, F.length(x)), GAP, WINDOWS)
-        return U.bind(kept, lambda k: F.when(F.size(k) == 0, F.substring(x, 1, PLAIN)).otherwise(F.array_join(S.cut(x, k), "\n")))
+        first = lambda a: F.slice(anchors, F.lit(1), F.greatest(F.lit(ANCHORED) - F.size(a), F.lit(1))) if brief else anchors
+        some = U.bind(addresses, lambda a: F.concat(a, first(a)))
+        kept = S.joined(S.around(some, AROUND, AROUND, F.length(x)), GAP, WINDOWS if brief else None)
+        return U.bind(kept, lambda k: F.when(F.size(k) == 0, F.substring(x, 1, PLAIN) if brief else x).otherwise(F.array_join(S.cut(x, k), "\n")))
 
     return U.bind(F.coalesce(text, F.lit("")), pick)
 
 
-def fragments(text: Column) -> Column:
-    """Pieces of 12 to 180 characters around telling words, signs blanked; the first 40."""
+def fragments(text: Column, brief: bool = False) -> Column:
+    """Pieces of 12 to 180 characters around telling words, signs blanked; the first 40 where brief."""
     around = S.around(S.places(text, ANCHORS), BEFORE, AFTER, F.length(text))
     clean = F.transform(S.cut(text, around), lambda x: stripped(F.regexp_replace(x, r"[{}\[\](),:+*/]", " ")))
-    return F.slice(F.filter(clean, lambda x: F.length(x).between(SHORTEST, LONGEST)), 1, FRAGMENTS)
+    pieces = F.filter(clean, lambda x: F.length(x).between(SHORTEST, LONGEST))
+    return F.slice(pieces, 1, FRAGMENTS) if brief else pieces
 
 
-def quoted_around(text: Column, span: Column) -> Column:
+def quoted_around(blocks: Column, firsts: Column, length: Column, span: Column) -> Column:
     """What stands with a span between the nearest quotes or line ends: at most 120 characters before, and after where there is no sign more."""
-    left = U.bind(F.substring(text, F.greatest(span["a"] - BEFORE, F.lit(0)) + 1, F.least(span["a"], F.lit(BEFORE))), lambda x: F.when(x.rlike("""["'\\n]"""), F.regexp_extract(x, """(?s)["'\\n][^"'\\n]*\\z""", 0)).otherwise(x))
-    ends = F.array_compact(F.transform(F.array(F.lit("\n"), F.lit('"'), F.lit("'")), lambda sign: F.nullif(F.position(sign, text, span["b"] + 1), F.lit(0))))
-    right = F.coalesce(F.array_min(ends) - 1, F.least(span["b"] + BEFORE, F.length(text)))
-    return F.concat(left, F.substring(text, span["a"] + 1, right - span["a"]))
+    left = U.bind(S.part(blocks, F.greatest(span["a"] - BEFORE, F.lit(0)), span["a"]), lambda x: F.when(x.rlike("""["'\\n]"""), F.regexp_extract(x, """(?s)["'\\n][^"'\\n]*\\z""", 0)).otherwise(x))
+    right = F.coalesce(S.next_place(blocks, firsts, QUOTES, span["b"]), F.least(span["b"] + BEFORE, length))
+    return F.concat(left, U.bind(right, lambda b: S.part(blocks, span["a"], b)))
 
 
 def mailbox(value: Column) -> Column:
@@ -108,9 +112,14 @@ def cleared(site_domain: Column, line: Column) -> Column:
 
 def scored_emails(site_domain: Column, text: Column) -> Column:
     """Array of (score, line) of the mailboxes in a text that are shown."""
-    found = F.transform(S.places(text, SH.ADDRESS), lambda s: F.struct(mailbox(F.substring(text, s["a"] + 1, s["b"] - s["a"])).alias("email"), quoted_around(text, s).alias("context")))
-    kept = F.filter(found, lambda x: (x["email"] != "") & keeps(site_domain, x["email"], x["context"]))
-    return F.transform(kept, lambda x: F.struct(F.when(E.matches_site(site_domain, x["email"]), 90).otherwise(48).alias("score"), F.lower(x["email"]).alias("line")))
+
+    def shown(x: Column) -> Column:
+        found = F.transform(S.places(text, SH.ADDRESS), lambda s: F.struct(mailbox(S.part(x["blocks"], s["a"], s["b"])).alias("email"), s["a"].alias("a"), s["b"].alias("b")))
+        context = lambda s: quoted_around(x["blocks"], x["firsts"], x["length"], s)
+        kept = F.filter(found, lambda s: (s["email"] != "") & U.bind(context(s), lambda c: keeps(site_domain, s["email"], c)))
+        return F.transform(kept, lambda s: F.struct(F.when(E.matches_site(site_domain, s["email"]), 90).otherwise(48).alias("score"), F.lower(s["email"]).alias("line")))
+
+    return U.bind(U.bind(S.blocks(text), lambda b: F.struct(b.alias("blocks"), S.firsts(b, QUOTES).alias("firsts"), F.length(text).alias("length"))), shown)
 
 
 def scored_names(text: Column) -> Column:
@@ -124,11 +133,12 @@ def routed(lines: Column) -> Column:
     return F.flatten(F.transform(rows, lambda r: F.transform(r["kinds"], lambda k: F.struct(k["kind"].alias("kind"), k["score"].alias("score"), r["line"].alias("line")))))
 
 
-def best(kinds: dict[str, Column]) -> Column:
-    """The lines of each kind's array of (score, line) by score, then shortness, then text, so many of each kind; all in one list without repeats."""
+def best(kinds: dict[str, Column], brief: bool = False) -> Column:
+    """The lines of each kind's array of (score, line) by score, then shortness, then text, all in one list without repeats. Brief: so many of each kind and in all."""
 
     def top(rows: Column, most: int) -> Column:
         keyed = F.transform(rows, lambda r: F.struct((-r["score"]).alias("s"), F.length(r["line"]).alias("n"), r["line"].alias("line")))
-        return F.transform(F.slice(F.array_sort(keyed), 1, most), lambda r: r["line"])
+        return F.transform(F.slice(F.array_sort(keyed), 1, most) if brief else F.array_sort(keyed), lambda r: r["line"])
 
-    return F.slice(S.distinct(F.concat(*[top(kinds[kind], most) for kind, most in CAPS])), 1, LINES)
+    lines = S.distinct(F.concat(*[top(kinds[kind], most) for kind, most in CAPS]))
+    return F.slice(lines, 1, LINES) if brief else lines

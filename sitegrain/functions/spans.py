@@ -13,6 +13,8 @@ from .urls import bind
 
 SPANS = "array<struct<a:int,b:int>>"
 GROUP = 256
+#: Fixed value: a block of a text has 4096 characters, given as a power of two.
+BLOCK = 12
 
 
 def none() -> Column:
@@ -48,13 +50,14 @@ def places(text: Column, pattern: str) -> Column:
 
 def around(spans: Column, before: int, after: int, length: Column) -> Column:
     """Each span with so many characters before and after, inside the text."""
-    return F.transform(spans, lambda s: F.struct(F.greatest(s["a"] - before, F.lit(0)).alias("a"), F.least(s["b"] + after, length).alias("b")))
+    return bind(length, lambda n: F.transform(spans, lambda s: F.struct(F.greatest(s["a"] - before, F.lit(0)).alias("a"), F.least(s["b"] + after, n).alias("b"))))
 
 
-def joined(spans: Column, gap: int, most: int) -> Column:
-    """The first `most` stretches that the spans make where they are at most `gap` apart."""
+def joined(spans: Column, gap: int, most: int | None = None) -> Column:
+    """The stretches that the spans make where they are at most `gap` apart; the first `most`, if it is given."""
     open_ = F.struct(none().alias("out"), F.lit(None).cast("int").alias("a"), F.lit(None).cast("int").alias("b"))
-    close = lambda acc: F.when(acc["a"].isNull() | (F.size(acc["out"]) >= most), acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct(acc["a"].alias("a"), acc["b"].alias("b")))))
+    full = lambda acc: F.lit(False) if most is None else F.size(acc["out"]) >= most
+    close = lambda acc: F.when(acc["a"].isNull() | full(acc), acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct(acc["a"].alias("a"), acc["b"].alias("b")))))
 
     def step(acc: Column, s: Column) -> Column:
         near = s["a"] <= acc["b"] + gap
@@ -64,11 +67,38 @@ def joined(spans: Column, gap: int, most: int) -> Column:
     return F.aggregate(F.array_sort(spans), open_, step, close)
 
 
+def blocks(text: Column) -> Column:
+    """A text in blocks of 4096 characters: a place in the text itself would be sought from its beginning each time."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{1 << BLOCK}}}"), F.lit(0))
+
+
+def part(blocks: Column, a: Column, b: Column) -> Column:
+    """What stands from a to b in a text that is given in blocks."""
+    first = F.shiftright(a, BLOCK)
+    return F.substring(F.array_join(F.slice(blocks, first + 1, F.shiftright(b, BLOCK) - first + 1), ""), a.bitwiseAND((1 << BLOCK) - 1) + 1, b - a)
+
+
 def cut(text: Column, spans: Column) -> Column:
     """The texts of the spans."""
-    return F.transform(spans, lambda s: F.substring(text, s["a"] + 1, s["b"] - s["a"]))
+    return bind(blocks(text), lambda x: F.transform(spans, lambda s: part(x, s["a"], s["b"])))
+
+
+def firsts(blocks: Column, signs: str) -> Column:
+    """The place in the text of each block's first sign, null where a block has none."""
+    return bind(F.transform(blocks, lambda x: F.length(F.regexp_extract(x, rf"\A[^{signs}]*+", 0))), lambda n: F.transform(
+        F.arrays_zip(blocks.alias("x"), n.alias("n")), lambda z, k: F.when(z["n"] < F.length(z["x"]), F.shiftleft(k, BLOCK) + z["n"])))
+
+
+def next_place(blocks: Column, firsts: Column, signs: str, at: Column) -> Column:
+    """The place of the next of the signs from a place on, null without one."""
+    k = F.shiftright(at, BLOCK)
+    near = bind(F.substring(F.coalesce(F.get(blocks, k), F.lit("")), at.bitwiseAND((1 << BLOCK) - 1) + 1, 1 << BLOCK), lambda x: bind(
+        F.length(F.regexp_extract(x, rf"\A[^{signs}]*+", 0)), lambda n: F.when(n < F.length(x), at + n)))
+    return F.coalesce(near, F.array_min(F.slice(firsts, k + 2, F.size(firsts))))
 
 
 def distinct(lines: Column) -> Column:
     """Lines in order, each once whatever its case."""
-    return bind(lines, lambda x: bind(F.transform(x, F.lower), lambda low: F.filter(x, lambda line, i: F.array_position(low, F.lower(line)) == i + 1)))
+    same = F.array_sort(F.transform(lines, lambda x, i: F.struct(F.lower(x).alias("low"), i.alias("i"), x.alias("line"))))
+    first = bind(same, lambda x: F.filter(x, lambda r, j: ~r["low"].eqNullSafe(F.get(x, j - 1)["low"])))
+    return F.transform(F.array_sort(F.transform(first, lambda r: F.struct(r["i"].alias("i"), r["line"].alias("line")))), lambda r: r["line"])

@@ -1,6 +1,6 @@
 """Script-only pages: what they are, which of them are one page, and what their scripts tell instead of them.
 
-A script's lines are found once for each script, in its own row; pages gather those of at most ASSETS scripts. Only short arrays are
+A script's lines are found once for each script, in its own row, and are whole by themselves; pages gather the best of at most ASSETS scripts. Only short arrays are
 shuffled, neither pages nor scripts.
 """
 
@@ -54,19 +54,22 @@ def with_fingerprint(pages: DataFrame) -> DataFrame:
     return pages.withColumn("fingerprint", fingerprint(F.trim(F.coalesce("url", F.lit(""))), F.col("html")))
 
 
-def signal_lines(scripts: DataFrame) -> DataFrame:
-    """(url, lines): what scripts(url, text) tell of contacts, best first. Of other hosts' mailboxes only those are shown that speak for a contact."""
-    rows = scripts.select("url", U.registrable_domain("url").alias("domain"), EV.windows(F.col("text")).alias("text"))
+def signal_lines(scripts: DataFrame, brief: bool = False) -> DataFrame:
+    """(url, lines): all that scripts(url, text) tell of contacts, best first. Of other hosts' mailboxes only those are shown that speak for a contact.
+
+    Brief: within the fixed bounds of what a recovered page shows of a script.
+    """
+    rows = scripts.select("url", U.registrable_domain("url").alias("domain"), EV.windows(F.col("text"), brief).alias("text"))
     strings = lambda pattern: EV.unquoted(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)))
     rows = rows.select(
         "url", "domain", EV.scored_emails(F.col("domain"), F.col("text")).alias("email"), EV.scored_names(F.col("text")).alias("person"),
-        EV.fragments(F.col("text")).alias("pieces"), strings(EV.DOUBLE_QUOTED).alias("double"), strings(EV.SINGLE_QUOTED).alias("single"),
+        EV.fragments(F.col("text"), brief).alias("pieces"), strings(EV.DOUBLE_QUOTED).alias("double"), strings(EV.SINGLE_QUOTED).alias("single"),
     )
     lines = F.transform(F.concat("pieces", "double", "single"), lambda x: EV.cleared(F.col("domain"), x))
     rows = rows.select("url", "email", "person", EV.routed(lines).alias("routed"))
     of = lambda kind: F.transform(F.filter("routed", lambda r: r["kind"] == kind), lambda r: F.struct(r["score"].alias("score"), r["line"].alias("line")))
     kinds = {"email": F.col("email"), "person": F.concat("person", of("person"))} | {k: of(k) for k in ("role", "company", "general")}
-    return rows.select("url", EV.best(kinds).alias("lines"))
+    return rows.select("url", EV.best(kinds, brief).alias("lines"))
 
 
 def evidence(pages: DataFrame, scripts: DataFrame) -> DataFrame:
@@ -75,7 +78,7 @@ def evidence(pages: DataFrame, scripts: DataFrame) -> DataFrame:
     Pages are told apart by page_id; a script that is given more than once counts once, with its greatest text.
     """
     shells = pages.where(is_shell(F.col("html"))).select("page_id", F.col("url").alias("page"), SH.head_lines(F.col("html")).alias("head"), assets(F.col("url"), F.col("html"), ASSETS).alias("assets"))
-    told = signal_lines(scripts.where("url is not null and trim(text) <> ''").groupBy("url").agg(F.max("text").alias("text")))
+    told = signal_lines(scripts.where("url is not null and trim(text) <> ''").groupBy("url").agg(F.max("text").alias("text")), brief=True)
     parts = shells.select("page_id", F.posexplode("assets").alias("pos", "url")).join(told, "url")
     parts = parts.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("pos", "url", "lines"))).alias("parts"))  # ASSETS at most
     # the joined lines are named twice, so that Spark does not move them into the decoder's argument, where it cannot evaluate them

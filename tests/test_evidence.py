@@ -34,6 +34,28 @@ def test_places_and_joined_spans(spark):
         assert [tuple(x) for x in r["near"]] == merged([(max(m.start() - 5, 0), min(m.end() + 9, len(r["t"]))) for m in re.finditer("aab", r["t"])], 7, 6)
 
 
+def test_parts_of_long_texts(spark):
+    rng = random.Random(4)
+    texts = ["", "x", "'" * 4096, "é😀" * 4096 + "'"] + ["".join(rng.choice(("ab ", "é", "😀" * 900, "'", "\n", "y" * 5000)) for _ in range(rng.randint(0, 40))) for _ in range(20)]
+    ends = [sorted((rng.randint(0, len(t)), rng.randint(0, len(t)))) for t in texts for _ in range(8)]
+    rows = spark.createDataFrame([(t, *e) for t, e in zip([t for t in texts for _ in range(8)], ends, strict=True)], "t string, a int, b int").withColumn("x", spans.blocks(F.col("t")))
+    after = spans.next_place(F.col("x"), spans.firsts(F.col("x"), "'\\n"), "'\\n", F.col("a"))
+    for r in rows.select("t", "a", "b", spans.part(F.col("x"), F.col("a"), F.col("b")).alias("part"), after.alias("after")).collect():
+        assert r["part"] == r["t"][r["a"] : r["b"]]
+        assert r["after"] == min((i for i in (r["t"].find("'", r["a"]), r["t"].find("\n", r["a"])) if i >= 0), default=None)
+
+
+def test_distinct_lines(spark):
+    rng = random.Random(7)
+    cases = [[]] + [[rng.choice("aAbBéÉ") * rng.randint(1, 2) for _ in range(rng.randint(1, 60))] for _ in range(30)]
+    rows = spark.createDataFrame([(c,) for c in cases], "c array<string>").select("c", spans.distinct(F.col("c")).alias("d"))
+    for r in rows.collect():
+        once = {}
+        for x in r["c"]:
+            once.setdefault(x.lower(), x)
+        assert r["d"] == list(once.values())
+
+
 CHILDREN = (
     ('<html><body><div id="root"></div><script src="/a.js"></script></body></html>', True),
     ('<html><body><main><div id="app"></div></main><script src=/a.js></script>', False),
@@ -152,6 +174,27 @@ def test_script_lines(spark):
     assert sum(map(len, got.values())) > 500
 
 
+def test_whole_scripts(spark):
+    """Lines beyond the bounds of a recovered page are told, too: mailboxes, names, roles and companies, far stretches, and a text without telling words."""
+    name = lambda i, x: x + chr(97 + i // 26) + chr(97 + i % 26)
+    gap = " " * 1500
+    texts = {
+        "mailboxes": "".join(f"m{i}@firm.com{gap}" for i in range(130)), "names": "".join(f'"{name(i, "Ada")} {name(i, "Stone")}" owner{gap}' for i in range(130)), "companies": "".join(f"{name(i, 'Firm')} GmbH{gap}" for i in range(130)),
+        "roles": "".join(f"'founder {i}' " for i in range(130)), "general": "".join(f'"line {i}";' for i in range(130)), "plain": "zz " * 70_000 + "Jane Doe",
+    }
+    want = {
+        "mailboxes": {f"m{i}@firm.com" for i in range(130)}, "names": {f"{name(i, 'Ada')} {name(i, 'Stone')}" for i in range(130)}, "companies": {f"{name(i, 'Firm')} GmbH" for i in range(130)},
+        "roles": {f"founder {i}" for i in range(130)}, "general": {f"line {i}" for i in range(130)}, "plain": {"Jane Doe"},
+    }
+    rows = spark.createDataFrame([(f"https://www.firm.com/{k}.js", t) for k, t in texts.items()], "url string, text string")
+    got = {r["url"]: r["lines"] for r in shells.signal_lines(rows).collect()}
+    for k, lines in want.items():
+        assert lines <= set(got[f"https://www.firm.com/{k}.js"]), k
+    brief = {r["url"]: r["lines"] for r in shells.signal_lines(rows, brief=True).collect()}
+    for k, text in texts.items():
+        assert [x.lower() for x in brief[f"https://www.firm.com/{k}.js"]] == [x.lower() for x in script_lines("firm.com", text)], k
+
+
 def test_recovered_pages(spark):
     head, page = "<head><title>Firm &amp; Co</title></head>", '<body><div id="app"></div><script src="/a.js"></script><script src="/b.js"></script></body>'
     pages = spark.createDataFrame([(1, "https://www.firm.com/x", head + page), (2, "https://www.firm.com/y", "<p>plain</p>"), (3, "https://firm.org/", page), (4, None, None)], "page_id long, url string, html string")
