@@ -138,7 +138,7 @@ def best(kinds: dict[str, Column], brief: bool = False) -> Column:
 
     def top(rows: Column, most: int) -> Column:
         keyed = F.transform(rows, lambda r: F.struct((-r["score"]).alias("s"), F.length(r["line"]).alias("n"), r["line"].alias("line")))
-        return F.transform(F.slice(F.array_sort(keyed), 1, most) if brief else F.array_sort(keyed), lambda r: r["line"])
+        return F.transform(F.slice(F.sort_array(keyed), 1, most) if brief else F.sort_array(keyed), lambda r: r["line"])
 
     lines = S.distinct(F.concat(*[top(kinds[kind], most) for kind, most in CAPS]))
     return F.slice(lines, 1, LINES) if brief else lines

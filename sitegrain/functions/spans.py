@@ -99,6 +99,6 @@ def next_place(blocks: Column, firsts: Column, signs: str, at: Column) -> Column
 
 def distinct(lines: Column) -> Column:
     """Lines in order, each once whatever its case."""
-    same = F.array_sort(F.transform(lines, lambda x, i: F.struct(F.lower(x).alias("low"), i.alias("i"), x.alias("line"))))
+    same = F.sort_array(F.transform(lines, lambda x, i: F.struct(F.lower(x).alias("low"), i.alias("i"), x.alias("line"))))
     first = bind(same, lambda x: F.filter(x, lambda r, j: ~r["low"].eqNullSafe(F.get(x, j - 1)["low"])))
-    return F.transform(F.array_sort(F.transform(first, lambda r: F.struct(r["i"].alias("i"), r["line"].alias("line")))), lambda r: r["line"])
+    return F.transform(F.sort_array(F.transform(first, lambda r: F.struct(r["i"].alias("i"), r["line"].alias("line")))), lambda r: r["line"])
